@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality_rules, secrets, simhash, tokens
+from . import common, fm, mixing, packing, quality_rules, secrets, simhash, tokens
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +23,26 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(common.documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    held_out = common.crc_fold(F.col("doc_id"), 5) == 0
+    model = fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
+    return fm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(common.documents(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(common.documents(spark, sf_dir))
+    return rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_slot").alias("slot"), F.col("mix_block").alias("block"), "mix_order")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_source_mixing": mixing.ORACLE}
