@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fm, mixing, packing, quality_rules, secrets, simhash, tokens
+from . import common, fm, id_files, mixing, packing, quality_rules, secrets, simhash, tokens
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_slot").alias("slot"), F.col("mix_block").alias("block"), "mix_order")
 
 
+def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.write_and_read(common.documents(spark, sf_dir), tokens.tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
