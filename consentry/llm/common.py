@@ -9,6 +9,7 @@ the input cannot clash with the working columns.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,11 +59,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     if not _made:
         atexit.register(_remove)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that nothing refers to any more
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:
