@@ -75,6 +75,28 @@ class Chunk:
             at = end
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Small counts as compressed u32, after their number."""
+    return len(counts).to_bytes(4, "little") + pack(counts.astype("<u4").tobytes())
+
+
+def unpack_counts(data: bytes) -> bytes:
+    return unpack(data[4:], 4 * int.from_bytes(data[:4], "little"))
+
+
+def pack_keys(keys: np.ndarray, key_bytes: int) -> bytes:
+    """The keys of one bucket of at least 256: without the top byte, which the bucket tells, and the bytes below key_bytes."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - key_bytes : 7]).tobytes()
+
+
+def unpack_keys(data: bytes, key_bytes: int, top: int) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(-1, key_bytes - 1)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, 8 - key_bytes : 7] = low
+    out[:, 7] = top
+    return out.view("<u8").ravel()
+
+
 def each(batches) -> Iterator[Chunk]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -92,12 +114,14 @@ def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def totals(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """(chunk, totals binary u32): for each chunk's keys the sum of their counts over all chunks, and
-    (chunk null, bucket) rows whose n_keys and n_all are the different keys and the sum of counts in a bucket.
+def totals(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int, key_bytes: int = 8) -> DataFrame:
+    """For each chunk's keys the sum of their counts over all chunks.
 
-    keys_of: sorted different 64-bit keys of a chunk, and their counts. The table
-    returned is stored; its columns are chunk, bucket, answer, n_keys, n_all.
+    keys_of: sorted different 64-bit keys of a chunk, and their counts; of a key
+    only its upper key_bytes bytes may be set. The table returned is stored: chunk, bucket and answer
+    (pack_counts of the sums, in the order of the chunk's keys in that bucket),
+    and for each bucket a row with a null chunk and n_keys, the different keys with a
+    count, and n_all, the sum of all counts.
     """
 
     def send(batches):
@@ -105,24 +129,23 @@ def totals(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.nd
             keys, counts = keys_of(c)
             cut = cuts(keys, buckets)
             full = np.nonzero(np.diff(cut))[0]
-            k, n = keys.astype("<u8"), counts.astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), c.chunk, np.int64)), pa.array([k[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "chunk", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), c.chunk, np.int64)), pa.array([pack_keys(keys[cut[b] : cut[b + 1]], key_bytes) for b in full], pa.binary()), pa.array([pack_counts(counts[cut[b] : cut[b + 1]]) for b in full], pa.binary())], names=["bucket", "chunk", "keys", "counts"])
 
     def add(key, table):
         rows = table.to_pydict()
-        keys = [np.frombuffer(x, "<u8") for x in rows["keys"]]
+        b = key[0].as_py()
+        keys = [unpack_keys(x, key_bytes, b >> (buckets.bit_length() - 9)) for x in rows["keys"]]
         joined = np.concatenate(keys)
         order = np.argsort(joined, kind="stable")
         ordered = joined[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        sums = np.add.reduceat(np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])[order].astype(np.int64), np.nonzero(first)[0])
+        sums = np.add.reduceat(np.concatenate([np.frombuffer(unpack_counts(x), "<u4") for x in rows["counts"]])[order].astype(np.int64), np.nonzero(first)[0])
         answer = np.empty(len(joined), np.int64)
         answer[order] = sums[np.cumsum(first) - 1]
-        answer = np.minimum(answer, 2**32 - 1).astype("<u4")
+        answer = np.minimum(answer, 2**32 - 1)
         cut = np.cumsum([0] + [len(k) for k in keys])
         n = len(keys)
-        b = key[0].as_py()
-        return pa.table({"chunk": pa.array([*rows["chunk"], None], pa.int64()), "bucket": pa.array([b] * (n + 1), pa.int32()), "answer": pa.array([*(answer[cut[i] : cut[i + 1]].tobytes() for i in range(n)), None], pa.binary()), "n_keys": pa.array([0] * n + [int(first.sum())], pa.int64()), "n_all": pa.array([0] * n + [int(sums.sum())], pa.int64())})
+        return pa.table({"chunk": pa.array([*rows["chunk"], None], pa.int64()), "bucket": pa.array([b] * (n + 1), pa.int32()), "answer": pa.array([*(pack_counts(answer[cut[i] : cut[i + 1]]) for i in range(n)), None], pa.binary()), "n_keys": pa.array([0] * n + [int((sums > 0).sum())], pa.int64()), "n_all": pa.array([0] * n + [int(sums.sum())], pa.int64())})
 
     sent = chunks.mapInArrow(send, "bucket int, chunk long, keys binary, counts binary")
     got = sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, answer binary, n_keys long, n_all long")

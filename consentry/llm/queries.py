@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fm, id_files, mixing, packing, quality_rules, secrets, simhash, suffix_dedup, tokens
+from . import common, fm, id_files, imatch, maxent, mixing, packing, quality_rules, secrets, simhash, suffix_dedup, tokens
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(common.documents(spark, sf_dir))
 
 
+def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(common.documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     held_out = common.crc_fold(F.col("doc_id"), 5) == 0
@@ -44,6 +48,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_slot").alias("slot"), F.col("mix_block").alias("block"), "mix_order")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(common.documents(spark, sf_dir))
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.write_and_read(common.documents(spark, sf_dir), tokens.tokenizer_path())
 
