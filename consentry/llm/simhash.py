@@ -48,14 +48,14 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (signed long with the fingerprint's bits) of every row of docs."""
+    """doc_id, fp (signed long with the fingerprint's bits) and text_hash of every row of docs."""
 
     def run(batches):
-        for ids, texts, _ in common.doc_batches(batches):
+        for ids, texts, part in common.doc_batches(batches):
             fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([common.id_array(ids), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([common.id_array(ids), pa.array(fps), part.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def correlated_parts(fps: np.ndarray, m: int) -> list[list[int]]:
@@ -255,7 +255,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable through links) of every row of docs.
+    """doc_id, fp, component_id (smallest doc_id reachable through links) and text_hash of every row of docs.
 
     A text without words has fingerprint zero and is linked like any other. Rows
     with the same fingerprint are linked. A null doc_id comes before all others,
@@ -267,4 +267,19 @@ def near_duplicates(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFram
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "no_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("least"), F.max("no_id").alias("any")).select("root", F.when(F.col("any"), F.lit(None)).otherwise(F.col("least")).alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "text_hash")
+
+
+def keep_first(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the first by doc_id (nulls first), then by the text's hash.
+
+    Columns and kept rows are as they were. Rows without words form one group.
+    """
+    p = "_near_"
+    found = near_duplicates(docs, limit, words)
+    # the columns are named apart from any that docs may have
+    order = F.struct(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), F.col("text_hash").alias("hash"))
+    first = found.groupBy(F.coalesce("component_id", F.lit(common.NULL_ID)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(order).alias("first"))
+    first = common.stored(first.select(F.col("first.id").alias(f"{p}id"), F.col("first.hash").alias(f"{p}hash")).distinct(), "first")
+    rows = docs.withColumns({f"{p}id": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)), f"{p}hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return rows.join(first, [f"{p}id", f"{p}hash"], "left_semi").dropDuplicates([f"{p}id", f"{p}hash"]).select(*docs.columns)
