@@ -52,7 +52,7 @@ def evidence_signals(top: DataFrame) -> DataFrame:
 
 
 def decide(events: DataFrame, docs: DataFrame, statements: DataFrame, prefs: DataFrame | None = None, likelihood: Column | None = None, top_k: int = 8, alpha: float = 0.6) -> DataFrame:
-    """One row per event: decision, risk_score (6 digits), system_used and n_evidence.
+    """One row per event: decision, risk_score (12 digits), system_used and n_evidence.
 
     events: event_id, user_id, domain, action_type, platform, app_id, masked and
     the arrays data_categories, actions, purposes, recipients. prefs: user_id,
@@ -72,7 +72,7 @@ def decide(events: DataFrame, docs: DataFrame, statements: DataFrame, prefs: Dat
     s = R.severity(*(F.col(c) for c in ("data_categories", "actions", "purposes", "recipients", "action_type")))
     t = R.transparency(*(F.col(c) for c in ("n_evidence", "long_snippet", "same_category", "same_purpose", "legal", "rights", "retention")))
     l = F.when(F.col("n_evidence").isNull(), 1.0).otherwise(likelihood if likelihood is not None else F.lit(0.5))
-    r = F.round(R.risk(l, s, t), 6)
+    r = F.round(R.risk(l, s, t), 12)
     return x.select(
         "event_id",
         F.when(F.col("skip"), "allow").when(F.col("blocked"), "deny").otherwise(R.decision(r, R.decision_tier(F.col("data_categories")))).alias("decision"),

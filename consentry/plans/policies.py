@@ -38,17 +38,17 @@ def rk02(spark, sf):
     return frame(spark, sf, "events").select("event_id", R.purpose(F.col("purposes")).alias("purpose"))
 
 
-@query("rk03_severity", f"{EV} SELECT event_id, round({twin.severity()}, 6) AS severity FROM events_in")
+@query("rk03_severity", f"{EV} SELECT event_id, round({twin.severity()}, 12) AS severity FROM events_in")
 def rk03(spark, sf):
-    return frame(spark, sf, "events").select("event_id", F.round(_severity(), 6).alias("severity"))
+    return frame(spark, sf, "events").select("event_id", F.round(_severity(), 12).alias("severity"))
 
 
-_RISKS = f"{ctes('events')}, s AS (SELECT *, {twin.severity()} AS sev, {twin.TIER} AS tier, (event_id % 10)::DOUBLE / 10.0::DOUBLE AS l FROM events_in), r AS (SELECT *, round(least(1.0::DOUBLE, l * sev * 1.3::DOUBLE), 6) AS risk FROM s)"
+_RISKS = f"{ctes('events')}, s AS (SELECT *, {twin.severity()} AS sev, {twin.TIER} AS tier, (event_id % 10)::DOUBLE / 10.0::DOUBLE AS l FROM events_in), r AS (SELECT *, round(least(1.0::DOUBLE, l * sev * 1.3::DOUBLE), 12) AS risk FROM s)"
 
 
 def _risks(spark, sf):
     e = frame(spark, sf, "events").withColumns({"sev": _severity(), "tier": R.decision_tier(F.col("data_categories")), "l": F.col("event_id") % 10 / F.lit(10.0)})
-    return e.withColumn("risk", F.round(R.risk(F.col("l"), F.col("sev"), F.lit(1.3)), 6))
+    return e.withColumn("risk", F.round(R.risk(F.col("l"), F.col("sev"), F.lit(1.3)), 12))
 
 
 @query("rk05_risk", f"{_RISKS} SELECT event_id, risk FROM r")
@@ -69,9 +69,9 @@ def rk07(spark, sf):
     return _risks(spark, sf).select("event_id", R.level(F.col("risk")).alias("level"), R.banded_level(*_cols("risk", "tier")).alias("banded"))
 
 
-@query("rk08_ablations", f"{EV} SELECT event_id, round({twin.severity(basis='1.0')}, 6) AS no_basis, round({twin.severity(purpose='1.0::DOUBLE')}, 6) AS no_purpose FROM events_in")
+@query("rk08_ablations", f"{EV} SELECT event_id, round({twin.severity(basis='1.0')}, 12) AS no_basis, round({twin.severity(purpose='1.0::DOUBLE')}, 12) AS no_purpose FROM events_in")
 def rk08(spark, sf):
-    return frame(spark, sf, "events").select("event_id", F.round(_severity(use_basis=False), 6).alias("no_basis"), F.round(_severity(use_purpose=False), 6).alias("no_purpose"))
+    return frame(spark, sf, "events").select("event_id", F.round(_severity(use_basis=False), 12).alias("no_basis"), F.round(_severity(use_purpose=False), 12).alias("no_purpose"))
 
 
 _B = "(CASE WHEN {0} < 0.2 THEN 1 WHEN {0} < 0.4 THEN 2 WHEN {0} < 0.6 THEN 3 WHEN {0} < 0.8 THEN 4 ELSE 5 END)"
@@ -80,13 +80,13 @@ _B = "(CASE WHEN {0} < 0.2 THEN 1 WHEN {0} < 0.4 THEN 2 WHEN {0} < 0.6 THEN 3 WH
 @query(
     "rk09_rk12_other_models",
     f"""{_RISKS} SELECT event_id, {_B.format('l')} * {_B.format('sev')} / 25.0::DOUBLE AS nist,
-    round(0.4::DOUBLE * l + 0.3::DOUBLE * (CASE WHEN event_id % 3 = 0 THEN 1.0 WHEN event_id % 200 < 50 THEN 0.8 WHEN event_id % 200 < 150 THEN 0.5 ELSE 0.2 END)::DOUBLE + 0.3::DOUBLE * sev, 6) AS iso,
-    round(least(1.0, l * (CASE WHEN list_has_any(actions, ['Share', 'Transfer']) THEN 1.3 ELSE 1.0 END)::DOUBLE) * least(1.0, sev * (CASE WHEN list_has_any(purposes, ['Advertising', 'Marketing', 'Unknown']) THEN 1.2 ELSE 1.0 END)::DOUBLE), 6) AS fair,
-    round(least(1.0, l * sev * (1 + 0.5::DOUBLE * 0.3::DOUBLE)), 6) AS legacy FROM r""",
+    round(0.4::DOUBLE * l + 0.3::DOUBLE * (CASE WHEN event_id % 3 = 0 THEN 1.0 WHEN event_id % 200 < 50 THEN 0.8 WHEN event_id % 200 < 150 THEN 0.5 ELSE 0.2 END)::DOUBLE + 0.3::DOUBLE * sev, 12) AS iso,
+    round(least(1.0, l * (CASE WHEN list_has_any(actions, ['Share', 'Transfer']) THEN 1.3 ELSE 1.0 END)::DOUBLE) * least(1.0, sev * (CASE WHEN list_has_any(purposes, ['Advertising', 'Marketing', 'Unknown']) THEN 1.2 ELSE 1.0 END)::DOUBLE), 12) AS fair,
+    round(least(1.0, l * sev * (1 + 0.5::DOUBLE * 0.3::DOUBLE)), 12) AS legacy FROM r""",
 )
 def rk09(spark, sf):
     e = _risks(spark, sf)
-    return e.select("event_id", R.nist_5x5(*_cols("l", "sev")).alias("nist"), F.round(R.iso(F.col("l"), F.col("sev"), F.col("event_id") % 3 != 0, F.col("event_id") % 200), 6).alias("iso"), F.round(R.fair(*_cols("l", "sev", "actions", "purposes")), 6).alias("fair"), F.round(R.legacy(F.col("l"), F.col("sev"), F.lit(0.3), 0.5), 6).alias("legacy"))
+    return e.select("event_id", R.nist_5x5(*_cols("l", "sev")).alias("nist"), F.round(R.iso(F.col("l"), F.col("sev"), F.col("event_id") % 3 != 0, F.col("event_id") % 200), 12).alias("iso"), F.round(R.fair(*_cols("l", "sev", "actions", "purposes")), 12).alias("fair"), F.round(R.legacy(F.col("l"), F.col("sev"), F.lit(0.3), 0.5), 12).alias("legacy"))
 
 
 _GRID = [(k, f) for k in ("allow", "deny") for f in (-0.05, 0.0, 0.05)]
@@ -131,7 +131,7 @@ _GUARD = f"guard AS (SELECT e.* EXCLUDE (data_categories), {twin.ENRICHED} AS da
 @query(
     "rk18_decide_events",
     f"""{ctes('events', 'docs', 'statements', 'prefs')}, {_GUARD}, {twin.LATEST}, {twin.CANDIDATES.format('(SELECT * FROM guard WHERE NOT skip AND NOT blocked)')}, {twin.BM25}, {twin.KEYWORD}, {twin.HYBRID}, {twin.EVIDENCE},
-    f AS (SELECT g.*, {twin.TIER} AS tier, n_evidence, round(least(1.0::DOUBLE, (CASE WHEN n_evidence IS NULL THEN 1.0 ELSE 0.5 END)::DOUBLE * {twin.severity()} * {twin.TRANSPARENCY}), 6)::DOUBLE AS risk FROM guard g LEFT JOIN evd USING (event_id))
+    f AS (SELECT g.*, {twin.TIER} AS tier, n_evidence, round(least(1.0::DOUBLE, (CASE WHEN n_evidence IS NULL THEN 1.0 ELSE 0.5 END)::DOUBLE * {twin.severity()} * {twin.TRANSPARENCY}), 12)::DOUBLE AS risk FROM guard g LEFT JOIN evd USING (event_id))
     SELECT event_id, CASE WHEN skip THEN 'allow' WHEN blocked THEN 'deny' ELSE {twin.DECISION} END AS decision, CASE WHEN skip THEN 0.0 WHEN blocked THEN 1.0 ELSE risk END AS risk_score,
       CASE WHEN skip THEN 'triage_layer' WHEN blocked THEN 'consent_guardrail' WHEN n_evidence IS NULL THEN 'no_policy' ELSE 'rule_fallback' END AS system_used, coalesce(n_evidence, 0) AS n_evidence FROM f""",
 )
