@@ -72,10 +72,11 @@ def decide(events: DataFrame, docs: DataFrame, statements: DataFrame, prefs: Dat
     s = R.severity(*(F.col(c) for c in ("data_categories", "actions", "purposes", "recipients", "action_type")))
     t = R.transparency(*(F.col(c) for c in ("n_evidence", "long_snippet", "same_category", "same_purpose", "legal", "rights", "retention")))
     l = F.when(F.col("n_evidence").isNull(), 1.0).otherwise(likelihood if likelihood is not None else F.lit(0.5))
-    r = F.round(R.risk(l, s, t), 12)
+    x = x.withColumns({"_risk": F.round(R.risk(l, s, t), 12), "_tier": R.decision_tier(F.col("data_categories"))})
+    r = F.col("_risk")
     return x.select(
         "event_id",
-        F.when(F.col("skip"), "allow").when(F.col("blocked"), "deny").otherwise(R.decision(r, R.decision_tier(F.col("data_categories")))).alias("decision"),
+        F.when(F.col("skip"), "allow").when(F.col("blocked"), "deny").otherwise(R.decision(r, F.col("_tier"))).alias("decision"),
         F.when(F.col("skip"), 0.0).when(F.col("blocked"), 1.0).otherwise(r).alias("risk_score"),
         F.when(F.col("skip"), "triage_layer").when(F.col("blocked"), "consent_guardrail").when(F.col("n_evidence").isNull(), "no_policy").otherwise("rule_fallback").alias("system_used"),
         F.coalesce("n_evidence", F.lit(0)).cast("long").alias("n_evidence"),
