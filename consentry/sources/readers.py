@@ -120,3 +120,44 @@ def to_markdown(rows: DataFrame) -> str:
     """A small result as a Markdown table, built on the driver."""
     lines = [rows.columns, ["---"] * len(rows.columns), *[["" if v is None else str(v) for v in r] for r in rows.limit(1000).collect()]]
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
+def relevance(spark: SparkSession, path: str, split: str = "test") -> DataFrame:
+    """(query, segment, gold) of tab-separated relevance judgements: Any_Relevant, else the majority of six annotators (ties: Irrelevant)."""
+    t = spark.read.option("sep", "\t").option("header", True).csv(path).where(F.col("Split") == split)
+    votes = F.filter(F.array(*[F.col(f"Ann{k}") for k in range(1, 7)]), lambda v: F.coalesce(v, F.lit("None")) != "None")
+    yes = F.size(F.filter(votes, lambda v: v == "Relevant"))
+    majority = F.when(2 * yes > F.size(votes), "Relevant").otherwise("Irrelevant")
+    return t.select(F.col("Query").alias("query"), F.col("Segment").alias("segment"), F.coalesce(F.when(F.col("Any_Relevant") != "", F.col("Any_Relevant")), majority).alias("gold"))
+
+
+def events_or_rules(rows: DataFrame, labels: dict[str, str], least: int = 30) -> DataFrame:
+    """(text, category): of annotated sentences the mapped event types; of others, long enough, a category by the actions that their words tell."""
+    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    types = F.array_distinct(F.array_compact(F.transform(F.coalesce("event_mentions", F.array().cast("array<struct<event_type:string>>")), lambda e: F.try_element_at(known, e["event_type"]))))
+    acts = X.found_terms(F.col("text"), T.TEXT_ACTION)
+    rule = F.when(F.array_contains(acts, "Share") | F.array_contains(acts, "Transfer"), CATEGORIES[1]).when(F.array_contains(acts, "Control"), CATEGORIES[2]).when(F.array_contains(acts, "Store"), CATEGORIES[4]).otherwise(CATEGORIES[0])
+    found = F.when(F.size(types) > 0, types).otherwise(F.when(F.length("text") >= least, F.array(rule)).otherwise(F.array().cast("array<string>")))
+    return rows.select("text", F.explode(found).alias("category"))
+
+
+def masked_texts(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, text, sensitive_fields, category, risk_score) of English texts of 80 to 1500 characters with marked values; samples by hash order."""
+    m = F.coalesce("privacy_mask", F.array().cast("array<struct<label:string,value:string>>"))
+    values = F.array_distinct(F.transform(m, lambda x: x["value"]))
+    kinds = F.slice(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), 1, 6)
+    x = rows.where((F.lower("language") == "english") & F.length("source_text").between(80, 1500) & (F.size(m) > 0))
+    x = x.select("id", F.col("source_text").alias("text"), values.alias("sensitive_fields"), F.array_join(kinds, "|").alias("category"), F.lit(0.85).alias("risk_score"))
+    return first_by_hash(x, "id", limit) if limit else x
+
+
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of whole files."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+
+
+def grouped_annotations(rows: DataFrame, actions: dict[str, str]) -> DataFrame:
+    """(policy, segment, data_categories, actions) of annotation rows: actions by exact category, data by words; groups with both."""
+    known = F.create_map(*[F.lit(x) for kv in actions.items() for x in kv])
+    g = rows.groupBy("policy", "segment").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(X.found_terms(F.col("value"), T.TEXT_DATA))))).alias("data_categories"), F.array_sort(F.collect_set(F.try_element_at(known, F.col("category")))).alias("actions"))
+    return g.where((F.size("data_categories") > 0) & (F.size("actions") > 0))
