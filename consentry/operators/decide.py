@@ -66,8 +66,8 @@ def decide(events: DataFrame, docs: DataFrame, statements: DataFrame, prefs: Dat
     else:
         e = e.withColumn("ads_consent", F.lit(None).cast("string"))
     e = e.withColumn("blocked", ads_blocked())
-    cand = retrieval.candidates(e.where("not skip and not blocked"), docs, statements)
-    found = evidence_signals(retrieval.hybrid(cand, statements, alpha, top_k))
+    met = retrieval.matched(e.where("not skip and not blocked"), docs)
+    found = evidence_signals(retrieval.hybrid(met, statements, alpha, top_k))
     x = e.join(found, "event_id", "left")
     s = R.severity(*(F.col(c) for c in ("data_categories", "actions", "purposes", "recipients", "action_type")))
     t = R.transparency(*(F.col(c) for c in ("n_evidence", "long_snippet", "same_category", "same_purpose", "legal", "rights", "retention")))

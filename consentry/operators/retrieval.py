@@ -30,10 +30,19 @@ def latest_policy(events: DataFrame, docs: DataFrame, like: bool = False) -> Dat
     return met.withColumn("r", F.row_number().over(first)).where("r = 1").select("domain", F.col("doc_id").alias("policy_doc_id"), "policy_domain")
 
 
-def candidates(events: DataFrame, docs: DataFrame, statements: DataFrame, like: bool = False) -> DataFrame:
-    """Events joined to the statements of their latest policy; columns of statements have the prefix s_."""
+def matched(events: DataFrame, docs: DataFrame, like: bool = False) -> DataFrame:
+    """Events that have a policy, with policy_doc_id and policy_domain."""
+    return events.join(latest_policy(events, docs, like), "domain")
+
+
+def with_statements(events: DataFrame, statements: DataFrame) -> DataFrame:
+    """Matched events joined to the statements of their policy; columns of statements have the prefix s_."""
     s = statements.select(*[F.col(c).alias(f"s_{c}") for c in statements.columns])
-    return events.join(latest_policy(events, docs, like), "domain").join(s, F.col("policy_doc_id") == F.col("s_policy_doc_id")).drop("s_policy_doc_id")
+    return events.join(s, F.col("policy_doc_id") == F.col("s_policy_doc_id")).drop("s_policy_doc_id")
+
+
+def candidates(events: DataFrame, docs: DataFrame, statements: DataFrame, like: bool = False) -> DataFrame:
+    return with_statements(matched(events, docs, like), statements)
 
 
 def _set(a: Column) -> Column:
@@ -71,21 +80,20 @@ def bm25_index(statements: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataF
     return x.select("policy_doc_id", "id", "token", (idf * F.col("tf") * (k1 + 1) / F.greatest(F.lit(1e-9), F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))).alias("weight"))
 
 
-def keyword_scores(cand: DataFrame, statements: DataFrame) -> DataFrame:
-    """(event_id, s_id, keyword): BM25 of the event's query over the candidates; repeated query tokens count each time.
+def keyword_scores(events: DataFrame, statements: DataFrame) -> DataFrame:
+    """(event_id, s_id, keyword): BM25 of each matched event's query over its policy's statements; repeated query tokens count each time.
 
     Queries are scored once per different (policy, token list).
     """
-    q = cand.select("event_id", "policy_doc_id", X.tokens(query_text()).alias("q")).distinct()
-    q = q.withColumn("qk", F.xxhash64("q"))
-    distinct = q.select("policy_doc_id", "qk", "q").dropDuplicates(["policy_doc_id", "qk"]).select("policy_doc_id", "qk", F.explode("q").alias("token")).groupBy("policy_doc_id", "qk", "token").agg(F.count("*").alias("times"))
+    q = events.select("event_id", "policy_doc_id", X.tokens(query_text()).alias("q")).withColumn("qk", F.xxhash64("q"))
+    distinct = q.groupBy("policy_doc_id", "qk").agg(F.first("q").alias("q")).select("policy_doc_id", "qk", F.explode("q").alias("token")).groupBy("policy_doc_id", "qk", "token").agg(F.count("*").alias("times"))
     scored = distinct.join(bm25_index(statements), ["policy_doc_id", "token"]).groupBy("policy_doc_id", "qk", "id").agg(F.sum(F.col("weight") * F.col("times")).alias("keyword"))
     return q.select("event_id", "policy_doc_id", "qk").join(scored, ["policy_doc_id", "qk"]).select("event_id", F.col("id").alias("s_id"), "keyword")
 
 
-def hybrid(cand: DataFrame, statements: DataFrame, alpha: float = 0.6, top_k: int = 8) -> DataFrame:
-    """Top candidates of each event: rank, score, structured and keyword; ties by statement id. Scores are rounded to 9 digits before ranking."""
-    x = cand.withColumn("structured", structured_score()).join(keyword_scores(cand, statements), ["event_id", "s_id"], "left").fillna(0.0, ["keyword"])
+def hybrid(events: DataFrame, statements: DataFrame, alpha: float = 0.6, top_k: int = 8) -> DataFrame:
+    """Top statements of each matched event: rank, score, structured and keyword; ties by statement id. Scores are rounded to 9 digits before ranking."""
+    x = with_statements(events, statements).withColumn("structured", structured_score()).join(keyword_scores(events, statements), ["event_id", "s_id"], "left").fillna(0.0, ["keyword"])
     all_ = W.Window.partitionBy("event_id")
     norm = lambda c: F.col(c) / F.when(F.max(c).over(all_) == 0, 1.0).otherwise(F.max(c).over(all_))
     x = x.withColumn("score", F.round(alpha * norm("structured") + (1 - alpha) * norm("keyword"), 9))

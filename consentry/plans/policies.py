@@ -142,6 +142,10 @@ def rk18(spark, sf):
 _CAND = f"{ctes('events', 'docs', 'statements')}, {twin.LATEST}, {twin.CANDIDATES.format('events_in')}"
 
 
+def _matched(spark, sf):
+    return retrieval.matched(frame(spark, sf, "events"), frame(spark, sf, "docs"))
+
+
 def _candidates(spark, sf):
     return retrieval.candidates(*(frame(spark, sf, p) for p in ("events", "docs", "statements")))
 
@@ -176,12 +180,12 @@ def rt04(spark, sf):
 
 @query("rt05_keyword_scores", f"{_CAND}, {twin.BM25}, {twin.KEYWORD} SELECT event_id, s_id, round(keyword, 6) AS keyword FROM kw")
 def rt05(spark, sf):
-    return retrieval.keyword_scores(_candidates(spark, sf), frame(spark, sf, "statements")).withColumn("keyword", F.round("keyword", 6))
+    return retrieval.keyword_scores(_matched(spark, sf), frame(spark, sf, "statements")).withColumn("keyword", F.round("keyword", 6))
 
 
 @query("rt06_hybrid_top8", f"{_CAND}, {twin.BM25}, {twin.KEYWORD}, {twin.HYBRID} SELECT event_id, s_id, rank, round(score, 6) AS score FROM top")
 def rt06(spark, sf):
-    x = retrieval.hybrid(_candidates(spark, sf), frame(spark, sf, "statements"))
+    x = retrieval.hybrid(_matched(spark, sf), frame(spark, sf, "statements"))
     return x.select("event_id", "s_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
