@@ -196,3 +196,50 @@ def ml14(spark, sf):
 def st06(spark, sf):
     """The batch form of the streaming usage table (an extension)."""
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+@query("lm07_shuffled_method_codes", "SELECT s.s_suppkey AS sample_id, m.method, chr((64 + row_number() OVER (PARTITION BY s.s_suppkey ORDER BY md5('42|' || s.s_suppkey || '|' || m.method)))::INT) AS code FROM supplier s CROSS JOIN (SELECT unnest(['ours', 'ner', 'llm']) AS method) m")
+def lm07(spark, sf):
+    """Blind codes A, B, C for the methods of each sample, shuffled by md5."""
+    m = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.explode(F.array(*map(F.lit, ("ours", "ner", "llm")))).alias("method"))
+    w = W.Window.partitionBy("sample_id").orderBy(F.md5(F.concat_ws("|", F.lit("42"), F.col("sample_id").cast("string"), "method")))
+    return m.withColumn("code", F.char(64 + F.row_number().over(w)))
+
+
+@query("an20_first_sentences")
+def an20(spark, sf):
+    """Sentences of a text as long as their sum stays within 200 characters; at least the first."""
+    s = F.split("text", r"(?<=[.!?])\s+")
+    kept = F.aggregate(s, F.struct(F.lit("").alias("t"), F.lit(False).alias("full")), lambda acc, x: F.when(acc["full"], acc).when(acc["t"] == "", F.struct(x.alias("t"), F.lit(False).alias("full"))).when(F.length(acc["t"]) + 1 + F.length(x) <= 200, F.struct(F.concat_ws(" ", acc["t"], x).alias("t"), F.lit(False).alias("full"))).otherwise(F.struct(acc["t"].alias("t"), F.lit(True).alias("full"))))
+    return table(spark, sf, "conversations").select("conv_id", "turn", kept["t"].alias("head"))
+
+
+@query("ml10_text_pairs", f"{S}, t AS (SELECT id, array_to_string(list_sort(data_categories), '+') AS cats FROM statements_in), n AS (SELECT id, cats, coalesce(lead(id) OVER (PARTITION BY cats ORDER BY md5('42|' || id), id), first(id) OVER (PARTITION BY cats ORDER BY md5('42|' || id), id)) AS partner FROM t) SELECT id AS a, partner AS b, cats FROM n WHERE partner <> id")
+def ml10(spark, sf):
+    """Each statement with the next one of its categories in hash order, around a ring: positive pairs without a join of all pairs."""
+    t = frame(spark, sf, "statements").select("id", F.array_join(F.sort_array("data_categories"), "+").alias("cats"))
+    w = W.Window.partitionBy("cats").orderBy(F.md5(F.concat(F.lit("42|"), F.col("id").cast("string"))), "id")
+    return t.select(F.col("id").alias("a"), F.coalesce(F.lead("id").over(w), F.first("id").over(w)).alias("b"), "cats").where("a <> b")
+
+
+@query("ag10_precision_recall_nan", f"{O}, c AS (SELECT unit, count(*) FILTER (gold = 1 AND pred = 1) AS tp, count(*) FILTER (gold = 0 AND pred = 1) AS fp, count(*) FILTER (gold = 1 AND pred = 0) AS fn FROM outcomes_in GROUP BY 1) SELECT unit, CASE WHEN tp + fp = 0 THEN 'NaN' ELSE round(tp / (tp + fp), 6)::VARCHAR END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 'NaN' ELSE round(tp / (tp + fn), 6)::VARCHAR END::DOUBLE AS recall FROM c")
+def ag10(spark, sf):
+    g, p = F.col("gold") == 1, F.col("pred") == 1
+    c = frame(spark, sf, "outcomes").groupBy("unit").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
+    share = lambda d: F.when(d == 0, F.lit(float("nan"))).otherwise(F.round(F.try_divide(F.col("tp"), d), 6))
+    return c.select("unit", share(F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp") + F.col("fn")).alias("recall"))
+
+
+@query("jn09_ratings_to_methods", f"WITH k AS (SELECT s_suppkey AS sample_id, chr((65 + s_suppkey % 2)::INT) AS code, 'ours' AS method FROM supplier), r AS (SELECT l_suppkey AS sample_id, 'A' AS code, l_quantity AS rating FROM lineitem) SELECT method, count(*) AS n, round(avg(rating), 6) AS mean FROM r JOIN k USING (sample_id, code) GROUP BY 1")
+def jn09(spark, sf):
+    k = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.char((65 + F.col("s_suppkey") % 2).cast("int")).alias("code"), F.lit("ours").alias("method"))
+    r = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample_id"), F.lit("A").alias("code"), F.col("l_quantity").alias("rating"))
+    return r.join(k, ["sample_id", "code"]).groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 6).alias("mean"))
+
+
+@query("jn10_aligned_annotations", f"{O} SELECT a.key, a.gold_label AS first, b.gold_label AS second FROM outcomes_in a LEFT JOIN (SELECT unit, max({{'k': key, 'l': gold_label}}).l AS gold_label FROM outcomes_in WHERE gold_label <> 'allow' GROUP BY 1) b USING (unit)")
+def jn10(spark, sf):
+    """Annotations aligned to the last one of the unit by another rater; missing ones are null."""
+    o = frame(spark, sf, "outcomes")
+    b = o.where("gold_label <> 'allow'").groupBy("unit").agg(F.max(F.struct("key", "gold_label"))["gold_label"].alias("second"))
+    return o.join(b, "unit", "left").select("key", F.col("gold_label").alias("first"), "second")

@@ -28,3 +28,25 @@ def deduplicated(events: DataFrame, key: str, ts: str = "ts", within: str = "1 h
 def usage(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and mean value by window and event type, late data accepted for a while (an extension)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+
+
+def uncertain_only(decisions: DataFrame, likelihood: str = "likelihood", threshold: float = 0.25) -> DataFrame:
+    """Decisions to learn from: those whose evidential uncertainty is at the threshold or above."""
+    return decisions.where(F.col(likelihood) >= threshold)
+
+
+def learn_in_batches(events: DataFrame, buffer: str, retrain: Callable[[DataFrame, int], None], every: int, checkpoint: str) -> StreamingQuery:
+    """Appends each micro-batch to a buffer table and calls retrain whenever another ``every`` rows have come in.
+
+    A repeated batch overwrites its own part of the buffer, so rows count once.
+    """
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{buffer}/batch={number}")
+        all_ = spark.read.parquet(buffer)
+        counts = all_.agg(F.count("*").alias("n"), F.count_if(F.col("batch") < number).alias("before")).first()
+        if counts["n"] // every > counts["before"] // every:
+            retrain(all_, counts["n"] // every)
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
