@@ -26,7 +26,7 @@ _NAMES = ["chunk", "n_docs", "n_bytes", "ids", "ends", "blob"]
 
 
 def pack(text: bytes) -> bytes:
-    return pa.compress(text, codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(text, asbytes=True)
 
 
 def unpack(blob: bytes, size: int) -> bytes:
@@ -39,26 +39,28 @@ def chunked(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         ids, texts, held = [], [], 0
-
-        def row():
-            joined = b"".join(texts)
-            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((number, pa.int64()), (len(ids), pa.int64()), (len(joined), pa.int64()), (np.array(ids, np.int64).tobytes(), pa.binary()), (ends.tobytes(), pa.binary()), (pack(joined), pa.binary()))], names=_NAMES)
-
         for keys, some, _ in common.doc_batches(batches):
             for key, text in zip(keys.tolist(), some, strict=True):
                 if texts and held + len(text) > size:
-                    yield row()
+                    yield pa.RecordBatch.from_arrays(row(number, ids, texts), names=_NAMES)
                     number, ids, texts, held = number + 1, [], [], 0
                 ids.append(key)
                 texts.append(text)
                 held += len(text)
         if texts:
-            yield row()
+            yield pa.RecordBatch.from_arrays(row(number, ids, texts), names=_NAMES)
 
     return common.stored(common.id_and_text(docs).mapInArrow(run, SCHEMA), "chunks")
 
 
+def row(number: int, ids: list[int], texts: list[bytes]) -> list[pa.Array]:
+    """The columns of one chunk."""
+    joined = b"".join(texts)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    values = (number, pa.int64()), (len(ids), pa.int64()), (len(joined), pa.int64()), (np.array(ids, np.int64).tobytes(), pa.binary()), (ends.tobytes(), pa.binary()), (pack(joined), pa.binary())
+    return [pa.array([x], t) for x, t in values]
+
+
 class Chunk:
     """A row of the chunk table; extra columns are attributes as Python values."""
 
@@ -84,6 +86,16 @@ def unpack_counts(data: bytes) -> bytes:
     return unpack(data[4:], 4 * int.from_bytes(data[:4], "little"))
 
 
+def pack_array(x: np.ndarray) -> bytes:
+    """A compressed array, after its bytes' number."""
+    data = x.tobytes()
+    return len(data).to_bytes(4, "little") + pack(data)
+
+
+def unpack_array(data: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(unpack(data[4:], int.from_bytes(data[:4], "little")), dtype)
+
+
 def pack_keys(keys: np.ndarray, key_bytes: int) -> bytes:
     """The keys of one bucket of at least 256: without the top byte, which the bucket tells, and the bytes below key_bytes."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - key_bytes : 7]).tobytes()
@@ -152,7 +164,7 @@ def totals(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.nd
     return common.stored(got, "totals")
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, column: str = "answer") -> DataFrame:
-    """chunks with an array of their answers in bucket order (empty where there are none)."""
-    listed = answers.where("chunk is not null").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", column))), lambda x: x[column]).alias("answers"))
+def with_answers(chunks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
+    """chunks with an array of their answers in bucket order (null where there are none)."""
+    listed = answers.where("chunk is not null").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "answer"))), lambda x: x["answer"]).alias(name))
     return chunks.join(listed, "chunk", "left")

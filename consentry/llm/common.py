@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,6 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
     return got
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Limits the session's Arrow batches to so many bytes, for tables with rows of a megabyte."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    size = int(re.sub(r"\D", "", now)) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("bB")[-1:].lower(), 0)
+    if size > most or size <= 0:
+        spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written once as a table in the shared folder, and read again.
 
@@ -65,8 +76,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         atexit.register(_remove)
     _made.append((spark, path))
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that nothing refers to any more
+    for _ in range(2):  # lets Spark delete the shuffle files that nothing refers to any more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return spark.read.schema(schema).parquet(path)
 
 

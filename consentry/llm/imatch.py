@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -79,24 +80,63 @@ def likeness(a: list[str], b: list[str]) -> float:
     return sum(x == y for x, y in told) / len(told) if told else 0.0
 
 
+_ORDERED = ch.SCHEMA + ", next binary, next_bytes long"
+
+
+def _compressed(batches):
+    for ids, texts, part in common.doc_batches(batches):
+        yield pa.RecordBatch.from_arrays([common.id_array(ids), part.column("hash"), pa.array([len(t) for t in texts], pa.int64()), pa.array([ch.pack(t) for t in texts], pa.binary())], names=["doc_id", "hash", "size", "text"])
+
+
 def _ordered_chunks(docs: DataFrame, size: int) -> DataFrame:
-    """Stored chunks in ascending order of doc_id, each with next: the first text of the chunk after it (the last: of the first)."""
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    table = ch.chunked(common.id_and_text(docs).repartitionByRange(order[0]).sortWithinPartitions(*order), size)
+    """Stored chunks in ascending order of doc_id, each with next: the text that follows its last one (at the end: the first of all).
+
+    A task knows what follows all of its documents but the last one, which it
+    puts in a chunk of its own; only those meet with the first texts of the other tasks.
+    """
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    rows = common.id_and_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(_compressed, "doc_id long, hash long, size long, text binary")
+    rows = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, held, last = [], [], 0, None
+
+        def emit(following: bytes | None):
+            cols = [*ch.row(number, ids, texts), pa.array([None if following is None else ch.pack(following)], pa.binary()), pa.array([None if following is None else len(following)], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=[*ch._NAMES, "next", "next_bytes"])
+
+        for batch in batches:
+            for key, n, z in zip(common.ids_of(batch.column("doc_id")).tolist(), batch.column("size").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = ch.unpack(z, n)
+                if last is not None:
+                    ids.append(last[0])
+                    texts.append(last[1])
+                    held += len(last[1])
+                    if held >= size:
+                        yield emit(text)
+                        number, ids, texts, held = number + 1, [], [], 0
+                last = key, text
+        if last is not None:
+            if texts:
+                yield emit(last[1])
+                number += 1
+            ids, texts = [last[0]], [last[1]]
+            yield emit(None)
 
     def heads(batches):
         for c in ch.each(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([c.chunk]), pa.array([ch.pack(next(c.texts()))]), pa.array([int(c.ends[0])])], names=["after", "next", "next_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.chunk >> 32]), pa.array([ch.pack(next(c.texts()))], pa.binary()), pa.array([int(c.ends[0])])], names=["part", "next", "next_bytes"])
 
-    names = table.select("chunk", F.shiftright("chunk", 32).alias("part"))
-    own = W.Window.partitionBy("part").orderBy("chunk")
-    ordered = names.withColumn("after", F.lead("chunk").over(own))
-    firsts = names.groupBy("part").agg(F.min("chunk").alias("first"))
-    whole = W.Window.orderBy("part")  # one row per partition of the input
-    firsts = firsts.withColumn("following", F.coalesce(F.lead("first").over(whole), F.first("first").over(whole))).select("part", "following")
-    ordered = ordered.join(firsts, "part").select("chunk", F.coalesce("after", "following").alias("after"))
-    following = ordered.join(table.mapInArrow(heads, "after long, next binary, next_bytes long"), "after").select("chunk", "next", "next_bytes")
-    return table.join(following, "chunk")
+    table = common.stored(rows.mapInArrow(run, _ORDERED), "ordered")
+    known, tails = table.where("next is not null"), table.where("next is null").drop("next", "next_bytes")
+    firsts = table.where(F.col("chunk") % (1 << 32) == 0).mapInArrow(heads, "part long, next binary, next_bytes long")
+    parts = firsts.select("part")
+    whole = W.Window.orderBy("part")  # one row per task
+    order_ = parts.select("part", F.lead("part").over(whole).alias("after"), F.first("part").over(whole).alias("first")).select(F.col("part").alias("tail"), F.coalesce("after", "first").alias("part"))
+    following = order_.join(firsts, "part").select("tail", "next", "next_bytes")
+    tails = tails.withColumn("tail", F.shiftright("chunk", 32)).join(following, "tail").drop("tail")
+    return known.unionByName(tails)
 
 
 def _texts(c: ch.Chunk) -> tuple[list[str], list[str]]:
@@ -127,8 +167,8 @@ def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 9.0, size: int
     the first). near_edited and near_next: likeness of the document's fingerprint to that of
     its edited form and of the next document.
     """
+    common.bounded_batches(docs.sparkSession)
     table = _ordered_chunks(docs, size)
-    table = common.stored(table, "ordered")
     seen = table.agg(F.sum("n_bytes"), F.sum("n_docs")).first()
     n_docs, buckets = seen[1] or 0, common.parts_for(docs.sparkSession, seen[0] or 0, least=256)
     answers = ch.totals(table, _keys, buckets, key_bytes=6)
