@@ -13,14 +13,18 @@ groups of suffixes that cannot match across groups:
    hash form a closed group. Runs of neighbouring windows share an anchor.
 2. Anchors that occur in one document alone are left out: chunks send their
    different anchor hashes to buckets, and hear which are shared.
-3. For shared anchors, chunks send the bytes of each run once per chunk, with the
-   least doc_id that has them. Buckets sort the suffixes, find the neighbours,
-   and answer with a bit for each window of each run.
-4. Chunks mark the bytes of all found windows and cut them out.
-
-An anchor that many chunks share (a passage of many documents with different
+3. Copies of a whole run are put together before any sorting: chunks send the
+   hash of each shared run with the least doc_id that has it. A run that an earlier
+   document has goes whole; one that differs from all others of its anchor
+   only by its bytes, if at all, is asked about.
+4. Of the runs asked about, the bytes of the first copy go to the anchor's bucket.
+   Buckets sort the suffixes, find the neighbours, and answer with a bit for
+   each window of each run.
+5. Chunks mark the bytes of all found windows and cut them out.
+
+An anchor with many different runs (a passage of many documents with different
 surroundings) is split: its windows are sent one by one to buckets by their
-own hash, so that no group grows with the number of documents.
+own hash, so that the groups that are sorted do not grow with it.
 """
 
 from __future__ import annotations
@@ -36,7 +40,11 @@ from . import chunks as ch
 from . import common
 
 GRAM = 16
-HOT_CHUNKS = 48
+#: Different runs of an anchor from which its windows are sent one by one.
+HOT_RUNS = 256
+#: Anchors and runs are told apart by the upper 48 bits of their hash.
+KEY_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+KEY_BYTES = 6
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -84,48 +92,6 @@ def runs(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     return window[first], np.diff(np.append(first, len(window))), h[a[first]], np.searchsorted(ends, window[first], "right")
 
 
-def _send_anchors(length: int, buckets: int):
-    def run(batches):
-        for c in ch.each(batches):
-            _, _, h, doc = runs(c.data, c.ends, length)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-            at = np.nonzero(first)[0]
-            several = np.maximum.reduceat(doc, at) > doc[at] if len(at) else first
-            keys = h[at]
-            cut = ch.cuts(keys, buckets)
-            full = np.nonzero(np.diff(cut))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), c.chunk, np.int64)), pa.array([keys[cut[b] : cut[b + 1]].astype("<u8").tobytes() for b in full], pa.binary()), pa.array([np.packbits(several[cut[b] : cut[b + 1]]).tobytes() for b in full], pa.binary())], names=["bucket", "chunk", "keys", "several"])
-
-    return run
-
-
-def _shared(key, table):
-    rows = table.to_pydict()
-    keys = [np.frombuffer(x, "<u8") for x in rows["keys"]]
-    joined = np.concatenate(keys)
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(rows["several"], keys, strict=True)])
-    order = np.argsort(joined, kind="stable")
-    ordered = joined[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    group = np.cumsum(first) - 1
-    at = np.nonzero(first)[0]
-    n = np.diff(np.append(at, len(ordered)))
-    kind = np.where(n > HOT_CHUNKS, 2, np.where((n > 1) | (np.maximum.reduceat(several[order], at) > 0), 1, 0))
-    state = np.empty(len(joined), np.uint8)
-    state[order] = kind[group]
-    cut = np.cumsum([0] + [len(k) for k in keys])
-    out = [[], [], []]
-    for i, c in enumerate(rows["chunk"]):
-        s = state[cut[i] : cut[i + 1]]
-        if s.any():
-            out[0].append(c)
-            out[1].append(keys[i][s == 1].tobytes())
-            out[2].append(keys[i][s == 2].tobytes())
-    return pa.table({"chunk": pa.array(out[0], pa.int64()), "shared": pa.array(out[1], pa.binary()), "hot": pa.array(out[2], pa.binary())})
-
-
 def _windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The first length bytes from each start as rows of big-endian 64-bit words, the last one overlapping."""
     eight = np.lib.stride_tricks.as_strided(data[:8].view(">u8"), (len(data) - 7,), (1,))
@@ -140,71 +106,154 @@ def _content_hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
-#: kind 0: a chunk's own record of its shared runs; kind 1: pieces sent to a bucket.
-_SENT = "kind int, bucket int, chunk long, doc binary, run binary, shift binary, size binary, bytes binary"
+class Runs:
+    """A chunk's runs, its sorted different anchors, and, as answers are known, its shared runs and entries (different shared runs)."""
+
+    def __init__(self, c: ch.Chunk, length: int) -> None:
+        self.first, self.n, h, doc = runs(c.data, c.ends, length)
+        self.h, self.doc = h & KEY_BITS, c.ids[doc] if len(doc) else doc
+        order = np.lexsort((self.doc, self.h))
+        h, d = self.h[order], self.doc[order]
+        at = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else order
+        self.anchors = h[at]
+        self.several = np.maximum.reduceat(d, at) > d[at] if len(at) else np.zeros(0, bool)
+
+    def keep_shared(self, c: ch.Chunk, shared: np.ndarray, length: int) -> None:
+        """Keeps the runs of shared anchors, and sets entry (of each run) and keys, content and least (of each entry)."""
+        some = shared[np.searchsorted(self.anchors, self.h)] > 0 if len(self.h) else np.zeros(0, bool)
+        self.first, self.n, self.h, self.doc = self.first[some], self.n[some], self.h[some], self.doc[some]
+        data = np.frombuffer(c.data + b"\0" * 8, np.uint8)
+        a = _content_hash(_windows(data, self.first, length))
+        b = _content_hash(_windows(data, self.first + self.n - 1, length))
+        content = common.mix64(a + common.mix64(b ^ self.n.astype(np.uint64))) & KEY_BITS
+        order = np.lexsort((self.doc, content, self.h))
+        h, t = self.h[order], content[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, bool)
+        at = order[np.nonzero(new)[0]]
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.of = at  # the run of the least doc_id of each entry
+        self.keys, self.content, self.least = self.h[at], content[at], self.doc[at]
+
+
+def _pieces(cut: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, list[bytes]]]:
+    return [(b, [ch.pack_array(x[cut[b] : cut[b + 1]]) for x in arrays]) for b in np.nonzero(np.diff(cut))[0].tolist()]
+
+
+def _rows(c: ch.Chunk, found: list[tuple[int, list[bytes]]], width: int) -> pa.RecordBatch:
+    cols = [pa.array([f[k] for _, f in found], pa.binary()) for k in range(width)]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([c.chunk] * len(found), pa.int64()), *cols], names=["bucket", "chunk", *"abcdef"[:width]])
+
+
+def _send_anchors(length: int, buckets: int):
+    def run(batches):
+        for c in ch.each(batches):
+            r = Runs(c, length)
+            cut = ch.cuts(r.anchors, buckets)
+            low = np.frombuffer(ch.pack_keys(r.anchors, KEY_BYTES), np.uint8).reshape(-1, KEY_BYTES - 1)
+            found = [(b, [low[cut[b] : cut[b + 1]].tobytes(), ch.pack_array(r.several[cut[b] : cut[b + 1]])]) for b in np.nonzero(np.diff(cut))[0].tolist()]
+            yield _rows(c, found, 2)
+
+    return run
+
+
+def _answered(rows: dict, bucket: int, state: np.ndarray, sizes: list[int]) -> pa.Table:
+    cut = np.cumsum([0, *sizes])
+    return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array([bucket] * len(sizes), pa.int32()), "answer": pa.array([ch.pack_array(state[cut[i] : cut[i + 1]]) for i in range(len(sizes))], pa.binary())})
+
+
+_ANSWER = "chunk long, bucket int, answer binary"
+
+
+def _answer_anchors(buckets: int):
+    def run(key, table):
+        rows, b = table.to_pydict(), key[0].as_py()
+        keys = [ch.unpack_keys(x, KEY_BYTES, b >> (buckets.bit_length() - 9)) for x in rows["a"]]
+        joined, several = np.concatenate(keys), np.concatenate([ch.unpack_array(x, bool) for x in rows["b"]])
+        _, inverse, n = np.unique(joined, return_inverse=True, return_counts=True)
+        any_ = np.bincount(inverse, several) > 0
+        return _answered(rows, b, ((n > 1) | any_)[inverse].astype(np.uint8), [len(k) for k in keys])
+
+    return run
+
+
+def _send_runs(length: int, buckets: int):
+    def run(batches):
+        for c in ch.each(batches):
+            r = Runs(c, length)
+            r.keep_shared(c, _states(c.answers), length)
+            cut = ch.cuts(r.keys, buckets)
+            cols = [np.frombuffer(ch.pack_keys(x, KEY_BYTES), np.uint8).reshape(-1, KEY_BYTES - 1) for x in (r.keys,)]
+            content = (r.content >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            found = [(b, [cols[0][cut[b] : cut[b + 1]].tobytes(), np.ascontiguousarray(content[cut[b] : cut[b + 1]]).tobytes(), ch.pack_array(r.least[cut[b] : cut[b + 1]])]) for b in np.nonzero(np.diff(cut))[0].tolist()]
+            yield _rows(c, found, 3)
+
+    return run
+
+
+def _answer_runs(buckets: int):
+    """0: nothing of the run goes; 1: its bytes are asked for; 2: all of it goes; 3: its windows are asked for one by one."""
+
+    def run(key, table):
+        rows, b = table.to_pydict(), key[0].as_py()
+        keys = [ch.unpack_keys(x, KEY_BYTES, b >> (buckets.bit_length() - 9)) for x in rows["a"]]
+        h, doc = np.concatenate(keys), np.concatenate([ch.unpack_array(x, np.int64) for x in rows["c"]])
+        six = np.frombuffer(b"".join(rows["b"]), np.uint8).reshape(-1, 6)
+        content = np.zeros((len(six), 8), np.uint8)
+        content[:, :6] = six
+        content = content.view("<u8").ravel()
+        order = np.lexsort((doc, content, h))
+        hs, cs, ds = h[order], content[order], doc[order]
+        new_h = np.concatenate([[True], hs[1:] != hs[:-1]])
+        new = new_h | np.concatenate([[True], cs[1:] != cs[:-1]])
+        of_h = np.cumsum(new_h) - 1
+        contents = np.bincount(of_h, new)[of_h]
+        least = ds[np.nonzero(new)[0]][np.cumsum(new) - 1]
+        state = np.empty(len(h), np.uint8)
+        state[order] = np.where(ds > least, 2, np.where(contents == 1, 0, np.where(contents > HOT_RUNS, 3, 1)))
+        return _answered(rows, b, state, [len(k) for k in keys])
+
+    return run
+
+
+def _states(answers: list[bytes] | None) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint8), *(ch.unpack_array(x, np.uint8) for x in answers or [])])
 
 
 def _send_pieces(length: int, buckets: int):
+    top = np.uint64(64 - (buckets.bit_length() - 1))
+
     def run(batches):
         for c in ch.each(batches):
-            if not c.shared:
-                continue
-            first, n, h, doc = runs(c.data, c.ends, length)
-            shared = np.sort(np.frombuffer(b"".join(c.shared), "<u8"))
-            hot = np.sort(np.frombuffer(b"".join(c.hot), "<u8"))
-            is_hot = _among(h, hot)
-            some = np.nonzero(_among(h, shared) | is_hot)[0]
-            first, n, h, is_hot, ids = first[some], n[some], h[some], is_hot[some], c.ids[doc[some]]
-            # the same bytes in several documents of the chunk go out once, under the least doc_id
-            names: dict[bytes, int] = {}
-            rep = np.empty(len(some), np.int64)
-            order = np.argsort(ids, kind="stable")
-            for i in order.tolist():
-                rep[i] = names.setdefault(c.data[first[i] : first[i] + n[i] + length - 1], i)
-            # state of a run: 0 asked for, 1 the same as an asked one of the same doc_id, 2 all windows go
-            state = np.where(rep == np.arange(len(rep)), 0, np.where(ids[rep] == ids, 1, 2)).astype(np.uint8)
-            own = [first.astype("<i8").tobytes(), rep.astype("<i4").tobytes(), n.astype(np.uint8).tobytes(), state.tobytes()]
-            yield _batch([(0, None, c.chunk, own[0], own[1], None, own[2], own[3])])
-            data = np.frombuffer(c.data, np.uint8)
-            ask = np.nonzero((state == 0) & ~is_hot)[0]
-            bucket, start, size, run_no, shift = [h[ask] >> np.uint64(64 - (buckets.bit_length() - 1))], [first[ask]], [n[ask] + length - 1], [ask], [np.zeros(len(ask), np.int64)]
-            ask = np.nonzero((state == 0) & is_hot)[0]
+            r = Runs(c, length)
+            r.keep_shared(c, _states(c.answers), length)
+            state = _states(c.states)
+            ask = np.nonzero(state == 1)[0]
+            bucket, start, size, entry, shift = [r.keys[ask] >> top], [r.first[r.of[ask]]], [r.n[r.of[ask]] + length - 1], [ask], [np.zeros(len(ask), np.int64)]
+            ask = np.nonzero(state == 3)[0]
             if len(ask):
-                r = np.repeat(ask, n[ask])
-                k = np.arange(len(r)) - np.repeat(np.cumsum(n[ask]) - n[ask], n[ask])
-                w = _content_hash(_windows(data, first[r] + k, length))
-                # a window of several asked runs goes out once per run: only its document and run differ
-                bucket.append(w >> np.uint64(64 - (buckets.bit_length() - 1)))
-                start.append(first[r] + k)
-                size.append(np.full(len(r), length))
-                run_no.append(r)
+                n = r.n[r.of[ask]]
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(r.first[r.of[ask]], n) + k
+                bucket.append(_content_hash(_windows(np.frombuffer(c.data + b"\0" * 8, np.uint8), at, length)) >> top)
+                start.append(at)
+                size.append(np.full(len(at), length))
+                entry.append(np.repeat(ask, n))
                 shift.append(k)
-            bucket, start, size, run_no, shift = (np.concatenate(x).astype(np.int64) for x in (bucket, start, size, run_no, shift))
+            bucket, start, size, entry, shift = (np.concatenate(x).astype(np.int64) for x in (bucket, start, size, entry, shift))
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
+            found = []
             for b in np.nonzero(np.diff(cut))[0].tolist():
                 p = order[cut[b] : cut[b + 1]]
-                pieces = ch.pack(b"".join([c.data[s : s + z] for s, z in zip(start[p].tolist(), size[p].tolist(), strict=True)]))
-                rows.append((1, b, c.chunk, ids[run_no[p]].tobytes(), run_no[p].astype("<i4").tobytes(), shift[p].astype(np.uint8).tobytes(), size[p].astype(np.uint8).tobytes(), pieces))
-            if rows:
-                yield _batch(rows)
+                text = b"".join([c.data[s : s + z] for s, z in zip(start[p].tolist(), size[p].tolist(), strict=True)])
+                found.append((b, [*(ch.pack_array(x) for x in (r.least[entry[p]], entry[p].astype("<i4"), shift[p].astype(np.uint8), size[p].astype(np.uint8))), ch.pack_array(np.frombuffer(text, np.uint8))]))
+            if found:
+                yield _rows(c, found, 5)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "bucket", "chunk", "doc", "run", "shift", "size", "bytes"])
-
-
-def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return sorted_[at] == x
-
-
 def earlier(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether each suffix has a previous or next smaller neighbour (of an earlier doc) with which it shares all words.
 
@@ -224,19 +273,19 @@ def earlier(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answer(length: int, some: int = 1 << 21):
+def _answer_pieces(length: int):
     def run(key, table):
-        rows = table.select(["chunk", "doc", "run", "shift", "size", "bytes"]).to_pydict()
-        size = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["size"]]
-        data = np.frombuffer(b"".join([ch.unpack(x, int(s.sum())) for x, s in zip(rows["bytes"], size, strict=True)]) + b"\0" * 8, np.uint8)
-        doc = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in rows["doc"]]), return_inverse=True)[1]
+        rows = table.to_pydict()
+        size = [ch.unpack_array(x, np.uint8).astype(np.int64) for x in rows["d"]]
+        data = np.frombuffer(b"".join([ch.unpack_array(x, np.uint8).tobytes() for x in rows["e"]]) + b"\0" * 8, np.uint8)
+        doc = np.unique(np.concatenate([ch.unpack_array(x, np.int64) for x in rows["a"]]), return_inverse=True)[1]
         sizes = np.concatenate(size)
         n = sizes - length + 1
         begin = np.cumsum(sizes) - sizes
         piece = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         found = earlier(_windows(data, begin[piece] + k, length), doc[piece])
-        shift = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["shift"]]).astype(np.int64)
+        shift = np.concatenate([ch.unpack_array(x, np.uint8) for x in rows["c"]]).astype(np.int64)
         mask = np.zeros(len(n), np.uint64)
         np.bitwise_or.at(mask, piece[found], np.uint64(1) << (k + shift[piece])[found].astype(np.uint64))
         cut = np.cumsum([0] + [len(s) for s in size])
@@ -245,9 +294,9 @@ def _answer(length: int, some: int = 1 << 21):
             m = mask[cut[i] : cut[i + 1]]
             if m.any():
                 out[0].append(c)
-                out[1].append(np.frombuffer(rows["run"][i], "<i4")[m > 0].tobytes())
-                out[2].append(m[m > 0].astype("<u8").tobytes())
-        return pa.table({"chunk": pa.array(out[0], pa.int64()), "runs": pa.array(out[1], pa.binary()), "masks": pa.array(out[2], pa.binary())})
+                out[1].append(ch.pack_array(ch.unpack_array(rows["b"][i], "<i4")[m > 0]))
+                out[2].append(ch.pack_array(m[m > 0]))
+        return pa.table({"chunk": pa.array(out[0], pa.int64()), "entries": pa.array(out[1], pa.binary()), "masks": pa.array(out[2], pa.binary())})
 
     return run
 
@@ -256,17 +305,19 @@ def _cut(length: int, texts: bool):
     def run(batches):
         for c in ch.each(batches):
             cover = np.zeros(len(c.data) + 1, np.int32)
-            if c.first is not None:
-                first, rep, n, state = (np.frombuffer(x, t) for x, t in ((c.first, "<i8"), (c.rep, "<i4"), (c.n, np.uint8), (c.state, np.uint8)))
-                mask = np.zeros(len(first), np.uint64)
-                for r, m in zip(c.runs or [], c.masks or [], strict=True):
-                    np.bitwise_or.at(mask, np.frombuffer(r, "<i4"), np.frombuffer(m, "<u8"))
-                mask = np.where(state == 1, mask[rep], mask)
-                mask = np.where(state == 2, (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1), mask)
+            if c.answers:
+                r = Runs(c, length)
+                r.keep_shared(c, _states(c.answers), length)
+                state = _states(c.states)
+                mask = np.zeros(len(state), np.uint64)
+                for e, m in zip(c.entries or [], c.masks or [], strict=True):
+                    np.bitwise_or.at(mask, ch.unpack_array(e, "<i4"), ch.unpack_array(m, "<u8"))
+                whole = (state[r.entry] == 2) | (r.doc > r.least[r.entry])
+                mask = np.where(whole, (np.uint64(1) << r.n.astype(np.uint64)) - np.uint64(1), mask[r.entry])
                 hit = np.nonzero(mask)[0]
                 bits = np.unpackbits(mask[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                r, k = np.nonzero(bits)
-                at = first[hit][r] + k
+                i, k = np.nonzero(bits)
+                at = r.first[hit][i] + k
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + length, -1)
             gone = np.cumsum(cover[:-1]) > 0
@@ -295,15 +346,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     """
     if not GRAM <= length < 64 + GRAM:
         raise ValueError(f"length is {GRAM} to {63 + GRAM}")
-    table = ch.chunked(docs)
-    buckets = ch.buckets_for(table)
-    anchors = table.mapInArrow(_send_anchors(length, buckets), "bucket int, chunk long, keys binary, several binary")
-    shared = common.stored(anchors.groupBy("bucket").applyInArrow(_shared, "chunk long, shared binary, hot binary"), "shared")
-    asked = table.join(shared.groupBy("chunk").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot")), "chunk")
-    sent = common.stored(asked.mapInArrow(_send_pieces(length, buckets), _SENT), "pieces")
-    answers = sent.where("kind = 1").drop("kind").groupBy("bucket").applyInArrow(_answer(length), "chunk long, runs binary, masks binary")
-    answers = common.stored(answers, "answers")
-    own = sent.where("kind = 0").select("chunk", F.col("doc").alias("first"), F.col("run").alias("rep"), F.col("size").alias("n"), F.col("bytes").alias("state"))
-    listed = answers.groupBy("chunk").agg(F.collect_list("runs").alias("runs"), F.collect_list("masks").alias("masks"))
-    whole = table.join(own, "chunk", "left").join(listed, "chunk", "left")
-    return whole.mapInArrow(_cut(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept' if texts else 'kept_sha256'} string")
+    common.bounded_batches(docs.sparkSession)
+    table = ch.chunked(docs, 1 << 20)
+    buckets = common.parts_for(docs.sparkSession, table.agg(F.sum("n_bytes")).first()[0] or 0, least=256)
+
+    def sent(columns: str) -> str:
+        return ", ".join(["bucket int, chunk long", *(f"{x} binary" for x in columns)])
+
+    anchors = table.mapInArrow(_send_anchors(length, buckets), sent("ab"))
+    shared = common.stored(anchors.groupBy("bucket").applyInArrow(_answer_anchors(buckets), _ANSWER), "shared")
+    known = ch.with_answers(table, shared)
+    entries = known.mapInArrow(_send_runs(length, buckets), sent("abc"))
+    states = common.stored(entries.groupBy("bucket").applyInArrow(_answer_runs(buckets), _ANSWER), "states")
+    known = ch.with_answers(known, states, name="states")
+    pieces = known.mapInArrow(_send_pieces(length, buckets), sent("abcde"))
+    masks = common.stored(pieces.groupBy("bucket").applyInArrow(_answer_pieces(length), "chunk long, entries binary, masks binary"), "masks")
+    known = known.join(masks.groupBy("chunk").agg(F.collect_list("entries").alias("entries"), F.collect_list("masks").alias("masks")), "chunk", "left")
+    return known.mapInArrow(_cut(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept' if texts else 'kept_sha256'} string")
