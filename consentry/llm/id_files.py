@@ -20,6 +20,8 @@ from pyspark.sql import window as W
 
 from . import coder, common, tokens
 
+#: More segments than this are joined to their starts without a broadcast.
+MAX_BROADCAST_SEGMENTS = 100_000
 SEGMENTS = "part int, segment int, n_docs long, n_ids long, image binary"
 
 
@@ -74,6 +76,8 @@ def decode(segments: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(data[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([common.id_array(names), pa.array(ends - counts + start), pa.array(counts.astype(np.int64)), pa.array(np.array(crcs, np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    if segments.count() <= MAX_BROADCAST_SEGMENTS:
+        starts = F.broadcast(starts)  # 20 bytes a segment, against shuffling all images
     return segments.join(starts, ["part", "segment"]).select("image", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
