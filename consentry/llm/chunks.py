@@ -25,8 +25,8 @@ SCHEMA = "chunk long, n_docs long, n_bytes long, ids binary, ends binary, blob b
 _NAMES = ["chunk", "n_docs", "n_bytes", "ids", "ends", "blob"]
 
 
-def pack(text: bytes) -> bytes:
-    return pa.Codec("zstd", compression_level=3).compress(text, asbytes=True)
+def pack(text: bytes, level: int = 3) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(text, asbytes=True)
 
 
 def unpack(blob: bytes, size: int) -> bytes:
@@ -53,11 +53,11 @@ def chunked(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return common.stored(common.id_and_text(docs).mapInArrow(run, SCHEMA), "chunks")
 
 
-def row(number: int, ids: list[int], texts: list[bytes]) -> list[pa.Array]:
+def row(number: int, ids: list[int], texts: list[bytes], level: int = 3) -> list[pa.Array]:
     """The columns of one chunk."""
     joined = b"".join(texts)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-    values = (number, pa.int64()), (len(ids), pa.int64()), (len(joined), pa.int64()), (np.array(ids, np.int64).tobytes(), pa.binary()), (ends.tobytes(), pa.binary()), (pack(joined), pa.binary())
+    values = (number, pa.int64()), (len(ids), pa.int64()), (len(joined), pa.int64()), (np.array(ids, np.int64).tobytes(), pa.binary()), (ends.tobytes(), pa.binary()), (pack(joined, level), pa.binary())
     return [pa.array([x], t) for x, t in values]
 
 

@@ -36,6 +36,8 @@ SUBSETS = len(DENSITIES) * SEEDS
 _SEED = [np.uint64(xxhash.xxh64_intdigest(f"lexicon {j}".encode())) for j in range(SUBSETS)]
 #: Terms are told apart by the upper 48 bits of their hash.
 KEY_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+#: Of the compression of texts, which are shuffled twice and stored once.
+LEVEL = 6
 
 
 def terms(text: bytes) -> np.ndarray:
@@ -56,19 +58,19 @@ class Lexicon:
     def __init__(self, keys: np.ndarray, df: np.ndarray, n_docs: int, low: float, high: float) -> None:
         idf = np.log(max(1, n_docs) / np.maximum(df, 1))
         self.keys = keys[(df > 0) & (idf >= low) & (idf <= high)]
+        # which subsets each term is in, for all terms at once
+        self.member = np.stack([common.mix64(self.keys ^ seed) >> np.uint64(64 - DENSITIES[j // SEEDS]) == 0 for j, seed in enumerate(_SEED)], 1)
 
     def hashes(self, own: np.ndarray) -> list[str]:
         """A hash per subset, '-' for one without any of the text's terms; one hash of all terms if no subset has any."""
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-            kept = own[self.keys[at] == own]
-        else:
-            kept = own[:0]
-        out = []
-        for j, seed in enumerate(_SEED):
-            some = kept[common.mix64(kept ^ seed) >> np.uint64(64 - DENSITIES[j // SEEDS]) == 0]
-            out.append(xxhash.xxh64_hexdigest(some.tobytes())[:12] if len(some) else "-")
-        return out if any(x != "-" for x in out) else [f"all{xxhash.xxh64_hexdigest(own.tobytes())}"]
+            at = at[self.keys[at] == own]
+            kept, member = self.keys[at], self.member[at].T
+            out = [xxhash.xxh64_hexdigest(kept[row].tobytes())[:12] if some else "-" for row, some in zip(member, member.any(1).tolist(), strict=True)]
+            if any(x != "-" for x in out):
+                return out
+        return [f"all{xxhash.xxh64_hexdigest(own.tobytes())}"]
 
 
 def likeness(a: list[str], b: list[str]) -> float:
@@ -85,7 +87,7 @@ _ORDERED = ch.SCHEMA + ", next binary, next_bytes long"
 
 def _compressed(batches):
     for ids, texts, part in common.doc_batches(batches):
-        yield pa.RecordBatch.from_arrays([common.id_array(ids), part.column("hash"), pa.array([len(t) for t in texts], pa.int64()), pa.array([ch.pack(t) for t in texts], pa.binary())], names=["doc_id", "hash", "size", "text"])
+        yield pa.RecordBatch.from_arrays([common.id_array(ids), part.column("hash"), pa.array([len(t) for t in texts], pa.int64()), pa.array([ch.pack(t, LEVEL) for t in texts], pa.binary())], names=["doc_id", "hash", "size", "text"])
 
 
 def _ordered_chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -103,7 +105,7 @@ def _ordered_chunks(docs: DataFrame, size: int) -> DataFrame:
         ids, texts, held, last = [], [], 0, None
 
         def emit(following: bytes | None):
-            cols = [*ch.row(number, ids, texts), pa.array([None if following is None else ch.pack(following)], pa.binary()), pa.array([None if following is None else len(following)], pa.int64())]
+            cols = [*ch.row(number, ids, texts, LEVEL), pa.array([None if following is None else ch.pack(following)], pa.binary()), pa.array([None if following is None else len(following)], pa.int64())]
             return pa.RecordBatch.from_arrays(cols, names=[*ch._NAMES, "next", "next_bytes"])
 
         for batch in batches:
