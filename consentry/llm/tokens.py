@@ -19,7 +19,7 @@ RUN_OF_BLANKS = re.compile(r"\s (?:\s|$)")
 #: Pre-tokens of texts of printable ASCII and line breaks, as the file's pattern has them.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 ENDINGS, LATIN_END = tuple(".,!?;:"), "\u0250"
-MAX_PIECES, MAX_WORDS = 600_000, 600_000
+MAX_PIECES, MAX_WORDS = 250_000, 250_000
 
 
 def _byte_chars() -> dict[int, int]:
