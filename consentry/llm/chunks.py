@@ -113,6 +113,7 @@ def each(batches) -> Iterator[Chunk]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield Chunk(batch.slice(i, 1).to_pylist()[0])
+        common.trim()
 
 
 def buckets_for(chunks: DataFrame) -> int:

@@ -9,6 +9,7 @@ the input cannot clash with the working columns.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import tempfile
@@ -134,6 +135,21 @@ def doc_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int =
             part = batch.slice(lo, hi - lo)
             yield ids_of(part.column(part.schema.get_field_index("doc_id"))), [x or b"" for x in col.slice(lo, hi - lo).to_pylist()], part
             lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that Python has freed back to the system, where the C library can."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _libc = id  # another C library: nothing to do
+    _libc(0)
+
+
+_libc = None
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ from . import common
 
 GRAM = 16
 #: Different runs of an anchor from which its windows are sent one by one.
-HOT_RUNS = 256
+HOT_RUNS = 4096
 #: Anchors and runs are told apart by the upper 48 bits of their hash.
 KEY_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 KEY_BYTES = 6
@@ -191,7 +191,7 @@ def _send_runs(length: int, buckets: int):
     return run
 
 
-def _answer_runs(buckets: int):
+def _answer_runs(buckets: int, hot_runs: int):
     """0: nothing of the run goes; 1: its bytes are asked for; 2: all of it goes; 3: its windows are asked for one by one."""
 
     def run(key, table):
@@ -210,7 +210,7 @@ def _answer_runs(buckets: int):
         contents = np.bincount(of_h, new)[of_h]
         least = ds[np.nonzero(new)[0]][np.cumsum(new) - 1]
         state = np.empty(len(h), np.uint8)
-        state[order] = np.where(ds > least, 2, np.where(contents == 1, 0, np.where(contents > HOT_RUNS, 3, 1)))
+        state[order] = np.where(ds > least, 2, np.where(contents == 1, 0, np.where(contents > hot_runs, 3, 1)))
         return _answered(rows, b, state, [len(k) for k in keys])
 
     return run
@@ -273,7 +273,9 @@ def earlier(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answer_pieces(length: int):
+def _answer_pieces(length: int, at_once: int = 1 << 17):
+    """Windows are sorted at_once of them, dealt by a hash of their bytes, so memory does not grow with a bucket's suffixes."""
+
     def run(key, table):
         rows = table.to_pydict()
         size = [ch.unpack_array(x, np.uint8).astype(np.int64) for x in rows["d"]]
@@ -284,12 +286,22 @@ def _answer_pieces(length: int):
         begin = np.cumsum(sizes) - sizes
         piece = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-        found = earlier(_windows(data, begin[piece] + k, length), doc[piece])
+        at = begin[piece] + k
+        found = np.zeros(len(at), bool)
+        passes = -(-len(at) // at_once)
+        if passes > 1:
+            turn = np.concatenate([_content_hash(_windows(data, at[lo : lo + at_once], length)) % np.uint64(passes) for lo in range(0, len(at), at_once)])
+            for t in range(passes):
+                some = np.nonzero(turn == t)[0]
+                found[some] = earlier(_windows(data, at[some], length), doc[piece[some]])
+        elif passes:
+            found = earlier(_windows(data, at, length), doc[piece])
         shift = np.concatenate([ch.unpack_array(x, np.uint8) for x in rows["c"]]).astype(np.int64)
         mask = np.zeros(len(n), np.uint64)
         np.bitwise_or.at(mask, piece[found], np.uint64(1) << (k + shift[piece])[found].astype(np.uint64))
         cut = np.cumsum([0] + [len(s) for s in size])
         out = [[], [], []]
+        common.trim()
         for i, c in enumerate(rows["chunk"]):
             m = mask[cut[i] : cut[i + 1]]
             if m.any():
@@ -336,11 +348,12 @@ def _cut(length: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (texts: kept, the text that is left) of every row of docs.
 
     length: of the strings compared, GRAM to 64 + GRAM - 1 bytes. Strings are judged on the
     input, in bytes of UTF-8, and never reach from one document into another.
+    hot_runs: different runs of an anchor from which its windows are sent one by one.
     Rows of the same doc_id do not remove each other's bytes; a null doc_id is smaller than all others.
     A removal may split a character; texts then has U+FFFD in its place.
     """
@@ -357,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     shared = common.stored(anchors.groupBy("bucket").applyInArrow(_answer_anchors(buckets), _ANSWER), "shared")
     known = ch.with_answers(table, shared)
     entries = known.mapInArrow(_send_runs(length, buckets), sent("abc"))
-    states = common.stored(entries.groupBy("bucket").applyInArrow(_answer_runs(buckets), _ANSWER), "states")
+    states = common.stored(entries.groupBy("bucket").applyInArrow(_answer_runs(buckets, hot_runs), _ANSWER), "states")
     known = ch.with_answers(known, states, name="states")
     pieces = known.mapInArrow(_send_pieces(length, buckets), sent("abcde"))
     masks = common.stored(pieces.groupBy("bucket").applyInArrow(_answer_pieces(length), "chunk long, entries binary, masks binary"), "masks")
