@@ -9,7 +9,9 @@ first give whole sequences.
 
 Packing is narrow: each task packs blocks of a bounded number of tokens as it
 reads, so no document is shuffled and no group of documents meets in one task.
-Each block leaves less than one sequence of padding.
+Each block leaves less than one sequence of padding. Where an order of the
+documents is given, they are first range-partitioned and sorted by it, blocks follow
+it, and so do a block's sequences, by the mean place of their ids.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def assign(lengths: list[int], capacity: int = 1024, linear: float = 1.0, quadra
             heapq.heappush(rest, (take - n, doc))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, block_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, block_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 2048, order: str | None = None) -> DataFrame:
     """Pieces of all documents, packed.
 
     tokenizer: path of a tokenizers file. A document's ids are those of its whole
@@ -77,6 +79,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     are packed as often as they occur; an empty table gives no piece.
     ids_crc32: of the piece's ids as little-endian unsigned 32-bit integers.
     sequence_id is unique in the result; offsets in a sequence have no gaps.
+    order: column of docs that ascending sequence_ids follow (none: as they are read).
     """
 
     def run(batches):
@@ -88,16 +91,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
         def flush():
             nonlocal base, held
-            out, top = [], -1
+            out, places, top, first = [], [], -1, base
             for doc, start, length, seq, offset in assign([len(x) for x in ids], capacity, linear, quadratic):
                 crc = zlib.crc32(ids[doc][start : start + length].astype("<u4").tobytes())
                 out.append((names[doc], start, length, crc, len(ids[doc]), base + seq, offset))
+                places.append(doc)
                 top = max(top, seq)
             base += top + 1
             held = 0
             ids.clear()
             names.clear()
             cols = np.array(out, np.int64).T if out else np.zeros((7, 0), np.int64)
+            if order and out:
+                places = np.array(places)
+                seq = cols[5] - first
+                mean = np.bincount(seq, places * cols[2]) / np.maximum(np.bincount(seq, cols[2]), 1)
+                rank = np.empty(len(mean), np.int64)
+                rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+                cols[5] = first + rank[seq]
             return pa.RecordBatch.from_arrays([common.id_array(cols[0]), *(pa.array(c) for c in cols[1:])], schema=ARROW)
 
         for keys, texts, _ in common.doc_batches(batches):
@@ -110,4 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
                     yield flush()
         yield flush()
 
+    if order:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        docs = docs.repartitionByRange(parts, order).sortWithinPartitions(order)
     return common.id_and_text(docs).mapInArrow(run, SCHEMA)
