@@ -4,7 +4,8 @@ A byte-level BPE splits a text into pre-tokens before it merges anything, and a
 blank that follows a non-blank always begins a new one. Texts are therefore cut
 at blanks, each different piece is encoded once by the tokenizers library and
 its ids are kept in a bounded cache. A text in which blanks stand in a run, so
-that a cut could fall inside a pre-token, is encoded whole.
+that a cut could fall inside a pre-token, or which holds an added token of the
+file, which the library finds before it splits, is encoded whole.
 """
 
 from __future__ import annotations
@@ -53,11 +54,11 @@ class IdCache(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words: dict[str, bytes] = {}
         self.model = self.tok.model
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.by_word = self.tok.normalizer is None and self._splits_as_expected()
 
     def _splits_as_expected(self) -> bool:
@@ -97,7 +98,7 @@ class IdCache(dict):
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.by_word or _has_run(text):
+        if not self.by_word or _has_run(text) or any(t in text for t in self.added):
             return np.frombuffer(self.whole(text), self.dtype)
         first, *rest = text.split(" ")
         head = self.whole(first) if first else b""
