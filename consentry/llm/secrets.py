@@ -40,16 +40,25 @@ class Rule:
     """kind: name in the output; pattern: as the automaton reads it; at_least: characters of a match, or of what follows head.
 
     head: pattern of the part of a match before the value that at_least counts.
+    tail: pattern, as re reads it, of what follows the automaton's match and belongs to it.
     """
 
     kind: str
     pattern: str
     at_least: int = 1
     head: str = ""
+    tail: str = ""
 
 
 KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 HEAD = KEYWORD + r"""["']?\x20*[:=]\x20*["']?"""
+#: What follows a key's first line: all up to its END line; where that is missing, its headers and lines of base64.
+KEY_BREAK = r"(?:\s|\\[nrt])+"
+KEY_BODY = (
+    r"(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{KEY_BREAK}(?:Proc-Type|DEK-Info): [^\r\n\\]*)*"
+    rf"(?:(?:{KEY_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{KEY_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=[ \t]*(?:[\r\n\\]|\Z)))?)?"
+)
 BASE = (
     Rule("assign", HEAD + "[A-Za-z0-9+/_.=-]+", 12, HEAD),
     Rule("access", "AKIA[A-Z0-9]+", 18),
@@ -60,7 +69,7 @@ MORE = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", "AIza[A-Za-z0-9_-]+", 39),
     Rule("web_token", "eyJ[A-Za-z0-9_.-]+", 40),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 27, tail=KEY_BODY),
 )
 RULES = (*BASE, *MORE)
 
@@ -304,6 +313,7 @@ class Scanner:
         self.forward = [build([t], search=False) for t in trees]
         self.backward = [build([_reversed(t)], search=False) for t in trees]
         self.heads = [re.compile(r.head.encode()) if r.head else None for r in rules]
+        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
 
     def states(self, stream: np.ndarray, width: int = 2048) -> np.ndarray:
         """The state after each symbol of stream (byte classes), as one sequential run from state 0 would have it."""
@@ -355,6 +365,8 @@ class Scanner:
                     if start is None:
                         continue
                     stop = self._furthest(self.forward[r], text, start, len(text), 1) + 1
+                    if self.tails[r] and (more := self.tails[r].match(text, stop)):
+                        stop = more.end()
                     last[k][r] = stop
                     if self._long_enough(r, text[start:stop]):
                         found[k].append((start, r, stop))
