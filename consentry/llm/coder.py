@@ -2,27 +2,34 @@
 
 Segment image (all integers little-endian)::
 
-    8 bytes  magic "TIDMIX01"
-    u32 x 3  documents D, tokens of a block B, blocks K
-    u64      tokens T
-    K x      u32 words of the block, u32 crc32 of the block's ids (as u32)
+    8 bytes  magic "TIDMIX02"
+    u32 x 5  documents D, ids of a block B, blocks K, size of the vocabulary, frequent ids F
+    u64      ids T
+    F x      u32 frequent ids, in descending order of their counts in the segment
+    K x      u32 16-bit words of the block, u32 crc32 of the block's ids (as u32)
     D x      i64 doc_id, u32 ids of the document
-    rest     the blocks' 16-bit words, end to end
+    rest     the blocks: for each of its lanes the number of its words, then the lanes' words
 
 Each block of B ids (the last may be shorter) starts from the same model state
-and can be decoded alone. An id is coded in up to three steps:
-
-1. whether it is the predicted one. Predictions are the id that last followed
-   the same two ids (order 2), the same id (order 1), or the last id of the same
-   kind of position (order 0, by the previous id's size class); the highest order that has
-   one is taken. The probability is a mixture, in the logistic domain, of the
-   adaptive hit rates kept for each order's slot; the weights adapt too.
-2. if not, its number of bits, by order-0 adaptive counts of the block;
-3. and its lower bits as they are.
-
-All arithmetic is on integers, so any machine decodes what another has coded.
-The blocks of a segment advance together, one numpy operation for all of them;
-carries go into the words already written and are settled at the end.
+and can be decoded alone. A block is cut into lanes of STEPS ids, each
+with a range coder of its own, that advance together and share the block's one model,
+so that an operation of numpy serves all lanes and the model learns from all of them.
+
+An id is coded from three predictions:
+
+* order 2: the id that last followed the same two ids, with an adaptive hit rate of its slot;
+* order 1: adaptive counts of the classes that follow the class of the previous id
+  (a frequent id is a class; all others are one), mixed with
+* order 0: the counts of the classes, by how many different classes the row has seen.
+
+The order-2 id's probability is mixed in the logistic domain from its slot's rate and
+from what orders 1 and 0 give it, by weights that adapt. Its interval comes first, the
+mixed row of orders 1 and 0 takes the rest. Of an id that is not frequent the
+id itself follows, by adaptive order-0 counts of all ids.
+
+Rows are brought up to date at steps 1, 2, 4, ... and every REFRESH steps. All arithmetic is
+on integers or single rounded products, so any machine decodes what another has coded.
+Carries go into the words already written and are settled at the end.
 """
 
 from __future__ import annotations
@@ -32,21 +39,23 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TIDMIX01"
-BLOCK = 1024
-LANES = 1024  # blocks that advance together
-SLOTS = 256  # of the order-1 and order-2 tables of a block
-CLASSES = 18  # bit lengths 0..17
-REFRESH = 32  # ids after which a block's bit-length ranges are brought up to date
+MAGIC = b"TIDMIX02"
+STEPS = 256
+BLOCK = 2048 * STEPS
+FREQUENT = 383
+REFRESH = 64
+SLOTS_BITS = 19
+#: Totals: of an id's first interval, of a row of classes, of the order-0 counts.
+ALL, ROW, FLAT = 28, 16, 22
 U, I = np.uint64, np.int64
-LOW48, SMALL = U((1 << 48) - 1), U(1 << 32)
-S16, S32, S48 = U(16), U(32), U(48)
+SMALL = U(1 << 48)
+S16, S48, UALL, UROW, UFLAT = U(16), U(48), U(ALL), U(ROW), U(FLAT)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """stretch: ln(p / (1 - p)) * 256 of p in 4096ths; squash: its inverse over -2047..2047. Fixed tables, rounded to integers."""
     x = np.arange(-2047, 2048)
-    squash = np.clip(np.round(4096 / (1 + np.exp(-x / 256))), 1, 4095).astype(np.int32)
+    squash = np.clip(np.round(4096 / (1 + np.exp(-x / 256))), 32, 4064).astype(np.int32)
     p = (np.arange(4096) + 0.5) / 4096
     stretch = np.clip(np.round(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int32)
     return stretch, squash
@@ -55,227 +64,278 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 STRETCH, SQUASH = _tables()
 
 
-class _Model:
-    """The state of n blocks; all arrays have a row per block.
+def _cumulative(f: np.ndarray, bits: int) -> np.ndarray:
+    """Cumulative ranges of positive frequencies along the last axis, each at least 1, of total 1 << bits."""
+    n = f.shape[-1]
+    c = np.zeros((*f.shape[:-1], n + 1))
+    np.cumsum(f, -1, out=c[..., 1:])  # whole numbers below 2**53, so exact
+    c *= ((1 << bits) - n) / c[..., -1:]
+    c = c.astype(np.int32)
+    np.minimum(c, (1 << bits) - n, out=c)
+    c[..., -1] = (1 << bits) - n
+    c += np.arange(n + 1, dtype=np.int32)
+    return c
 
-    An entry of a table is (id last seen + 1) << 12 | hit rate in 4096ths; 0 in the upper part: none yet.
-    """
 
-    def __init__(self, n: int) -> None:
-        self.n = n
-        lane = np.arange(n, dtype=np.int32)
-        self.base = [lane * CLASSES, lane * SLOTS, lane * SLOTS]
-        self.tables = [np.full(n * size, rate, np.int32) for size, rate in ((CLASSES, 1024), (SLOTS, 1400), (SLOTS, 2000))]
-        self.weights = np.full((3, n), 22000, np.int32)
-        self.counts = np.ones((n, CLASSES), np.int32)
-        self.p1 = np.zeros(n, np.int32)
-        self.h1 = np.zeros(n, np.uint32)
+class _Model:
+    """The state of a block; arrays of lanes have an entry per lane."""
+
+    def __init__(self, lanes: int, vocab: int, top: np.ndarray) -> None:
+        self.n, self.k = lanes, len(top) + 1
+        self.rank = np.full(vocab, len(top), np.int32)
+        self.rank[top] = np.arange(len(top), dtype=np.int32)
+        self.ids = np.append(top, 0).astype(np.int32)
+        self.slots = np.zeros(1 << SLOTS_BITS, np.uint32)  # check << 24 | rate << 17 | id; 0: none
+        self.weights = [12000, 52000, 0]
+        self.counts = np.zeros(self.k * self.k, np.int32)
+        self.flat = np.zeros(vocab, np.int32)
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.row = np.full(lanes, self.k - 1, np.int32)
+        self.seen: list[np.ndarray] = []
+        self.rare: list[np.ndarray] = []
 
     def keep(self, n: int) -> None:
-        """Goes on with the first n blocks alone."""
+        """Goes on with the first n lanes alone."""
         self.n = n
-        self.base = [x[:n] for x in self.base]
-        self.weights, self.p1, self.h1 = self.weights[:, :n], self.p1[:n], self.h1[:n]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The predicted id + 1 of each block (0: none) and its probability in 65536ths."""
-        h = self.p1.astype(np.uint32) * np.uint32(0x9E3779B1)
-        h2 = h + self.h1 * np.uint32(0x85EBCA6B)
-        self.h1 = h
-        slots = (_bits(self.p1), (h >> np.uint32(24)).view(np.int32), (h2 >> np.uint32(24)).view(np.int32))
-        self.at = [b + s for b, s in zip(self.base, slots, strict=True)]
-        e = [t[a] for t, a in zip(self.tables, self.at, strict=True)]
-        self.ids = c0, c1, c2 = [x >> 12 for x in e]
-        self.rates = [x & 4095 for x in e]
-        guess = np.where(c2 > 0, c2, np.where(c1 > 0, c1, c0))
-        self.inputs = [STRETCH[r] * (c == guess) for r, c in zip(self.rates, self.ids, strict=True)]
-        w, x = self.weights, self.inputs
-        mixed = (w[0] * x[0] >> 16) + (w[1] * x[1] >> 16) + (w[2] * x[2] >> 16)
-        self.p = SQUASH[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
-        return guess, np.minimum(np.maximum(self.p << 4, 64), 65472).astype(U)
-
-    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        """ids: the blocks' ids + 1."""
-        err = hit * np.int32(4095) - self.p
-        entry = ids << 12
-        for k in range(3):
-            self.weights[k] = np.minimum(np.maximum(self.weights[k] + (self.inputs[k] * err >> 7), -500000), 500000)
-            r = self.rates[k]
-            r += ((self.ids[k] == ids) * np.int32(4095) - r) >> 3
-            self.tables[k][self.at[k]] = entry | r
-        self.p1 = ids - 1
+        self.one, self.two, self.row = self.one[:n], self.two[:n], self.row[:n]
 
     def refresh(self) -> None:
-        """Cumulative ranges of the bit lengths in 65536ths."""
-        c = np.cumsum(self.counts, 1, dtype=I)
-        self.ranges = np.zeros((len(c), CLASSES + 1), U)
-        self.ranges[:, 1:] = c * 65536 // c[:, -1:]
-
-
-#: Bit lengths of the integers below 2**17.
-_LENGTHS = np.frexp(np.arange(1 << 17))[1].astype(np.int32)
+        if self.seen:
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=len(self.counts)).astype(np.int32)
+            if self.rare:
+                np.add.at(self.flat, np.concatenate(self.rare), 1)
+            self.seen, self.rare = [], []
+        n = self.counts.reshape(self.k, self.k)
+        zero = n.sum(0, dtype=I)
+        share = (zero << 15) // max(1, int(zero.sum())) + 1
+        f = n * 32768.0
+        f += np.count_nonzero(n, 1)[:, None] * share.astype(float)[None, :] + share.astype(float)
+        table = _cumulative(f, ROW)
+        table += (np.arange(self.k, dtype=np.int32) << ROW)[:, None]
+        self.table = table.ravel().view(np.uint32)  # one ascending array of all rows
+        self.ranges = _cumulative(self.flat * 32.0 + 1, FLAT).astype(U)
 
-
-def _bits(x: np.ndarray) -> np.ndarray:
-    return _LENGTHS[x]
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order-2 id of each lane and its probability in 1 << ALL (0: it has none)."""
+        h = (self.one * np.uint32(0x9E3779B1)) ^ (self.two * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        self.at = h >> np.uint32(32 - SLOTS_BITS)
+        self.check = (h & np.uint32(0xFF)) << np.uint32(24)
+        e = self.slots[self.at]
+        rate = (e >> np.uint32(17)) & np.uint32(127)
+        self.valid = ((e & np.uint32(0xFF000000)) == self.check) & (rate > 0)
+        guess = (e & np.uint32(0x1FFFF)).astype(np.int32)
+        guess *= self.valid
+        self.rate = rate
+        cell = self.row * np.int32(self.k + 1) + self.rank[guess]
+        self.cell = cell
+        self.inputs = STRETCH[rate << np.uint32(5)], STRETCH[(self.table[cell + 1] - self.table[cell]) >> np.uint32(ROW - 12)]
+        w = self.weights
+        mixed = (self.inputs[0] * w[0] + self.inputs[1] * w[1] >> 16) + (w[2] >> 8)
+        self.p = SQUASH[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
+        self.guess = guess
+        return guess, (self.p * self.valid).astype(U) << U(ALL - 12)
+
+    def update(self, x: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> None:
+        """x: the ids of the lanes; kind: their classes."""
+        many = int(np.count_nonzero(self.valid))
+        if many:
+            err = (hit * np.int32(4095) - self.p) * self.valid
+            for k in range(2):
+                self.weights[k] = min(max(self.weights[k] + int((self.inputs[k] * err).sum()) // many // 16, -200000), 200000)
+            self.weights[2] = min(max(self.weights[2] + int(err.sum()) // many * 8, -200000), 200000)
+        up = self.rate + ((np.uint32(127) - self.rate) >> np.uint32(2)) + np.uint32(1)
+        rate = np.where(hit, np.minimum(up, np.uint32(126)), np.uint32(24))
+        new = x.astype(np.uint32)
+        self.slots[self.at] = self.check | rate << np.uint32(17) | new
+        self.seen.append(self.row * np.int32(self.k) + kind)
+        self.two, self.one, self.row = self.one, new, kind
 
 
 class _Encoder:
-    def __init__(self, n: int, words: int) -> None:
-        self.low, self.range = np.zeros(n, U), np.full(n, LOW48, U)
-        self.width, self.out = words, np.zeros(n * words, np.uint32)
-        self.at = np.arange(n, dtype=I) * words  # where the next word goes
-
-    def step(self, low, rng, at, start, size):
-        r = rng >> S16
-        low, rng = low + r * start, r * size
-        over = low >> S48
+    def __init__(self, lanes: int, words: int) -> None:
+        self.lanes, self.width = lanes, words
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
+        self.out = np.zeros(lanes * words, np.uint32)  # word by word, all lanes of a word together
+        self.at = np.arange(lanes, dtype=I)
+
+    def step(self, low, rng, at, start, size, bits):
+        r = rng >> bits
+        new, rng = low + r * start, r * size
+        over = new < low
+        if over.any():
+            self._carry(at[over])
+        low = new
+        for _ in range(2):
+            small = rng < SMALL
+            if not small.any():
+                break
+            self.out[at] = low >> S48
+            shift = small * S16
+            low, rng, at = low << shift, rng << shift, at + small * I(self.lanes)
+        return low, rng, at
+
+    def _carry(self, at: np.ndarray) -> None:
+        self.out[at - self.lanes] += np.uint32(1)
+
+    def put(self, n: int, start, size, bits) -> None:
+        """For the first n lanes."""
+        self.low[:n], self.range[:n], self.at[:n] = self.step(self.low[:n], self.range[:n], self.at[:n], start, size, bits)
+
+    def put_some(self, rows, start, size, bits) -> None:
+        self.low[rows], self.range[rows], self.at[rows] = self.step(self.low[rows], self.range[rows], self.at[rows], start, size, bits)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words of each lane, and all lanes' words."""
+        low = self.low + (SMALL - U(1))
+        over = low < self.low
         if over.any():
-            self.out[at[over > 0] - 1] += np.uint32(1)
-            low = low & LOW48
-        small = rng < SMALL
-        self.out[at] = low >> S32
-        shift = small * S16
-        return (low << shift) & LOW48, rng << shift, at + small
-
-    def put(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        """For the first n blocks."""
-        self.low[:n], self.range[:n], self.at[:n] = self.step(self.low[:n], self.range[:n], self.at[:n], start, size)
-
-    def put_some(self, rows: np.ndarray, *steps: tuple[np.ndarray, np.ndarray]) -> None:
-        x = self.low[rows], self.range[rows], self.at[rows]
-        for start, size in steps:
-            x = self.step(*x, start, size)
-        self.low[rows], self.range[rows], self.at[rows] = x
-
-    def finish(self) -> list[np.ndarray]:
-        for _ in range(3):
-            self.out[self.at] = self.low >> S32
-            self.low = (self.low << S16) & LOW48
-            self.at += 1
-        out = self.out.reshape(-1, self.width)
-        used = self.at - np.arange(len(out)) * self.width
-        out[np.arange(self.width)[None, :] >= used[:, None]] = 0  # what the last unfinished step left
-        for k in range(self.width - 1, 0, -1):
-            out[:, k - 1] += out[:, k] >> 16
-        out &= 0xFFFF
-        return [row[:n].astype("<u2") for row, n in zip(out, used, strict=True)]
+            self._carry(self.at[over])
+        self.out[self.at] = low >> S48
+        used = self.at // self.lanes + 1
+        out = self.out.reshape(self.width, self.lanes)[: int(used.max())]
+        out *= np.arange(len(out))[:, None] < used[None, :]  # what unfinished steps left
+        for k in range(len(out) - 1, 0, -1):
+            out[k - 1] += out[k] >> np.uint32(16)
+        words = out.astype("<u2").T  # drops the carries
+        return used, words[np.arange(len(out))[None, :] < used[:, None]]
 
 
 class _Decoder:
-    def __init__(self, words: list[np.ndarray]) -> None:
-        n = len(words)
-        self.width = max((len(w) for w in words), default=0) + 4
-        grid = np.zeros((n, self.width), U)
-        for i, w in enumerate(words):
-            grid[i, : len(w)] = w
-        self.code = grid[:, 0] << S32 | grid[:, 1] << S16 | grid[:, 2]
-        self.words = grid.ravel()
-        self.at, self.range = np.arange(n, dtype=I) * self.width + 3, np.full(n, LOW48, U)
+    def __init__(self, used: np.ndarray, words: np.ndarray) -> None:
+        self.lanes = n = len(used)
+        grid = np.zeros((n, int(used.max()) + 4), U)
+        grid[np.arange(grid.shape[1])[None, :] < used[:, None]] = words
+        self.words = np.append(np.ascontiguousarray(grid.T).ravel(), np.zeros(n * 8, U))
+        w = self.words[: 4 * n].reshape(4, n)
+        self.code = w[0] << S48 | w[1] << U(32) | w[2] << S16 | w[3]
+        self.range, self.at = np.full(n, 2**64 - 1, U), np.arange(n, dtype=I) + 4 * n
 
     def take(self, code, rng, at, r, start, size):
         code, rng = code - r * start, r * size
-        small = rng < SMALL
-        shift = small * S16
-        return code << shift | self.words[at] * small, rng << shift, at + small
-
-
-def _lengths(total: int, block: int) -> np.ndarray:
-    return np.diff(np.append(np.arange(0, total, block), total))
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
-    """The 16-bit words of each block of ids (integers below 2**17)."""
-    lengths = _lengths(len(ids), block)
-    out: list[np.ndarray] = []
-    for lo in range(0, len(lengths), LANES):
-        n = lengths[lo : lo + LANES]
-        grid = np.zeros((len(n), int(n[0])), np.int32)
-        flat = ids[lo * block : lo * block + int(n.sum())].astype(np.int32)
-        grid.ravel()[: len(flat)] = flat
-        grid = np.ascontiguousarray(grid.T)
-        model, coder = _Model(len(n)), _Encoder(len(n), 2 * int(n[0]) + 8)
-        for t in range(int(n[0])):
-            if t >= n[model.n - 1]:
-                model.keep(model.n - 1)  # only the last block can be shorter
-            if t % REFRESH == 0:
-                model.refresh()
-            x = grid[t, : model.n]
-            guess, p = model.predict()
-            hit = guess == x + 1
-            coder.put(model.n, np.where(hit, U(0), p), np.where(hit, p, U(65536) - p))
-            miss = np.nonzero(~hit)[0]
-            if len(miss):
-                y = x[miss]
-                b = _bits(y)
-                start = model.ranges[miss, b]
-                free = np.maximum(b - 1, 0)  # the first bit is known
-                low = (y - (np.int32(1) << free) * (b > 0)).astype(U)
-                coder.put_some(miss, (start, model.ranges[miss, b + 1] - start), (low << (16 - free).astype(U), U(65536) >> free.astype(U)))
-                model.counts[miss, b] += 1
-            model.update(x + 1, hit)
-        out += coder.finish()
-    return out
-
-
-def decode_blocks(words: list[np.ndarray], total: int, block: int = BLOCK) -> np.ndarray:
-    lengths = _lengths(total, block)
-    parts = []
-    for lo in range(0, len(lengths), LANES):
-        n = lengths[lo : lo + LANES]
-        grid = np.zeros((int(n[0]), len(n)), np.int32)
-        model, c = _Model(len(n)), _Decoder(words[lo : lo + LANES])
-        for t in range(int(n[0])):
-            if t >= n[model.n - 1]:
-                model.keep(model.n - 1)
-                c.code, c.range, c.at = c.code[: model.n], c.range[: model.n], c.at[: model.n]
-            if t % REFRESH == 0:
-                model.refresh()
-            guess, p = model.predict()
-            r = c.range >> S16
-            hit = c.code < r * p
-            c.code, c.range, c.at = c.take(c.code, c.range, c.at, r, np.where(hit, U(0), p), np.where(hit, p, U(65536) - p))
-            x = guess - 1
-            miss = np.nonzero(~hit)[0]
-            if len(miss):
-                state = c.code[miss], c.range[miss], c.at[miss]
-                ranges = model.ranges[miss]
-                r = state[1] >> S16
-                b = (ranges[:, 1:-1] * r[:, None] <= state[0][:, None]).sum(1)
-                each = np.arange(len(miss))
-                start = ranges[each, b]
-                state = c.take(*state, r, start, ranges[each, b + 1] - start)
-                r = state[1] >> S16
-                free = np.maximum(b - 1, 0)
-                shift = (16 - free).astype(U)
-                low = np.minimum(state[0] // r, U(65535)) >> shift
-                state = c.take(*state, r, low << shift, U(65536) >> free.astype(U))
-                c.code[miss], c.range[miss], c.at[miss] = state
-                x[miss] = low.astype(np.int32) + (np.int32(1) << free.astype(np.int32)) * (b > 0)
-                model.counts[miss, b] += 1
-            model.update(x + 1, hit)
-            grid[t, : model.n] = x
-        parts.append(grid.T.ravel()[: int(n.sum())])
-    return np.concatenate(parts) if parts else np.zeros(0, I)
-
-
-def segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+        for _ in range(2):
+            small = rng < SMALL
+            if not small.any():
+                break
+            shift = small * S16
+            code, rng = code << shift | self.words[np.minimum(at, len(self.words) - 1)] * small, rng << shift
+            at = at + small * I(self.lanes)
+        return code, rng, at
+
+
+def _lengths(total: int, each: int) -> np.ndarray:
+    return np.diff(np.append(np.arange(0, total, each), total))
+
+
+def _refreshes(t: int) -> bool:
+    return t % REFRESH == 0 or (t < REFRESH and t & (t - 1) == 0)
+
+
+def encode_block(ids: np.ndarray, vocab: int, top: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """The 16-bit words of a block of ids below vocab (at most 1 << 17)."""
+    n = _lengths(len(ids), steps)
+    grid = np.zeros((len(n), int(n[0])), np.int32)
+    grid.ravel()[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.T)
+    model, coder = _Model(len(n), vocab, top), _Encoder(len(n), 4 * int(n[0]) + 4)
+    one = U(1 << ALL)
+    for t in range(int(n[0])):
+        if t >= n[model.n - 1]:
+            model.keep(model.n - 1)  # only the last lane can be shorter
+        if _refreshes(t):
+            model.refresh()
+        x = grid[t, : model.n]
+        kind = model.rank[x]
+        guess, p = model.predict()
+        hit = (guess == x) & model.valid
+        cell = model.row * np.int32(model.k + 1) + kind
+        below = (model.row << np.int32(ROW)).astype(np.uint32)
+        a, b = (model.table[cell] - below).astype(U), (model.table[cell + 1] - below).astype(U)
+        q = one - p
+        start = (a * q >> UROW) + p
+        coder.put(model.n, start * ~hit, np.where(hit, p, (b * q >> UROW) + p - start), UALL)
+        rare = np.nonzero((kind == model.k - 1) & ~hit)[0]
+        if len(rare):
+            y = x[rare]
+            a = model.ranges[y]
+            coder.put_some(rare, a, model.ranges[y + 1] - a, UFLAT)
+            model.rare.append(y)
+        model.update(x, kind, hit)
+    used, words = coder.finish()
+    return np.concatenate([used.astype("<u2"), words])
+
+
+def decode_block(words: np.ndarray, total: int, vocab: int, top: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    n = _lengths(total, steps)
+    used = words[: len(n)].astype(I)
+    if used.sum() != len(words) - len(n):
+        raise ValueError("the block's length is not that of its lanes")
+    grid = np.zeros((int(n[0]), len(n)), np.int32)
+    model, c = _Model(len(n), vocab, top), _Decoder(used, words[len(n) :])
+    one = U(1 << ALL)
+    for t in range(int(n[0])):
+        if t >= n[model.n - 1]:
+            model.keep(model.n - 1)
+            c.code, c.range, c.at = c.code[: model.n], c.range[: model.n], c.at[: model.n]
+        if _refreshes(t):
+            model.refresh()
+        guess, p = model.predict()
+        r = c.range >> UALL
+        v = np.minimum(c.code // np.maximum(r, U(1)), one - U(1))
+        hit = v < p
+        q = one - p
+        y = np.where(hit, U(0), v - p)
+        m = (((y + U(1)) << UROW) - U(1)) // q + (model.row.astype(U) << UROW)
+        cell = np.searchsorted(model.table, m.astype(np.uint32), "right").astype(np.int32) - 1
+        # a row ends where the next begins, so equal ends are passed by
+        kind = np.minimum(cell - model.row * np.int32(model.k + 1), np.int32(model.k - 1))
+        cell = model.row * np.int32(model.k + 1) + kind
+        below = (model.row << np.int32(ROW)).astype(np.uint32)
+        a, b = (model.table[cell] - below).astype(U), (model.table[cell + 1] - below).astype(U)
+        start = (a * q >> UROW) + p
+        c.code, c.range, c.at = c.take(c.code, c.range, c.at, r, start * ~hit, np.where(hit, p, (b * q >> UROW) + p - start))
+        x = np.where(hit, guess, model.ids[kind])
+        rare = np.nonzero((kind == model.k - 1) & ~hit)[0]
+        if len(rare):
+            code, rng = c.code[rare], c.range[rare]
+            r = rng >> UFLAT
+            v = np.minimum(code // np.maximum(r, U(1)), U((1 << FLAT) - 1))
+            y = np.searchsorted(model.ranges, v, "right").astype(np.int32) - 1
+            a = model.ranges[y]
+            c.code[rare], c.range[rare], c.at[rare] = c.take(code, rng, c.at[rare], r, a, model.ranges[y + 1] - a)
+            x[rare] = y
+            model.rare.append(y)
+        kind = model.rank[x]
+        model.update(x, kind, hit)
+        grid[t, : model.n] = x
+    return grid.T.ravel()[:total]
+
+
+def segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, frequent: int = FREQUENT) -> bytes:
     """The image of a segment of whole documents."""
-    words = encode_blocks(ids, block)
-    crcs = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(len(words))]
-    head = MAGIC + struct.pack("<IIIQ", len(doc_ids), block, len(words), len(ids))
+    counted = np.bincount(ids) if len(ids) else np.zeros(1, I)
+    vocab = len(counted)
+    if vocab > 1 << 17:
+        raise ValueError("ids are below 131072")
+    top = np.argsort(-counted, kind="stable")[: min(frequent, int((counted > 0).sum()))].astype("<u4")
+    words = [encode_block(ids[lo : lo + block], vocab, top) for lo in range(0, len(ids), block)]
+    crcs = [zlib.crc32(ids[lo : lo + block].astype("<u4").tobytes()) for lo in range(0, len(ids), block)]
+    head = MAGIC + struct.pack("<IIIIIQ", len(doc_ids), block, len(words), vocab, len(top), len(ids))
     index = np.array([[len(w) for w in words], crcs], "<u4").T.tobytes() if words else b""
     docs = np.zeros(len(doc_ids), [("id", "<i8"), ("n", "<u4")])
     docs["id"], docs["n"] = doc_ids, counts
-    return b"".join([head, index, docs.tobytes(), *(w.tobytes() for w in words)])
+    return b"".join([head, top.tobytes(), index, docs.tobytes(), *(w.astype("<u2").tobytes() for w in words)])
 
 
 def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, counts, ids) of a segment image; a damaged block raises ValueError."""
     if image[:8] != MAGIC:
         raise ValueError("not a token-id segment")
-    n_docs, block, k, total = struct.unpack_from("<IIIQ", image, 8)
-    at = 8 + struct.calcsize("<IIIQ")
+    n_docs, block, k, vocab, n_top, total = struct.unpack_from("<IIIIIQ", image, 8)
+    at = 8 + struct.calcsize("<IIIIIQ")
+    top = np.frombuffer(image, "<u4", n_top, at)
+    at += 4 * n_top
     index = np.frombuffer(image, "<u4", 2 * k, at).reshape(k, 2)
     at += 8 * k
     docs = np.frombuffer(image, [("id", "<i8"), ("n", "<u4")], n_docs, at)
@@ -284,9 +344,9 @@ def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(index[:, 0].astype(I))
     if len(flat) != (ends[-1] if k else 0):
         raise ValueError("the segment's length is not that of its blocks")
-    words = [flat[e - n : e] for e, n in zip(ends.tolist(), index[:, 0].tolist(), strict=True)]
-    ids = decode_blocks(words, total, block)
-    for i in range(k):
-        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != index[i, 1]:
+    parts = [np.zeros(0, np.int32)]
+    for i, (end, n, size) in enumerate(zip(ends.tolist(), index[:, 0].tolist(), _lengths(total, block).tolist(), strict=True)):
+        parts.append(decode_block(flat[end - n : end], size, vocab, top))
+        if zlib.crc32(parts[-1].astype("<u4").tobytes()) != index[i, 1]:
             raise ValueError(f"block {i} is damaged")
-    return docs["id"], docs["n"], ids
+    return docs["id"], docs["n"], np.concatenate(parts)

@@ -36,22 +36,28 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int =
     def run(batches):
         encoder = tokens.cache(tokenizer)
         part = TaskContext.get().partitionId()
-        number, names, ids, held = 0, [], [], 0
+        number, names, ids, sizes, held = 0, [], [], [], 0
 
         def flush():
-            counts = np.array([len(x) for x in ids], np.int64)
+            counts = np.array(sizes, np.int64)
             image = coder.segment(np.array(names, np.int64), counts, np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([image], pa.binary())], names=["part", "segment", "n_docs", "n_ids", "image"])
 
-        for keys, texts, _ in common.doc_batches(batches):
-            for key, text in zip(keys.tolist(), texts, strict=True):
-                got = encoder.ids(text.decode("utf-8", "replace"))
-                names.append(key)
-                ids.append(np.append(got, got.dtype.type(end_id)))
-                held += len(got) + 1
+        for keys, texts, _ in common.doc_batches(batches, rows=1 << 13, size=16 << 20):
+            flat, counts = encoder.ended(texts, end_id)
+            ends = np.cumsum(counts)
+            done = 0  # documents of this batch in segments already written
+            while done < len(keys):
+                begin = int(ends[done - 1]) if done else 0
+                stop = min(len(keys), int(np.searchsorted(ends, begin + segment_ids - held)) + 1)
+                ids.append(flat[begin : int(ends[stop - 1])])
+                names += keys[done:stop].tolist()
+                sizes += counts[done:stop].tolist()
+                held += int(ends[stop - 1]) - begin
+                done = stop
                 if held >= segment_ids:
                     yield flush()
-                    number, names, ids, held = number + 1, [], [], 0
+                    number, names, ids, sizes, held = number + 1, [], [], [], 0
         if names:
             yield flush()
 
@@ -73,7 +79,7 @@ def decode(segments: DataFrame) -> DataFrame:
                 names, counts, ids = coder.read_segment(image.as_py())
                 ends = np.cumsum(counts.astype(np.int64))
                 data = ids.astype("<u4")
-                crcs = [zlib.crc32(data[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                crcs = [zlib.crc32(data[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([common.id_array(names), pa.array(ends - counts + start), pa.array(counts.astype(np.int64)), pa.array(np.array(crcs, np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     if segments.count() <= MAX_BROADCAST_SEGMENTS:
