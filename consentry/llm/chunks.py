@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -78,12 +78,18 @@ class Chunk:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Small counts as compressed u32, after their number."""
-    return len(counts).to_bytes(4, "little") + pack(counts.astype("<u4").tobytes())
+    """Counts as compressed integers of 4 bytes, or 8 where one needs them, after their number and size."""
+    size = 4 if int(counts.max(initial=0)) < 1 << 32 else 8
+    return len(counts).to_bytes(4, "little") + bytes([size]) + pack(counts.astype(f"<u{size}").tobytes())
 
 
-def unpack_counts(data: bytes) -> bytes:
-    return unpack(data[4:], 4 * int.from_bytes(data[:4], "little"))
+def unpack_counts(data: bytes) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), data[4]
+    return np.frombuffer(unpack(data[5:], size * n), f"<u{size}").astype(np.int64)
+
+
+def all_counts(answers: list[bytes] | None) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, answers or [])])
 
 
 def pack_array(x: np.ndarray) -> bytes:
@@ -127,14 +133,20 @@ def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def totals(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int, key_bytes: int = 8) -> DataFrame:
+def tasks_for(spark: SparkSession, n_bytes: int, each: int = 16 << 20) -> int:
+    """A number of tasks that keeps what one reads near a fixed size, whatever the input's."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_bytes // each))
+
+
+def totals(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int, key_bytes: int = 8, tasks: int = 0, top: int = 0) -> DataFrame:
     """For each chunk's keys the sum of their counts over all chunks.
 
     keys_of: sorted different 64-bit keys of a chunk, and their counts; of a key
     only its upper key_bytes bytes may be set. The table returned is stored: chunk, bucket and answer
     (pack_counts of the sums, in the order of the chunk's keys in that bucket),
     and for each bucket a row with a null chunk and n_keys, the different keys with a
-    count, and n_all, the sum of all counts.
+    count, n_all, the sum of all counts, and often: the top keys of the greatest counts.
+    tasks: that the buckets are dealt to (0: as the session has it).
     """
 
     def send(batches):
@@ -152,20 +164,28 @@ def totals(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.nd
         order = np.argsort(joined, kind="stable")
         ordered = joined[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        sums = np.add.reduceat(np.concatenate([np.frombuffer(unpack_counts(x), "<u4") for x in rows["counts"]])[order].astype(np.int64), np.nonzero(first)[0])
+        sums = np.add.reduceat(all_counts(rows["counts"])[order], np.nonzero(first)[0])
         answer = np.empty(len(joined), np.int64)
         answer[order] = sums[np.cumsum(first) - 1]
-        answer = np.minimum(answer, 2**32 - 1)
         cut = np.cumsum([0] + [len(k) for k in keys])
         n = len(keys)
-        return pa.table({"chunk": pa.array([*rows["chunk"], None], pa.int64()), "bucket": pa.array([b] * (n + 1), pa.int32()), "answer": pa.array([*(pack_counts(answer[cut[i] : cut[i + 1]]) for i in range(n)), None], pa.binary()), "n_keys": pa.array([0] * n + [int((sums > 0).sum())], pa.int64()), "n_all": pa.array([0] * n + [int(sums.sum())], pa.int64())})
+        distinct = ordered[first]
+        most = np.lexsort((distinct, -sums))[:top]
+        often = [{"key": k, "n": c} for k, c in zip(distinct[most].view(np.int64).tolist(), sums[most].tolist(), strict=True) if c]
+        return pa.table({"chunk": pa.array([*rows["chunk"], None], pa.int64()), "bucket": pa.array([b] * (n + 1), pa.int32()), "answer": pa.array([*(pack_counts(answer[cut[i] : cut[i + 1]]) for i in range(n)), None], pa.binary()), "n_keys": pa.array([0] * n + [int((sums > 0).sum())], pa.int64()), "n_all": pa.array([0] * n + [int(sums.sum())], pa.int64()), "often": pa.array([None] * n + [often], pa.list_(pa.struct({"key": pa.int64(), "n": pa.int64()})))})
 
     sent = chunks.mapInArrow(send, "bucket int, chunk long, keys binary, counts binary")
-    got = sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, answer binary, n_keys long, n_all long")
+    got = dealt(sent, "bucket", tasks).groupBy("bucket").applyInArrow(add, "chunk long, bucket int, answer binary, n_keys long, n_all long, often array<struct<key: long, n: long>>")
     return common.stored(got, "totals")
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
+def dealt(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """rows dealt by a key to so many tasks (0: left to the session)."""
+    return rows.repartition(tasks, key) if tasks else rows
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame, name: str = "answers", tasks: int = 0) -> DataFrame:
     """chunks with an array of their answers in bucket order (null where there are none)."""
-    listed = answers.where("chunk is not null").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "answer"))), lambda x: x["answer"]).alias(name))
-    return chunks.join(listed, "chunk", "left")
+    mine = dealt(answers.where("chunk is not null").select("chunk", "bucket", "answer"), "chunk", tasks)
+    listed = mine.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "answer"))), lambda x: x["answer"]).alias(name))
+    return dealt(chunks, "chunk", tasks).join(listed, "chunk", "left")

@@ -166,21 +166,23 @@ def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 9.0, size: int
     low, high: the band of inverse document frequencies. A text's edited form has
     its last quarter replaced by the head of the next document in ascending
     doc_id (nulls first, rows of one id by the hash of their text; after the last
-    the first). near_edited and near_next: likeness of the document's fingerprint to that of
+    the first). A null text is the empty text, whose fingerprint is the hash of no term; all
+    empty texts share it, and their likeness to each other is 1. No row, no result. near_edited and near_next: likeness of the document's fingerprint to that of
     its edited form and of the next document.
     """
     common.bounded_batches(docs.sparkSession)
     table = _ordered_chunks(docs, size)
     seen = table.agg(F.sum("n_bytes"), F.sum("n_docs")).first()
     n_docs, buckets = seen[1] or 0, common.parts_for(docs.sparkSession, seen[0] or 0, least=256)
-    answers = ch.totals(table, _keys, buckets, key_bytes=6)
+    tasks = ch.tasks_for(docs.sparkSession, seen[0] or 0)
+    answers = ch.totals(table, _keys, buckets, key_bytes=6, tasks=tasks)
 
     def run(batches):
         for c in ch.each(batches):
             own, changed = _texts(c)
             t_own, t_changed = ([terms(t.encode()) for t in x] for x in (own, changed))
             keys = np.unique(np.concatenate([*t_own, *t_changed]))
-            lexicon = Lexicon(keys, np.frombuffer(b"".join(map(ch.unpack_counts, c.answers or [])), "<u4"), n_docs, low, high)
+            lexicon = Lexicon(keys, ch.all_counts(c.answers), n_docs, low, high)
             prints, prints_changed = ([lexicon.hashes(t) for t in x] for x in (t_own, t_changed))
             n = len(c.ids)
             cols = [common.id_array(c.ids), pa.array([len(t) for t in own[:n]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed])]
@@ -188,4 +190,4 @@ def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 9.0, size: int
             cols += [pa.array([likeness(a, b) for a, b in zip(prints[:n], x, strict=True)], pa.float64()) for x in (prints_changed, prints[1:])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return ch.with_answers(table, answers).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ch.with_answers(table, answers, tasks=tasks).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

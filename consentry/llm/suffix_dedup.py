@@ -18,8 +18,9 @@ groups of suffixes that cannot match across groups:
    document has goes whole; one that differs from all others of its anchor
    only by its bytes, if at all, is asked about.
 4. Of the runs asked about, the bytes of the first copy go to the anchor's bucket.
-   Buckets sort the suffixes, find the neighbours, and answer with a bit for
-   each window of each run.
+   Buckets sort the suffixes into a suffix array, find for each the previous and the next position
+   in it of an earlier document (nearest smaller values), take the longer of the two common prefixes
+   as the longest previous factor, and answer with a bit for each window of each run that has one of full length.
 5. Chunks mark the bytes of all found windows and cut them out.
 
 An anchor with many different runs (a passage of many documents with different
@@ -42,7 +43,7 @@ from . import common
 GRAM = 16
 #: Different runs of an anchor from which its windows are sent one by one.
 HOT_RUNS = 4096
-#: Anchors and runs are told apart by the upper 48 bits of their hash.
+#: Anchors are told apart by the upper 48 bits of their hash, runs of an anchor by 64 bits of another.
 KEY_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 KEY_BYTES = 6
 
@@ -125,7 +126,7 @@ class Runs:
         data = np.frombuffer(c.data + b"\0" * 8, np.uint8)
         a = _content_hash(_windows(data, self.first, length))
         b = _content_hash(_windows(data, self.first + self.n - 1, length))
-        content = common.mix64(a + common.mix64(b ^ self.n.astype(np.uint64))) & KEY_BITS
+        content = common.mix64(a + common.mix64(b ^ self.n.astype(np.uint64)))
         order = np.lexsort((self.doc, content, self.h))
         h, t = self.h[order], content[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, bool)
@@ -184,8 +185,7 @@ def _send_runs(length: int, buckets: int):
             r.keep_shared(c, _states(c.answers), length)
             cut = ch.cuts(r.keys, buckets)
             cols = [np.frombuffer(ch.pack_keys(x, KEY_BYTES), np.uint8).reshape(-1, KEY_BYTES - 1) for x in (r.keys,)]
-            content = (r.content >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            found = [(b, [cols[0][cut[b] : cut[b + 1]].tobytes(), np.ascontiguousarray(content[cut[b] : cut[b + 1]]).tobytes(), ch.pack_array(r.least[cut[b] : cut[b + 1]])]) for b in np.nonzero(np.diff(cut))[0].tolist()]
+            found = [(b, [cols[0][cut[b] : cut[b + 1]].tobytes(), r.content[cut[b] : cut[b + 1]].astype("<u8").tobytes(), ch.pack_array(r.least[cut[b] : cut[b + 1]])]) for b in np.nonzero(np.diff(cut))[0].tolist()]
             yield _rows(c, found, 3)
 
     return run
@@ -198,10 +198,7 @@ def _answer_runs(buckets: int, hot_runs: int):
         rows, b = table.to_pydict(), key[0].as_py()
         keys = [ch.unpack_keys(x, KEY_BYTES, b >> (buckets.bit_length() - 9)) for x in rows["a"]]
         h, doc = np.concatenate(keys), np.concatenate([ch.unpack_array(x, np.int64) for x in rows["c"]])
-        six = np.frombuffer(b"".join(rows["b"]), np.uint8).reshape(-1, 6)
-        content = np.zeros((len(six), 8), np.uint8)
-        content[:, :6] = six
-        content = content.view("<u8").ravel()
+        content = np.frombuffer(b"".join(rows["b"]), "<u8")
         order = np.lexsort((doc, content, h))
         hs, cs, ds = h[order], content[order], doc[order]
         new_h = np.concatenate([[True], hs[1:] != hs[:-1]])
@@ -254,22 +251,59 @@ def _send_pieces(length: int, buckets: int):
     return run
 
 
-def earlier(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each suffix has a previous or next smaller neighbour (of an earlier doc) with which it shares all words.
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """Of each place the nearest place before it with a smaller value (-1: none).
 
-    words: the suffixes' first bytes, as rows of words; doc: their documents' ranks.
+    Minima of windows of 1, 2, 4, ... places are built; each place then skips, the widest
+    window first, all windows before it that hold nothing smaller.
+    """
+    n = len(x)
+    levels = [x]
+    while 1 << len(levels) <= n:
+        last, w = levels[-1], 1 << (len(levels) - 1)
+        levels.append(np.concatenate([last[:w], np.minimum(last[w:], last[:-w])]))  # ends at the place; at the left edge shorter
+    at = np.arange(n) - 1
+    for k in range(len(levels) - 1, -1, -1):
+        skip = (levels[k].take(at, mode="clip") >= x) & (at >= 0)
+        at -= skip.astype(np.int64) << k
+        np.maximum(at, -1, out=at)
+    return at
+
+
+def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Equal leading bytes, up to length, of suffixes a and b."""
+    out = np.full(len(a), length, np.int64)
+    same = np.ones(len(a), bool)
+    for k, w in enumerate(words):
+        differ = w.take(a, mode="clip") ^ w.take(b, mode="clip")
+        first = np.nonzero(same & (differ > 0))[0]
+        if len(first):
+            start = min(8 * k, length - 8)
+            out[first] = start + sum((differ[first] < np.uint64(1 << (8 * j))).astype(np.int64) for j in range(1, 8))
+            same[first] = False
+    return out
+
+
+def longest_previous_factors(words: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix the length, up to length, of its longest factor that also begins in an earlier document.
+
+    words: the suffixes' first length bytes, as rows of words; doc: their documents' ranks. In
+    suffix order, the longest match with an earlier document is at the previous or the next
+    place of a smaller doc: any other is farther away, and common prefixes only shrink with distance.
     """
     order = np.lexsort((doc, *words[::-1])) if len(doc) else np.zeros(0, np.int64)
-    same = np.ones(max(0, len(order) - 1), bool)
-    for w in words:
-        x = w[order]
-        same &= x[1:] == x[:-1]
-    interval = np.cumsum(np.concatenate([[False], ~same])) if len(order) else order  # where the common prefix with the one before is shorter, a new interval begins
-    d, big = doc[order], int(doc.max(initial=0)) + 2
-    previous = np.minimum.accumulate(d - interval * big) + interval * big
-    following = np.minimum.accumulate((d + interval * big)[::-1])[::-1] - interval * big
-    out = np.empty(len(order), bool)
-    out[order] = (previous < d) | (following < d)
+    d = doc[order]
+    ordered = words[:, order] if len(doc) else words
+    n = len(d)
+    previous = previous_smaller(d)
+    following = n - 1 - previous_smaller(d[::-1])[::-1]
+    here = np.arange(n)
+    factor = np.zeros(n, np.int64)
+    for other in (previous, following):
+        some = np.nonzero((other >= 0) & (other < n))[0]
+        factor[some] = np.maximum(factor[some], common_prefix(ordered, here[some], other[some], length))
+    out = np.empty(n, np.int64)
+    out[order] = factor
     return out
 
 
@@ -293,9 +327,9 @@ def _answer_pieces(length: int, at_once: int = 1 << 17):
             turn = np.concatenate([_content_hash(_windows(data, at[lo : lo + at_once], length)) % np.uint64(passes) for lo in range(0, len(at), at_once)])
             for t in range(passes):
                 some = np.nonzero(turn == t)[0]
-                found[some] = earlier(_windows(data, at[some], length), doc[piece[some]])
+                found[some] = longest_previous_factors(_windows(data, at[some], length), doc[piece[some]], length) >= length
         elif passes:
-            found = earlier(_windows(data, at, length), doc[piece])
+            found = longest_previous_factors(_windows(data, at, length), doc[piece], length) >= length
         shift = np.concatenate([ch.unpack_array(x, np.uint8) for x in rows["c"]]).astype(np.int64)
         mask = np.zeros(len(n), np.uint64)
         np.bitwise_or.at(mask, piece[found], np.uint64(1) << (k + shift[piece])[found].astype(np.uint64))
@@ -361,18 +395,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False, hot_r
         raise ValueError(f"length is {GRAM} to {63 + GRAM}")
     common.bounded_batches(docs.sparkSession)
     table = ch.chunked(docs, 1 << 20)
-    buckets = common.parts_for(docs.sparkSession, table.agg(F.sum("n_bytes")).first()[0] or 0, least=256)
+    n_bytes = table.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets, tasks = common.parts_for(docs.sparkSession, n_bytes, least=256), ch.tasks_for(docs.sparkSession, n_bytes)
 
     def sent(columns: str) -> str:
         return ", ".join(["bucket int, chunk long", *(f"{x} binary" for x in columns)])
 
     anchors = table.mapInArrow(_send_anchors(length, buckets), sent("ab"))
-    shared = common.stored(anchors.groupBy("bucket").applyInArrow(_answer_anchors(buckets), _ANSWER), "shared")
-    known = ch.with_answers(table, shared)
+    shared = common.stored(ch.dealt(anchors, "bucket", tasks).groupBy("bucket").applyInArrow(_answer_anchors(buckets), _ANSWER), "shared")
+    known = ch.with_answers(table, shared, tasks=tasks)
     entries = known.mapInArrow(_send_runs(length, buckets), sent("abc"))
-    states = common.stored(entries.groupBy("bucket").applyInArrow(_answer_runs(buckets, hot_runs), _ANSWER), "states")
-    known = ch.with_answers(known, states, name="states")
+    states = common.stored(ch.dealt(entries, "bucket", tasks).groupBy("bucket").applyInArrow(_answer_runs(buckets, hot_runs), _ANSWER), "states")
+    known = ch.with_answers(known, states, name="states", tasks=tasks)
     pieces = known.mapInArrow(_send_pieces(length, buckets), sent("abcde"))
-    masks = common.stored(pieces.groupBy("bucket").applyInArrow(_answer_pieces(length), "chunk long, entries binary, masks binary"), "masks")
-    known = known.join(masks.groupBy("chunk").agg(F.collect_list("entries").alias("entries"), F.collect_list("masks").alias("masks")), "chunk", "left")
+    masks = common.stored(ch.dealt(pieces, "bucket", tasks).groupBy("bucket").applyInArrow(_answer_pieces(length), "chunk long, entries binary, masks binary"), "masks")
+    known = known.join(ch.dealt(masks, "chunk", tasks).groupBy("chunk").agg(F.collect_list("entries").alias("entries"), F.collect_list("masks").alias("masks")), "chunk", "left")
     return known.mapInArrow(_cut(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept' if texts else 'kept_sha256'} string")
