@@ -2,8 +2,8 @@
 
 Null rules used by every operator here: a null text counts as the empty text; a
 null ``doc_id`` is reported as null and ordered before every other id.
-Operators select the columns they need first, so extra columns of any name in
-the input cannot clash with the working columns.
+Operators select the columns they need first, or name their working columns apart
+from all columns of the input (free_prefix), so extra columns of any name cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +31,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_prefix(docs: DataFrame, base: str) -> str:
+    """base, with as many underscores before it as keep it apart from the beginnings of all columns."""
+    while any(c.lower().startswith(base.lower()) for c in docs.columns):
+        base = f"_{base}"
+    return base
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """many joined to the row of one that has its key, without a task for any one key.
+
+    one has a row per key and n, the rows of many that have that key; total: the rows of many. A key
+    of more than a thousandth of them is broadcast: there are at most a thousand such keys.
+    """
+    hot = one.where(F.col("n") * 1000 > total).drop("n")
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") * 1000 <= total).drop("n"), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns most operators work on: doc_id as long, text without nulls."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -44,11 +62,13 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a folder on this machine takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, a folder on this machine takes its place.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         got = getattr(spark, "_own_shared_folder", None) or f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark._own_shared_folder = got
     return got

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import common
+
 #: Multiplier of the pseudo-random order (2**32 over the golden ratio).
 GOLDEN = 2654435761
 #: More sources than this are joined to their schedule without a broadcast.
@@ -64,7 +66,7 @@ def _size() -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 65536, period: int = 1024, exponent: float = 0.5, bucket_rows: int = 2000, prefix: str = "mix_") -> DataFrame:
-    """docs with <prefix>slot, <prefix>block and <prefix>order.
+    """docs with <prefix>slot, <prefix>block and <prefix>order, in the place of any columns of these names.
 
     Read by ascending order, docs are mixed to the weights: order is slot *
     block_chars plus the characters of the block before the document, and no two
@@ -73,8 +75,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 65
     source of docs, or the other way round: that source's weight is the least
     given one; sources without documents leave their slots empty.
     """
-    spark = docs.sparkSession
-    p = prefix
+    p = common.free_prefix(docs, prefix)
     rows = docs.withColumns({f"{p}src": F.coalesce(F.col("source").cast("string"), F.lit("")), f"{p}size": _size()})
     seen = rows.groupBy(f"{p}src").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first()
     n_sources, n_rows = seen[0], seen[1] or 0
@@ -101,13 +102,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 65
     rows = rows.withColumn(f"{p}k", F.col(f"{p}block") % F.col(f"{p}quota")).join(each, [f"{p}src", f"{p}k"])
     rows = rows.withColumn(f"{p}slot", F.floor(F.col(f"{p}block") / F.col(f"{p}quota")) * F.col(f"{p}slots") + F.col(f"{p}at"))
     rows = rows.withColumn(f"{p}order", F.col(f"{p}slot") * block_chars + F.col(f"{p}before") % block_chars)
-    return rows.select(*docs.columns, f"{p}slot", f"{p}block", f"{p}order")
+    own = [c for c in docs.columns if c.lower() not in {f"{prefix}{x}".lower() for x in ("slot", "block", "order")}]
+    return rows.select(*own, *(F.col(f"{p}{x}").alias(f"{prefix}{x}") for x in ("slot", "block", "order")))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs in the mixed order: range-partitioned and sorted by it, with the columns of docs."""
-    rows = mix(docs, **options)
-    return rows.repartitionByRange("mix_order").sortWithinPartitions("mix_order").select(*docs.columns)
+    p = common.free_prefix(docs, "mix_")
+    rows = mix(docs, **options, prefix=p)
+    return rows.repartitionByRange(f"{p}order").sortWithinPartitions(f"{p}order").select(*docs.columns)
 
 
 #: SQL for op8's rows: mix() of documents with its default parameters.

@@ -11,7 +11,7 @@ Only distinct fingerprints are searched. A probe sends a fingerprint to one
 key for each value within t_i bits of its own value of part i; what meets at
 a key is verified in blocks of numpy arrays, and only a spanning forest of the links
 found there leaves the task. Keys that hold more than a set number of
-fingerprints are dealt anew by a second level of parts, of the other bits.
+fingerprints are dealt anew by parts of the other bits, as often as it takes.
 """
 
 from __future__ import annotations
@@ -193,20 +193,20 @@ def _verify(limit: int):
     return run
 
 
-def links(fps: DataFrame, limit: int = 4, sample_size: int = 4096, hot: int = 2048) -> DataFrame:
+def links(fps: DataFrame, limit: int = 4, sample_size: int = 4096, hot: int = 2048, plan: tuple[list[list[int]], list[int]] | None = None) -> DataFrame:
     """Edges (a, b) that connect all fingerprints linked at limit or fewer differing bits.
 
     fps: a table of distinct fingerprints, one column fp. sample_size: how many
     (those of the least hash) are used to choose parts and thresholds; the
-    search itself covers all. hot: keys with more fingerprints go to the second
-    level.
+    search itself covers all. hot: keys with more fingerprints are dealt anew.
+    plan: the parts and thresholds, if they are not to be chosen.
     """
     spark = fps.sparkSession
     total = fps.count()
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()], np.int64).view(np.uint64)
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
-    parts, ts = plan_search(sample, total, limit)
+    parts, ts = plan or plan_search(sample, total, limit)
     probes = fps.select("fp").mapInArrow(_probe(parts, ts), "part int, key long, fp long")
     sizes = probes.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = common.stored(sizes, "keys")
@@ -215,18 +215,52 @@ def links(fps: DataFrame, limit: int = 4, sample_size: int = 4096, hot: int = 20
     out = met.select("fps").mapInArrow(_verify(limit), "a long, b long")
     wide = sizes.where(F.col("n") > hot).select("part", "key")
     if wide.limit(1).count():
-        out = out.unionByName(_second_level(probes.join(wide, ["part", "key"]), parts, limit))
+        out = out.unionByName(_crowded(probes.join(wide, ["part", "key"]), parts, limit, hot))
     return out.distinct()
 
 
-def _second_level(rows: DataFrame, parts: list[list[int]], limit: int) -> DataFrame:
-    """Links among the fingerprints of each crowded key, met again by limit + 1 parts of the other bits."""
-    rest = [np.array_split(np.array([b for b in range(64) if b not in set(p)]), limit + 1) for p in parts]
-    masks = [[int(np.array([sum(1 << int(b) for b in q)], np.uint64).view(np.int64)[0]) for q in r] for r in rest]
-    keyed = rows.select("part", "key", "fp", F.element_at(F.array(*[F.array(*[F.lit(x) for x in m]) for m in masks]), F.col("part") + 1).alias("masks"))
-    keyed = keyed.select("part", "key", "fp", F.posexplode("masks").alias("sub", "mask")).select("part", "key", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("sub_key"), "fp")
-    met = keyed.groupBy("part", "key", "sub", "sub_key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return met.select("fps").mapInArrow(_verify(limit), "a long, b long")
+def _narrower(parts: list[list[int]], limit: int):
+    """Rows (part, key, mask, same, fp): each fingerprint once for each of limit + 1 parts of the bits that its group need not share.
+
+    Two fingerprints of a group within limit bits agree on one of these parts. mask: the bits on
+    which the new group agrees; same: their values. Where so few bits are left that the group cannot be large, it stays whole (mask 0 in all bits: -1).
+    """
+    own = [sum(1 << b for b in p) for p in parts]
+
+    def run(batches):
+        for batch in batches:
+            part, key, mask, fp = (np.asarray(batch.column(i)) for i in range(4))
+            for p in np.unique(part).tolist():
+                for m in np.unique(mask[part == p]).tolist():
+                    some = (part == p) & (mask == m)
+                    known = own[p] | (m & (1 << 64) - 1)
+                    left = [b for b in range(64) if not known >> b & 1]
+                    size = max(1, -(-len(left) // (limit + 1)))
+                    for lo in range(0, len(left), size):
+                        more = sum(1 << b for b in left[lo : lo + size])
+                        now = np.array([(m & (1 << 64) - 1) | more], np.uint64).view(np.int64)[0]
+                        f = fp[some]
+                        yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(key[some]), pa.array(np.full(len(f), now)), pa.array(f & now), pa.array(f)], names=["part", "key", "mask", "same", "fp"])
+
+    return run
+
+
+def _crowded(rows: DataFrame, parts: list[list[int]], limit: int, hot: int) -> DataFrame:
+    """Links among the fingerprints of each crowded key, met again and again by parts of the bits not yet used until no key is crowded."""
+    by = ["part", "key", "mask", "same"]
+    rows = rows.select("part", "key", F.lit(0).cast("long").alias("mask"), "fp")
+    out = None
+    for _ in range(64 // max(1, limit) + 1):
+        met = rows.mapInArrow(_narrower(parts, limit), "part int, key long, mask long, same long, fp long")
+        sizes = common.stored(met.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "keys")
+        done = met.join(sizes.where(F.col("n") <= hot).select(*by), by).groupBy(*by).agg(F.collect_list("fp").alias("fps"))
+        found = done.select("fps").mapInArrow(_verify(limit), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        wide = sizes.where(F.col("n") > hot).select(*by)
+        if not wide.limit(1).count():
+            break
+        rows = common.stored(met.join(wide, by).select("part", "key", "mask", "fp"), "crowded")
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -262,12 +296,14 @@ def near_duplicates(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFram
     and so is the component_id of a group that holds one.
     """
     rows = common.stored(fingerprints(docs, words), "fingerprints")
-    distinct = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("no_id")).select("fp", F.when(F.col("no_id"), F.lit(None)).otherwise(F.col("first")).alias("first"), "no_id"), "distinct")
+    distinct = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.count("*").alias("n")).select("fp", F.when(F.col("no_id"), F.lit(None)).otherwise(F.col("first")).alias("first"), "no_id", "n"), "distinct")
+    all_rows = distinct.agg(F.sum("n")).first()[0] or 0
     roots = components(links(distinct.select("fp"), limit))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "no_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"), F.max("no_id").alias("any")).select("root", F.when(F.col("any"), F.lit(None)).otherwise(F.col("least")).alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "text_hash")
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "no_id", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.max("no_id").alias("any"))
+    least = least.select("root", F.when(F.col("any"), F.lit(None)).otherwise(F.col("least")).alias("component_id"))
+    classes = common.stored(named.join(least, "root").select("fp", "component_id", F.col("rows").alias("n")), "classes")
+    return common.join_one(rows, classes, "fp", all_rows).select("doc_id", "fp", "component_id", "text_hash")
 
 
 def keep_first(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
@@ -275,9 +311,8 @@ def keep_first(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
 
     Columns and kept rows are as they were. Rows without words form one group.
     """
-    p = "_near_"
+    p = common.free_prefix(docs, "_near_")
     found = near_duplicates(docs, limit, words)
-    # the columns are named apart from any that docs may have
     order = F.struct(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), F.col("text_hash").alias("hash"))
     first = found.groupBy(F.coalesce("component_id", F.lit(common.NULL_ID)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(order).alias("first"))
     first = common.stored(first.select(F.col("first.id").alias(f"{p}id"), F.col("first.hash").alias(f"{p}hash")).distinct(), "first")
