@@ -135,3 +135,18 @@ def corpus_truth(base: Column, hardness: Column) -> tuple[Column, Column]:
     """Risk and expected decision of a corpus sample of this base sensitivity and hardness (1 to 5)."""
     r = F.least(F.lit(1.0), base * (1 + 0.15 * (5 - hardness)))
     return r, F.when(r < 0.3, "allow").when(r < 0.7, "transform").otherwise("deny")
+
+
+def spr(likelihood: Column, severity_: Column, actions: Column, purposes: Column, has_policy: Column) -> Column:
+    """A weighted sum of likelihood, severity, sharing, purpose and the lack of a policy."""
+    shares = F.arrays_overlap(_items(actions), F.array(F.lit("Share"), F.lit("Transfer")))
+    sells = F.arrays_overlap(_items(purposes), F.array(F.lit("Advertising"), F.lit("Marketing"), F.lit("Unknown")))
+    one = lambda x: F.when(F.coalesce(x, F.lit(False)), 1.0).otherwise(0.0)
+    return 0.30 * likelihood + 0.25 * severity_ + 0.15 * one(shares) + 0.10 * one(sells) + 0.20 * F.when(has_policy, 0.0).otherwise(0.3)
+
+
+def shifted_severity(categories, actions, purposes, recipients, action_type, data: Column, sent: Column, why: Column) -> Column:
+    """severity() with each table scaled by a factor and kept within 0 to 2."""
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(2.0), x))
+    d, t, p = clamp(data_sensitivity(categories) * data), clamp(transmission(recipients, actions) * sent), clamp(purpose(purposes) * why)
+    return F.least(F.lit(1.0), d * (F.lit(0.6) + 0.9 * t) * (F.lit(0.5) + 0.9 * p) * basis(action_type))

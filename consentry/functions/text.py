@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then refers to it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), F.lower)
 
@@ -44,13 +51,26 @@ def _any(low: Column, keys: list[str]) -> Column:
 
 def sensitive_phrases(text: Column) -> Column:
     """Per category its longest phrase in the text (first of equals), by phrase length, then category order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = []
-    for k, (category, phrases) in enumerate(T.PHRASES.items()):
-        ranked = sorted(phrases.split("|"), key=lambda p: -len(p))
-        hit = F.get(F.filter(F.array(*map(F.lit, ranked)), lambda p: F.contains(low, p)), F.lit(0))
-        out.append(F.when(hit.isNotNull(), F.struct((-F.length(hit)).alias("o"), F.lit(k).alias("k"), F.lit(category).alias("category"), hit.alias("matched_phrase"))))
-    return F.transform(F.array_sort(F.array_compact(F.array(*out))), lambda x: F.struct(x["category"].alias("category"), x["matched_phrase"].alias("matched_phrase"), F.lit(0.7).alias("confidence"), F.lit("keyword").alias("method")))
+
+    def hits(low: Column) -> Column:
+        out = []
+        for k, (category, phrases) in enumerate(T.PHRASES.items()):
+            ranked = sorted(phrases, key=lambda p: -len(p))
+            hit = F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in ranked])  # stops at the first
+            out.append(F.struct(F.lit(k).alias("k"), F.lit(category).alias("category"), hit.alias("matched_phrase")))
+        found = F.filter(F.array(*out), lambda x: x["matched_phrase"].isNotNull())
+        return F.array_sort(F.transform(found, lambda x: F.struct((-F.length(x["matched_phrase"])).alias("o"), x["k"].alias("k"), x["category"].alias("category"), x["matched_phrase"].alias("matched_phrase"))))
+
+    return F.transform(let(F.lower(F.coalesce(text, F.lit(""))), hits), lambda x: F.struct(x["category"].alias("category"), x["matched_phrase"].alias("matched_phrase"), F.lit(0.7).alias("confidence"), F.lit("keyword").alias("method")))
+
+
+#: What a text has if a recogniser finds anything in it; cheap to look for, so most texts are passed by.
+HINTS = {
+    "EMAIL": lambda t: F.contains(t, F.lit("@")),
+    "PHONE": lambda t: F.regexp_like(t, F.lit(r"\d[\d\s()-]{7}")),
+    "CREDIT_CARD": lambda t: F.regexp_like(t, F.lit(r"\d(?:[ -]*\d){12}")),
+    "API_KEY": lambda t: _any(t, ["AKIA", "SK", "eyJ", "ghp_", "ya29."]),
+}
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
@@ -59,16 +79,17 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     Offsets follow from the lengths of the matches and of the parts between.
     """
     t = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    parts = F.transform(F.split(t, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(found, lambda x: F.length(x))
-    step = F.aggregate(
-        F.sequence(F.lit(0), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, i: F.struct((acc["at"] + F.coalesce(F.get(parts, i), F.lit(0)) + F.coalesce(F.get(sizes, i), F.lit(0))).alias("at"), F.array_append(acc["starts"], (acc["at"] + F.coalesce(F.get(parts, i), F.lit(0))).cast("int")).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    return F.transform(found, lambda v, i: F.struct(F.get(step, i).alias("start"), (F.get(step, i) + F.length(v)).alias("end"), F.lit(kind).alias("type"), v.alias("value"), F.lit(0).alias("granularity")))
+    none = F.array().cast("array<struct<start:int,end:int,type:string,value:string,granularity:int>>")
+
+    def add(acc: Column, v: Column) -> Column:
+        start = acc["at"] + F.length(F.get(acc["parts"], F.size(acc["out"])))
+        one = F.struct(start.cast("int").alias("start"), (start + F.length(v)).cast("int").alias("end"), F.lit(kind).alias("type"), v.alias("value"), F.lit(0).alias("granularity"))
+        return F.struct((start + F.length(v)).cast("int").alias("at"), acc["parts"].alias("parts"), F.array_append(acc["out"], one).alias("out"))
+
+    # the parts between travel with the fold, so the text is scanned once for them and once for the matches
+    begin = F.struct(F.lit(0).alias("at"), F.split(t, pattern, -1).alias("parts"), none.alias("out"))
+    hint = HINTS.get(kind, lambda t: F.regexp_like(t, F.lit(pattern)))
+    return F.when(hint(t), F.aggregate(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), begin, add, lambda acc: acc["out"])).otherwise(none)
 
 
 def entities(text: Column) -> Column:
@@ -143,3 +164,44 @@ def retained(text: Column, fields: Column) -> Column:
     """Share of the sensitive fields that the text still contains; 0 without fields."""
     f = F.coalesce(fields, F.array().cast("array<string>"))
     return F.when(F.size(f) == 0, 0.0).otherwise(F.size(F.filter(f, lambda x: F.contains(F.lower(text), F.lower(x)))) / F.size(f))
+
+
+def shared_of_first(a: Column, b: Column) -> Column:
+    """Share of the different tokens of a that b also has; 0 without any."""
+    own = F.array_distinct(tokens(a))
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, tokens(b))) / F.size(own))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object of string and string array columns, keys sorted, with ", " and ": " between; null is null."""
+    parts = []
+    for k in sorted(fields):
+        x = fields[k]
+        parts += [F.lit(f'"{k}": '), F.coalesce(x, F.lit("null")), F.lit(", ")]
+    return F.concat(F.lit("{"), *parts[:-1], F.lit("}"))
+
+
+def json_text(x: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def json_list(x: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(x), json_text), ", "), F.lit("]"))
+
+
+def first_per_category(text: Column, recognisers: dict[str, str], category: dict[str, str], confidence: float = 0.8) -> Column:
+    """The first entity of each category, in order of place: what a recogniser without a model can tell.
+
+    recognisers: pattern of each entity label; category: that a label tells (fixed by the caller). Any
+    client that returns the same array can take the place of the patterns.
+    """
+    found = F.array_sort(F.concat(*[matches(text, p, k) for k, p in recognisers.items()]))
+
+    def first(e: Column) -> Column:
+        names = F.array(*[F.lit(c) for c in dict.fromkeys(category[k] for k in recognisers)])
+        of = lambda x: F.coalesce(*[F.when(x["type"] == k, F.lit(category[k])) for k in recognisers])
+        each = F.transform(names, lambda n: F.struct(n.alias("category"), F.get(F.filter(e, lambda x: of(x) == n), F.lit(0)).alias("e")))
+        kept = F.filter(each, lambda x: x["e"].isNotNull())
+        return F.transform(kept, lambda x: F.struct(x["category"].alias("category"), x["e"]["value"].alias("value"), x["e"]["start"].alias("start"), F.lit(confidence).alias("confidence"), F.lit("ner").alias("method")))
+
+    return let(found, first)

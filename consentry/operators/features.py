@@ -6,24 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..functions import text as X
 
 
 def _index(item: Column, vocab: list[str]) -> Column:
     """Place of an item: exact, else without case, else the first term that the item contains; null for none."""
-    x = F.trim(item)
-    out = F.when(x == vocab[0], F.lit(0))
-    for k, v in enumerate(vocab[1:], 1):
-        out = out.when(x == v, F.lit(k))
-    for k, v in enumerate(vocab):
-        out = out.when(F.lower(x) == v.lower(), F.lit(k))
-    for k, v in enumerate(vocab):
-        out = out.when(F.contains(F.lower(x), F.lit(v.lower())), F.lit(k))
-    return out
+
+    def place(x: Column) -> Column:
+        low = F.lower(x)
+        exact = F.array_position(F.array(*map(F.lit, vocab)), x)
+        near = F.array_position(F.array(*[F.lit(v.lower()) for v in vocab]), low)
+        inside = F.coalesce(*[F.when(F.contains(low, F.lit(v.lower())), F.lit(k)) for k, v in enumerate(vocab)])
+        return F.when(exact > 0, (exact - 1).cast("int")).when(near > 0, (near - 1).cast("int")).otherwise(inside)
+
+    return X.let(F.trim(item), place)
 
 
 def multi_hot(items: Column, vocab: list[str]) -> Column:
     found = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda i: _index(i, vocab))
-    return F.transform(F.sequence(F.lit(0), F.lit(len(vocab) - 1)), lambda k: F.when(F.exists(found, lambda f: F.coalesce(f == k, F.lit(False))), 1.0).otherwise(0.0))
+    return X.let(found, lambda f: F.array(*[F.when(F.array_contains(f, k), 1.0).otherwise(0.0) for k in range(len(vocab))]))
 
 
 def behaviour_vector(categories: Column, actions: Column, purposes: Column) -> Column:
@@ -74,3 +75,55 @@ def behaviours(statements: DataFrame) -> DataFrame:
         F.struct(F.lit("ambiguous").alias("kind"), F.slice(own, 1, 1).alias("data_categories"), F.array().cast("array<string>").alias("purposes")),
     )
     return valid.select("id", F.explode(kinds).alias("b")).select(F.col("id").alias("statement_id"), "b.*")
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function of x > 0: eight steps up, then Stirling's series."""
+    z = x + 8.0
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1.0 / (12.0 * z) - 1.0 / (360.0 * z * z * z) + 1.0 / (1260.0 * F.pow(z, F.lit(5.0)))
+    down = F.log(x)
+    for k in range(1, 8):
+        down = down + F.log(x + float(k))
+    return series - down
+
+
+def digamma(x: Column) -> Column:
+    """The derivative of log_gamma: eight steps up, then its asymptotic series."""
+    z = x + 8.0
+    y = F.log(z) - 1.0 / (2.0 * z) - 1.0 / (12.0 * z * z) + 1.0 / (120.0 * F.pow(z, F.lit(4.0))) - 1.0 / (252.0 * F.pow(z, F.lit(6.0)))
+    for k in range(8):
+        y = y - 1.0 / (x + float(k))
+    return y
+
+
+def evidential_loss(alpha0: Column, alpha1: Column, label: Column, epoch: Column) -> Column:
+    """Squared error plus variance of the expected probabilities, and min(1, epoch / 10) times the divergence from the uniform Dirichlet of what speaks against the label."""
+    s = alpha0 + alpha1
+    y1 = label.cast("double")
+    y0 = 1.0 - y1
+    fit = F.pow(y0 - alpha0 / s, F.lit(2.0)) + F.pow(y1 - alpha1 / s, F.lit(2.0)) + (alpha0 * (s - alpha0) + alpha1 * (s - alpha1)) / (s * s * (s + 1.0))
+    b0, b1 = y0 + (1.0 - y0) * alpha0, y1 + (1.0 - y1) * alpha1
+    t = b0 + b1
+    kl = log_gamma(t) - log_gamma(b0) - log_gamma(b1) + (b0 - 1.0) * (digamma(b0) - digamma(t)) + (b1 - 1.0) * (digamma(b1) - digamma(t))
+    return fit + F.least(F.lit(1.0), epoch / 10.0) * kl
+
+
+def encoded(rows: DataFrame, text: str, vector: str, factory) -> DataFrame:
+    """rows with a client's vector of the column text; different texts are encoded once, told apart by md5.
+
+    factory makes the client, a function from a list of texts to a list of vectors, once per worker.
+    """
+    import pandas as pd
+
+    key = "_text_md5"
+    while key in rows.columns:
+        key = f"_{key}"
+
+    def run(batches):
+        encode = factory()
+        for b in batches:
+            yield pd.DataFrame({key: b[key], vector: list(encode(b["t"].tolist()))})
+
+    keyed = rows.withColumn(key, F.md5(F.coalesce(F.col(text), F.lit(""))))
+    once = keyed.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates([key]).mapInPandas(run, f"{key} string, {vector} array<double>")
+    return keyed.join(once, key).select(*rows.columns, vector)

@@ -166,3 +166,30 @@ def krippendorff(rows: DataFrame, unit: str, value: str, by: list[str]) -> DataF
     a = u.groupBy(*by).agg(F.sum("m").alias("n"), F.sum((2 * F.col("m") * F.col("q") - 2 * F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("observed"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     expected = (2 * F.col("n") * F.col("q") - 2 * F.col("s") * F.col("s")) / (F.col("n") - 1)
     return a.select(*by, F.when(expected == 0, 1.0).otherwise(1 - F.try_divide(F.col("observed"), expected)).alias("alpha"))
+
+
+def fixed_labels(rows: DataFrame, gold: str, pred: str, labels: list[str]) -> DataFrame:
+    """(label, precision, recall, f1) of each given label, found or not; empty denominators count as one."""
+    c = rows.agg(*[F.count_if((F.col(gold) == k) & (F.col(pred) == k)).alias(f"tp_{k}") for k in labels], *[F.count_if(F.col(pred) == k).alias(f"p_{k}") for k in labels], *[F.count_if(F.col(gold) == k).alias(f"g_{k}") for k in labels])
+    each = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"tp_{k}").alias("tp"), F.col(f"p_{k}").alias("p"), F.col(f"g_{k}").alias("g")) for k in labels])).alias("x")).select("x.*")
+    pr, re = F.col("tp") / F.greatest(F.lit(1), F.col("p")), F.col("tp") / F.greatest(F.lit(1), F.col("g"))
+    return each.select("label", pr.alias("precision"), re.alias("recall"), (2 * pr * re / F.greatest(F.lit(1e-9), pr + re)).alias("f1"))
+
+
+def krippendorff_ordinal(rows: DataFrame, unit: str, value: str, by: list[str]) -> DataFrame:
+    """(by, alpha) for ordered values. The distance of two values is the square of the ratings from one to the other, half of those at the ends.
+
+    Coincidences come from counts per unit and value, so their number is that of the values, not of the ratings.
+    """
+    n = rows.where(F.col(value).isNotNull()).groupBy(*by, unit, value).agg(F.count("*").cast("double").alias("n"))
+    m = n.groupBy(*by, unit).agg(F.sum("n").alias("m")).where("m > 1")
+    n = n.join(m, [*by, unit])
+    margin = n.groupBy(*by, value).agg(F.sum("n").alias("all"))
+    up = W.Window.partitionBy(*by).orderBy(value)
+    place = margin.withColumn("place", F.sum("all").over(up) - F.col("all") / 2)
+    x = n.join(place.select(*by, value, "place"), [*by, value])
+    # with places as values the distance is a plain square, so sums do as for intervals
+    u = x.groupBy(*by, unit, "m").agg(F.sum(F.col("n") * F.col("place")).alias("s"), F.sum(F.col("n") * F.col("place") * F.col("place")).alias("q"))
+    a = u.groupBy(*by).agg(F.sum("m").alias("t"), F.sum((2 * F.col("m") * F.col("q") - 2 * F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("observed"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    expected = (2 * F.col("t") * F.col("q") - 2 * F.col("s") * F.col("s")) / (F.col("t") - 1)
+    return a.select(*by, F.when(expected == 0, 1.0).otherwise(1 - F.try_divide(F.col("observed"), expected)).alias("alpha"))

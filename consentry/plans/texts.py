@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import anonymize
 from ..sources import readers
 from . import twin
-from .inputs import table
+from .inputs import frame, table
 
 _TOKENS = twin.TOKENS.format("coalesce(text, '')")
 
@@ -27,8 +27,8 @@ def fn_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
-def _phrase_hit(phrases: str) -> str:
-    return "list_filter([" + ", ".join("'" + p.replace("'", "''") + "'" for p in sorted(phrases.split("|"), key=lambda p: -len(p))) + "], lambda p: contains(lower(text), p))[1]"
+def _phrase_hit(phrases: list[str]) -> str:
+    return "list_filter([" + ", ".join("'" + p.replace("'", "''") + "'" for p in sorted(phrases, key=lambda p: -len(p))) + "], lambda p: contains(lower(text), p))[1]"
 
 
 _HITS = " UNION ALL ".join(f"SELECT conv_id, turn, '{c}' AS category, {_phrase_hit(p)} AS matched_phrase FROM conversations" for c, p in T.PHRASES.items())
@@ -108,8 +108,10 @@ def ml08(spark, sf):
 
 @query("sc05_accumulated_items")
 def sc05(spark, sf):
-    x = readers.accumulated(table(spark, sf, "conversations"), "conv_id", "turn", "text")
-    return x.select("conv_id", "item", F.array_join("data_categories", ",").alias("data_categories"), F.array_join("actions", ",").alias("actions"))
+    """A user's behaviours stand in for a policy's segments: even ones tell categories, odd ones actions."""
+    e = frame(spark, sf, "events").withColumn("text", F.when(F.col("event_id") % 2 == 0, F.array_join("data_categories", " ")).otherwise(F.array_join("actions", " ")))
+    x = readers.accumulated(e, "user_id", "event_id", "text")
+    return x.select("user_id", "item", F.array_join("data_categories", ",").alias("data_categories"), F.array_join("actions", ",").alias("actions"))
 
 
 @query("sc09_paragraphs", "WITH p AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) AS t, generate_subscripts(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), 1) - 1 AS paragraph FROM documents) SELECT doc_id, paragraph, length(t) AS n FROM p WHERE length(trim(t)) > 50")

@@ -94,8 +94,8 @@ def audit_rows(decisions: DataFrame) -> DataFrame:
 
 
 def evidence_rows(decisions: DataFrame, statements: DataFrame) -> DataFrame:
-    """(decision_id, policy_statement_id): evidence ids doc:statement, cut at the first colon; broken or unknown ones are left out."""
-    e = decisions.select("decision_id", F.explode("evidence_ids").alias("e")).select("decision_id", F.expr("try_cast(substring(e, locate(':', e) + 1) as bigint)").alias("id")).where("id is not null")
+    """(decision_id, policy_statement_id): evidence ids doc:statement, cut at the first colon; those without one, broken or unknown ones are left out."""
+    e = decisions.select("decision_id", F.explode("evidence_ids").alias("e")).select("decision_id", F.expr("CASE WHEN locate(':', e) > 0 THEN try_cast(substring(e, locate(':', e) + 1) as bigint) END").alias("id")).where("id is not null")
     return e.join(statements.select("id"), "id").select("decision_id", F.col("id").alias("policy_statement_id"))
 
 
@@ -161,3 +161,54 @@ def grouped_annotations(rows: DataFrame, actions: dict[str, str]) -> DataFrame:
     known = F.create_map(*[F.lit(x) for kv in actions.items() for x in kv])
     g = rows.groupBy("policy", "segment").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(X.found_terms(F.col("value"), T.TEXT_DATA))))).alias("data_categories"), F.array_sort(F.collect_set(F.try_element_at(known, F.col("category")))).alias("actions"))
     return g.where((F.size("data_categories") > 0) & (F.size("actions") > 0))
+
+
+def lookup(rows: DataFrame, key: str, value):
+    """The row of a key; ValueError where there is none. The filter reaches the scan."""
+    got = rows.where(F.col(key) == F.lit(value)).limit(1).collect()
+    if not got:
+        raise ValueError(f"{key} {value!r} not found")
+    return got[0]
+
+
+def json_strings(x: Column) -> Column:
+    """The values of a JSON object as text, in order, joined by blanks."""
+    return F.array_join(F.map_values(F.from_json(x, "map<string,string>")), " ")
+
+
+def policy_texts(spark: SparkSession, folder: str, splits=("train", "test", "dev", "valid")) -> DataFrame:
+    """(split, text) of files <split>.txt, .json, .jsonl and .tsv below a folder; missing ones are passed by.
+
+    A line of txt or tsv is a text; of a JSON item its text, else its sentence, else the item itself.
+    """
+    out = spark.createDataFrame([], "split string, text string")
+    for split in splits:
+        for kind in ("txt", "tsv", "json", "jsonl"):
+            raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{split}.{kind}").option("wholetext", str(kind == "json").lower()).text(folder)
+            if kind == "json":
+                raw = raw.select(F.explode(F.coalesce(F.from_json("value", "array<string>"), F.array("value"))).alias("value"))
+            if kind.startswith("json"):
+                item = F.from_json("value", "text string, sentence string")
+                raw = raw.select(F.coalesce(item["text"], item["sentence"], F.col("value")).alias("value"))
+            out = out.unionByName(raw.where(F.length(F.trim("value")) > 0).select(F.lit(split).alias("split"), F.col("value").alias("text")))
+    return out
+
+
+def joined_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(text) of every line of csv and tsv files, its fields joined by blanks, and of every item of JSON lines, its values joined."""
+    read = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
+    flat = read("*.{csv,tsv}").select(F.trim(F.regexp_replace("value", r"[,\t]+", " ")).alias("text"))
+    items = read("*.{json,jsonl}").select(json_strings(F.col("value")).alias("text"))
+    return flat.unionByName(items).where(F.length("text") > 0)
+
+
+def paragraphs_or_lines(spark: SparkSession, folder: str, least: int = 50, max_files: int = 5000) -> DataFrame:
+    """(file, text): lines of csv files longer than least if any file has one, else paragraphs of md files; files by name up to max_files, the reader's own limit."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).where(F.length("text") > least)
+    if lines.limit(1).count():
+        found = lines
+    else:
+        whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+        found = whole.select("file", F.explode(F.split("value", r"\n\s*\n")).alias("text")).select("file", F.trim("text").alias("text")).where(F.length("text") > least)
+    first = found.select("file").distinct().orderBy("file").limit(max_files)
+    return found.join(first, "file")

@@ -30,9 +30,9 @@ def usage(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> Da
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
 
 
-def uncertain_only(decisions: DataFrame, likelihood: str = "likelihood", threshold: float = 0.25) -> DataFrame:
-    """Decisions to learn from: those whose evidential uncertainty is at the threshold or above."""
-    return decisions.where(F.col(likelihood) >= threshold)
+def uncertain_only(scored: DataFrame, uncertainty: str = "uncertainty", threshold: float = 0.25) -> DataFrame:
+    """Rows to learn from: those whose evidential uncertainty (features.evidential) is at the threshold or above."""
+    return scored.where(F.col(uncertainty) >= threshold)
 
 
 def learn_in_batches(events: DataFrame, buffer: str, retrain: Callable[[DataFrame, int], None], every: int, checkpoint: str) -> StreamingQuery:
