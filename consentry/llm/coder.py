@@ -41,10 +41,10 @@ import numpy as np
 
 MAGIC = b"TIDMIX02"
 STEPS = 256
-BLOCK = 2048 * STEPS
-FREQUENT = 383
+BLOCK = 4096 * STEPS
+FREQUENT = 255
 REFRESH = 64
-SLOTS_BITS = 19
+SLOTS_BITS = 18
 #: Totals: of an id's first interval, of a row of classes, of the order-0 counts.
 ALL, ROW, FLAT = 28, 16, 22
 U, I = np.uint64, np.int64
@@ -78,21 +78,28 @@ def _cumulative(f: np.ndarray, bits: int) -> np.ndarray:
 
 
 class _Model:
-    """The state of a block; arrays of lanes have an entry per lane."""
+    """The state of a block; arrays of lanes have an entry per lane.
+
+    Slots are check << 24 | rate << 17 | id (0: none); cells of the rows of classes are start << 16 | size - 1.
+    """
 
     def __init__(self, lanes: int, vocab: int, top: np.ndarray) -> None:
-        self.n, self.k = lanes, len(top) + 1
-        self.rank = np.full(vocab, len(top), np.int32)
-        self.rank[top] = np.arange(len(top), dtype=np.int32)
-        self.ids = np.append(top, 0).astype(np.int32)
-        self.slots = np.zeros(1 << SLOTS_BITS, np.uint32)  # check << 24 | rate << 17 | id; 0: none
+        self.n, self.other = lanes, len(top)
+        self.bits = max(1, len(top).bit_length())
+        self.k = 1 << self.bits
+        self.rank = np.full(vocab, len(top), I)
+        self.rank[top] = np.arange(len(top))
+        self.ids = np.zeros(self.k, I)
+        self.ids[: len(top)] = top
+        self.slots = np.zeros(1 << SLOTS_BITS, np.uint32)
         self.weights = [12000, 52000, 0]
         self.counts = np.zeros(self.k * self.k, np.int32)
         self.flat = np.zeros(vocab, np.int32)
         self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.row = np.full(lanes, self.k - 1, np.int32)
+        self.row = np.full(lanes, self.other << self.bits, I)  # the class of the previous id, as its first cell
         self.seen: list[np.ndarray] = []
         self.rare: list[np.ndarray] = []
+        self.step = 0
 
     def keep(self, n: int) -> None:
         """Goes on with the first n lanes alone."""
@@ -107,50 +114,61 @@ class _Model:
             self.seen, self.rare = [], []
         n = self.counts.reshape(self.k, self.k)
         zero = n.sum(0, dtype=I)
-        share = (zero << 15) // max(1, int(zero.sum())) + 1
+        share = ((zero << 15) // max(1, int(zero.sum())) + 1).astype(float)
         f = n * 32768.0
-        f += np.count_nonzero(n, 1)[:, None] * share.astype(float)[None, :] + share.astype(float)
-        table = _cumulative(f, ROW)
-        table += (np.arange(self.k, dtype=np.int32) << ROW)[:, None]
-        self.table = table.ravel().view(np.uint32)  # one ascending array of all rows
+        f += (np.count_nonzero(n, 1) + 1)[:, None] * share[None, :]
+        cells = _cumulative(f, ROW)
+        self.cells = (cells[:, :-1].astype(np.uint32) << np.uint32(16) | (np.diff(cells, axis=1) - 1).astype(np.uint32)).ravel()
         self.ranges = _cumulative(self.flat * 32.0 + 1, FLAT).astype(U)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The order-2 id of each lane and its probability in 1 << ALL (0: it has none)."""
-        h = (self.one * np.uint32(0x9E3779B1)) ^ (self.two * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))
+        h = self.one * np.uint32(0x9E3779B1)
+        h ^= self.two * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        self.at = h >> np.uint32(32 - SLOTS_BITS)
-        self.check = (h & np.uint32(0xFF)) << np.uint32(24)
-        e = self.slots[self.at]
-        rate = (e >> np.uint32(17)) & np.uint32(127)
-        self.valid = ((e & np.uint32(0xFF000000)) == self.check) & (rate > 0)
-        guess = (e & np.uint32(0x1FFFF)).astype(np.int32)
-        guess *= self.valid
-        self.rate = rate
-        cell = self.row * np.int32(self.k + 1) + self.rank[guess]
-        self.cell = cell
-        self.inputs = STRETCH[rate << np.uint32(5)], STRETCH[(self.table[cell + 1] - self.table[cell]) >> np.uint32(ROW - 12)]
+        self.at = (h >> np.uint32(32 - SLOTS_BITS)).astype(I)
+        self.check = h << np.uint32(24)
+        e = self.slots.take(self.at, mode="clip")
+        self.rate = (e >> np.uint32(17)) & np.uint32(127)
+        self.valid = ((e ^ self.check) < np.uint32(1 << 24)) & (self.rate > 0)
+        guess = (e & np.uint32(0x1FFFF)).astype(I) * self.valid
+        given = self.cells.take(self.row + self.rank.take(guess, mode="clip"), mode="clip") & np.uint32(0xFFFF)
+        self.inputs = STRETCH.take((self.rate << np.uint32(5)).astype(I), mode="clip"), STRETCH.take((given >> np.uint32(ROW - 12)).astype(I), mode="clip")
         w = self.weights
-        mixed = (self.inputs[0] * w[0] + self.inputs[1] * w[1] >> 16) + (w[2] >> 8)
-        self.p = SQUASH[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
+        mixed = (self.inputs[0] * np.int32(w[0]) + self.inputs[1] * np.int32(w[1]) >> 16) + np.int32((w[2] >> 8) + 2047)
+        self.p = SQUASH.take(mixed, mode="clip")
         self.guess = guess
         return guess, (self.p * self.valid).astype(U) << U(ALL - 12)
 
+    def cell(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of classes in the lanes' rows."""
+        c = self.cells.take(self.row + kind, mode="clip")
+        start = c >> np.uint32(16)
+        return start.astype(U), (start + (c & np.uint32(0xFFFF)) + np.uint32(1)).astype(U)
+
+    def find(self, m: np.ndarray) -> np.ndarray:
+        """The class of each lane's row that holds place m; a row's cells ascend, so halving finds it."""
+        most = (m.astype(np.uint32) << np.uint32(16)) | np.uint32(0xFFFF)
+        at = self.row
+        for k in range(self.bits - 1, -1, -1):
+            at = at + ((self.cells.take(at + (1 << k), mode="clip") <= most).astype(I) << k)
+        return at - self.row
+
     def update(self, x: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> None:
         """x: the ids of the lanes; kind: their classes."""
-        many = int(np.count_nonzero(self.valid))
-        if many:
+        self.step += 1
+        if self.step & 3 == 0 and (many := int(np.count_nonzero(self.valid))):
             err = (hit * np.int32(4095) - self.p) * self.valid
             for k in range(2):
-                self.weights[k] = min(max(self.weights[k] + int((self.inputs[k] * err).sum()) // many // 16, -200000), 200000)
-            self.weights[2] = min(max(self.weights[2] + int(err.sum()) // many * 8, -200000), 200000)
-        up = self.rate + ((np.uint32(127) - self.rate) >> np.uint32(2)) + np.uint32(1)
+                self.weights[k] = min(max(self.weights[k] + int((self.inputs[k] * err).sum(dtype=I)) // many // 4, -200000), 200000)
+            self.weights[2] = min(max(self.weights[2] + int(err.sum(dtype=I)) // many * 32, -200000), 200000)
+        up = self.rate + ((np.uint32(131) - self.rate) >> np.uint32(2))
         rate = np.where(hit, np.minimum(up, np.uint32(126)), np.uint32(24))
         new = x.astype(np.uint32)
         self.slots[self.at] = self.check | rate << np.uint32(17) | new
-        self.seen.append(self.row * np.int32(self.k) + kind)
-        self.two, self.one, self.row = self.one, new, kind
+        self.seen.append(self.row + kind)
+        self.two, self.one, self.row = self.one, new, kind << self.bits
 
 
 class _Encoder:
@@ -167,13 +185,16 @@ class _Encoder:
         if over.any():
             self._carry(at[over])
         low = new
-        for _ in range(2):
-            small = rng < SMALL
-            if not small.any():
-                break
-            self.out[at] = low >> S48
-            shift = small * S16
-            low, rng, at = low << shift, rng << shift, at + small * I(self.lanes)
+        small = rng < SMALL
+        self.out[at] = low >> S48
+        shift = small * S16
+        low, rng, at = low << shift, rng << shift, at + small * I(self.lanes)
+        again = np.nonzero(rng < SMALL)[0]
+        if len(again):
+            self.out[at[again]] = low[again] >> S48
+            low[again] <<= S16
+            rng[again] <<= S16
+            at[again] += self.lanes
         return low, rng, at
 
     def _carry(self, at: np.ndarray) -> None:
@@ -214,13 +235,15 @@ class _Decoder:
 
     def take(self, code, rng, at, r, start, size):
         code, rng = code - r * start, r * size
-        for _ in range(2):
-            small = rng < SMALL
-            if not small.any():
-                break
-            shift = small * S16
-            code, rng = code << shift | self.words[np.minimum(at, len(self.words) - 1)] * small, rng << shift
-            at = at + small * I(self.lanes)
+        small = rng < SMALL
+        shift = small * S16
+        code, rng = code << shift | self.words.take(at, mode="clip") * small, rng << shift
+        at = at + small * I(self.lanes)
+        again = np.nonzero(rng < SMALL)[0]
+        if len(again):
+            code[again] = code[again] << S16 | self.words.take(at[again], mode="clip")
+            rng[again] <<= S16
+            at[again] += self.lanes
         return code, rng, at
 
 
@@ -245,17 +268,15 @@ def encode_block(ids: np.ndarray, vocab: int, top: np.ndarray, steps: int = STEP
             model.keep(model.n - 1)  # only the last lane can be shorter
         if _refreshes(t):
             model.refresh()
-        x = grid[t, : model.n]
-        kind = model.rank[x]
+        x = grid[t, : model.n].astype(I)
+        kind = model.rank.take(x, mode="clip")
         guess, p = model.predict()
         hit = (guess == x) & model.valid
-        cell = model.row * np.int32(model.k + 1) + kind
-        below = (model.row << np.int32(ROW)).astype(np.uint32)
-        a, b = (model.table[cell] - below).astype(U), (model.table[cell + 1] - below).astype(U)
+        a, b = model.cell(kind)
         q = one - p
         start = (a * q >> UROW) + p
         coder.put(model.n, start * ~hit, np.where(hit, p, (b * q >> UROW) + p - start), UALL)
-        rare = np.nonzero((kind == model.k - 1) & ~hit)[0]
+        rare = np.nonzero((kind == model.other) & ~hit)[0]
         if len(rare):
             y = x[rare]
             a = model.ranges[y]
@@ -286,27 +307,22 @@ def decode_block(words: np.ndarray, total: int, vocab: int, top: np.ndarray, ste
         hit = v < p
         q = one - p
         y = np.where(hit, U(0), v - p)
-        m = (((y + U(1)) << UROW) - U(1)) // q + (model.row.astype(U) << UROW)
-        cell = np.searchsorted(model.table, m.astype(np.uint32), "right").astype(np.int32) - 1
-        # a row ends where the next begins, so equal ends are passed by
-        kind = np.minimum(cell - model.row * np.int32(model.k + 1), np.int32(model.k - 1))
-        cell = model.row * np.int32(model.k + 1) + kind
-        below = (model.row << np.int32(ROW)).astype(np.uint32)
-        a, b = (model.table[cell] - below).astype(U), (model.table[cell + 1] - below).astype(U)
+        kind = np.minimum(model.find((((y + U(1)) << UROW) - U(1)) // q), model.other)
+        a, b = model.cell(kind)
         start = (a * q >> UROW) + p
         c.code, c.range, c.at = c.take(c.code, c.range, c.at, r, start * ~hit, np.where(hit, p, (b * q >> UROW) + p - start))
         x = np.where(hit, guess, model.ids[kind])
-        rare = np.nonzero((kind == model.k - 1) & ~hit)[0]
+        rare = np.nonzero((kind == model.other) & ~hit)[0]
         if len(rare):
             code, rng = c.code[rare], c.range[rare]
             r = rng >> UFLAT
             v = np.minimum(code // np.maximum(r, U(1)), U((1 << FLAT) - 1))
-            y = np.searchsorted(model.ranges, v, "right").astype(np.int32) - 1
+            y = np.searchsorted(model.ranges, v, "right") - 1
             a = model.ranges[y]
             c.code[rare], c.range[rare], c.at[rare] = c.take(code, rng, c.at[rare], r, a, model.ranges[y + 1] - a)
             x[rare] = y
             model.rare.append(y)
-        kind = model.rank[x]
+        kind = model.rank.take(x, mode="clip")
         model.update(x, kind, hit)
         grid[t, : model.n] = x
     return grid.T.ravel()[:total]

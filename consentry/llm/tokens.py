@@ -156,34 +156,33 @@ class IdCache(dict):
     def mapped(self, w: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(w)]).tobytes()
 
-    def known(self, word: bytes) -> bytes | None:
-        """The kept ids of a pre-token; of two generations the older is dropped when the newer is full."""
-        got = self.fresh.get(word)
-        if got is None:
-            got = self.stale.get(word)
-            if got is not None:
-                self.keep(word, got)
-        return got
-
-    def keep(self, word: bytes, ids: bytes) -> None:
-        if len(word) <= MAX_KEPT:
-            if len(self.fresh) >= MAX_WORDS:
-                self.stale, self.fresh = self.fresh, {}
-            self.fresh[word] = ids
-
     def of_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of pre-tokens."""
-        out = list(map(self.known, words))
+        """The ids of pre-tokens. Of two generations kept, the older is dropped when the newer is full."""
+        out = list(map(self.fresh.get, words))
         new = [i for i, x in enumerate(out) if x is None]
+        if new and self.stale:
+            for i in new:
+                out[i] = self.stale.get(words[i])
+            new, old = [i for i in new if out[i] is None], [i for i in new if out[i] is not None]
+            self.keep(old, words, out)
         if new:
             apart = b"\xff"  # in no UTF-8 text
             texts = apart.join([words[i] for i in new]).decode("latin-1").translate(BYTE_CHARS).split(chr(BYTE_CHARS[0xFF]))
             tokenize, code = self.model.tokenize, self.code
             for i, text in zip(new, texts, strict=True):
-                out[i] = x = array(code, [t.id for t in tokenize(text)]).tobytes()
-                self.keep(words[i], x)
+                out[i] = array(code, [t.id for t in tokenize(text)]).tobytes()
+            self.keep(new, words, out)
         return out
 
+    def keep(self, some: list[int], words: list[bytes], ids: list[bytes]) -> None:
+        lo = 0
+        while lo < len(some):
+            if len(self.fresh) >= MAX_WORDS:
+                self.stale, self.fresh = self.fresh, {}
+            hi = lo + MAX_WORDS - len(self.fresh)
+            self.fresh.update([(words[i], ids[i]) for i in some[lo:hi] if len(words[i]) <= MAX_KEPT])
+            lo = hi
+
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end to end, and their number in each."""
         sizes = np.array([len(t) for t in texts], np.int64)
