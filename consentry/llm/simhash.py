@@ -267,21 +267,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): each node of the edges (a, b) with the least node that it reaches (roots themselves left out).
 
     Alternating large-star and small-star steps; each step's edges are written to
-    the shared folder, and the loop ends when a step changes nothing.
+    the shared folder, and the loop ends when a step changes nothing. Hubs, with more
+    than a thousandth of the edges, meet their least neighbour by a broadcast.
     """
     now = common.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, total = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = common.join_one(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.join_one(large, least, "u", total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = common.stored(small, "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         common.drop_stored(now)
-        now = after
+        now, total = after, mark[0]
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = mark
@@ -300,9 +301,9 @@ def near_duplicates(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFram
     all_rows = distinct.agg(F.sum("n")).first()[0] or 0
     roots = components(links(distinct.select("fp"), limit))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "no_id", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"), F.max("no_id").alias("any"))
-    least = least.select("root", F.when(F.col("any"), F.lit(None)).otherwise(F.col("least")).alias("component_id"))
-    classes = common.stored(named.join(least, "root").select("fp", "component_id", F.col("rows").alias("n")), "classes")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.max("no_id").alias("any"), F.count("*").alias("n"))
+    least = least.select("root", "n", F.when(F.col("any"), F.lit(None)).otherwise(F.col("least")).alias("component_id"))
+    classes = common.stored(common.join_one(named, least, "root", distinct.count()).select("fp", "component_id", F.col("rows").alias("n")), "classes")
     return common.join_one(rows, classes, "fp", all_rows).select("doc_id", "fp", "component_id", "text_hash")
 
 
