@@ -275,13 +275,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = common.join_one(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = common.stored(common.join_one(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = common.join_one(large, least, "u", total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = common.stored(small, "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         common.drop_stored(now)
+        common.drop_stored(large)
         now, total = after, mark[0]
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
