@@ -9,7 +9,7 @@ from ..catalog import query
 from ..functions import risk as R
 from ..functions import tables as T
 from ..functions import text as X
-from ..operators import decide, features, retrieval
+from ..operators import decide, features, models, retrieval
 from ..sources import readers
 from . import twin
 from .inputs import ctes, frame, unrolled
@@ -139,6 +139,54 @@ def rk18(spark, sf):
     return decide.decide(*(frame(spark, sf, p) for p in ("events", "docs", "statements", "prefs")))
 
 
+_SORTED = "'[' || array_to_string(list_transform(list_sort({}), lambda x: '\"' || x || '\"'), ', ') || ']'"
+_TEXT = "coalesce('\"' || {} || '\"', 'null')"
+_JSON = (
+    "left(sha256('{\"action_type\": ' || " + _TEXT.format("action_type") + " || ', \"actions\": ' || " + _SORTED.format("actions") + " || ', \"data_categories\": ' || " + _SORTED.format("data_categories") + " || ', \"domain\": ' || " + _TEXT.format("domain")
+    + " || ', \"purposes\": ' || " + _SORTED.format("purposes") + " || ', \"recipients\": ' || " + _SORTED.format("recipients") + " || ', \"user_prefs\": ' || coalesce('[\"consent.ads=' || p.value || '\"]', 'null') || '}'), 32)"
+)
+_SP = "(CASE WHEN {0} > 20 THEN {0} ELSE ln(1 + exp({0})) END)"
+_A0, _A1 = "(12 * score - 4)", "(4 * score + len(purposes) + len(recipients) - 1)"
+
+
+@query(
+    "rk18_cascade",
+    f"""{ctes('events', 'docs', 'statements', 'prefs')}, lastp AS (SELECT user_id, max_by(value, updated_at) AS value FROM prefs_in GROUP BY 1),
+    keyed AS (SELECT e.*, {_JSON} AS cache_key, {twin.SKIP} AS skip, (lower(trim(p.value)) = 'opt-out' AND len(list_filter(purposes, lambda x: contains(lower(x), 'ads'))) > 0) IS TRUE AS blocked FROM events_in e LEFT JOIN lastp p USING (user_id)),
+    guard AS (SELECT k.* EXCLUDE (data_categories), {twin.ENRICHED} AS data_categories, NOT skip AND NOT blocked AND action_type = 'Paste' AS hit, CASE WHEN len(k.data_categories) > 1 THEN 'deny' ELSE 'transform' END AS c_decision, round(0.2::DOUBLE * len(k.data_categories) + 0.1::DOUBLE * len(purposes), 6) AS c_risk FROM keyed k),
+    {twin.LATEST}, {twin.CANDIDATES.format('(SELECT * FROM guard WHERE NOT skip AND NOT blocked AND NOT hit)')}, {twin.BM25}, {twin.KEYWORD}, {twin.HYBRID}, {twin.EVIDENCE},
+    u AS (SELECT g.*, n_evidence, e1, e2, e3, e4, e5, e6, score, {twin.TIER} AS tier, round((1 + {_SP.format(_A1)}) / (2 + {_SP.format(_A0)} + {_SP.format(_A1)}), 9) AS fl, round(2 / (2 + {_SP.format(_A0)} + {_SP.format(_A1)}), 9) AS unc
+      FROM guard g LEFT JOIN evd USING (event_id) LEFT JOIN (SELECT event_id, score FROM top WHERE rank = 1) t1 USING (event_id)),
+    f AS (SELECT *, round(least(1.0::DOUBLE, (CASE WHEN n_evidence IS NULL THEN 1.0 WHEN unc < 0.25 THEN fl WHEN 'sell' IN actions THEN 0.9 WHEN len(purposes) > 0 THEN 0.2 ELSE 0.5 END)::DOUBLE * {twin.severity()} * {twin.TRANSPARENCY}), 12)::DOUBLE AS risk FROM u)
+    SELECT event_id, CASE WHEN skip THEN 'allow' WHEN blocked THEN 'deny' WHEN hit THEN c_decision ELSE {twin.DECISION} END AS decision, (CASE WHEN skip THEN 0.0 WHEN blocked THEN 1.0 WHEN hit THEN c_risk ELSE risk END)::DOUBLE AS risk_score,
+      CASE WHEN skip THEN 'triage_layer' WHEN blocked THEN 'consent_guardrail' WHEN hit THEN 'rule_fallback' WHEN n_evidence IS NULL THEN 'no_policy' WHEN unc < 0.25 THEN 'fast_system' WHEN 'sell' IN actions OR len(purposes) > 0 THEN 'llm_agent' ELSE 'rule_fallback' END AS system_used,
+      CASE WHEN hit THEN 8 WHEN unc < 0.25 THEN 1 ELSE coalesce(n_evidence, 0) END::BIGINT AS n_evidence, cache_key, hit AS from_cache FROM f""",
+)
+def rk18_cascade(spark, sf):
+    """The whole cascade: pasted behaviours are in the cache, an evidential head is the fast model, a client is asked where it is unsure and there are purposes or sales."""
+    e, docs, statements, prefs = (frame(spark, sf, p) for p in ("events", "docs", "statements", "prefs"))
+    paste = e.where("action_type = 'Paste'").join(decide.latest_preferences(prefs), "user_id", "left")
+    n = F.size("data_categories")
+    cache = paste.select(decide.cache_key().alias("cache_key"), F.when(n > 1, "deny").otherwise("transform").alias("decision"), F.round(0.2 * n + 0.1 * F.size("purposes"), 6).alias("risk_score"), F.lit("rule_fallback").alias("system_used"), F.lit(8).cast("long").alias("n_evidence")).distinct()
+
+    def fast():
+        score = F.col("top.score")
+        return tuple(F.round(c, 9) for c in features.evidential(12 * score - 4, 4 * score + F.size("purposes") + F.size("recipients") - 1))
+
+    def model(rows):
+        wanted = F.col("needs_model") & (F.array_contains("actions", "sell") | (F.size("purposes") > 0))
+        prompt = F.when(wanted, F.concat(F.array_join("actions", ","), F.lit(" for "), F.array_join("purposes", ",")))
+        asked = models.ask(rows.withColumn("prompt", prompt), "prompt", "answer", _client)
+        return asked.withColumn("llm_score", F.when(wanted, models.parsed_decision(F.col("answer"), F.array().cast("array<string>"))["risk_score"]))
+
+    got = decide.decide(e, docs, statements, prefs, cache=cache, fast=fast, model=model, detailed=True)
+    return got.select("event_id", "decision", "risk_score", "system_used", "n_evidence", "cache_key", "from_cache")
+
+
+def _client():
+    return lambda prompt: '{"decision": "deny", "risk_score": 0.9}' if "sell" in prompt.split(" for ")[0].split(",") else '{"decision": "allow", "risk_score": 0.2}'
+
+
 _CAND = f"{ctes('events', 'docs', 'statements')}, {twin.LATEST}, {twin.CANDIDATES.format('events_in')}"
 
 
