@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fm, id_files, imatch, maxent, mixing, packing, quality_rules, secrets, simhash, suffix_dedup, tokens
+from . import common, fim, fm, id_files, imatch, licenses, maxent, mixing, packing, periodic, quality_rules, secrets, simhash, suffix_dedup, tokens
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +56,26 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.write_and_read(common.documents(spark, sf_dir), tokens.tokenizer_path())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(common.documents(spark, sf_dir))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(common.documents(spark, sf_dir)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.collapse(periodic.planted(common.documents(spark, sf_dir)))
+    top = rows.withColumn("top", periodic.greatest(F.col("runs")))
+    exponent = F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli")
+    return top.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", exponent, periodic.digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.ORACLE}
+    return {"op8_source_mixing": mixing.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op12_license_scans": licenses.ORACLE}
