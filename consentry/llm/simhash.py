@@ -11,7 +11,7 @@ Only distinct fingerprints are searched. A probe sends a fingerprint to one
 key for each value within t_i bits of its own value of part i; what meets at
 a key is verified in blocks of numpy arrays, and only a spanning forest of the links
 found there leaves the task. Keys that hold more than a set number of
-fingerprints are dealt anew by parts of the other bits, as often as it takes.
+fingerprints are dealt anew by parts of the other bits, and then to pairs of blocks.
 """
 
 from __future__ import annotations
@@ -145,13 +145,16 @@ def masks_within(part: list[int], t: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def forest(fps: np.ndarray, limit: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of a spanning forest of the links within limit bits, as stars around the least fingerprint."""
+def forest(fps: np.ndarray, limit: int, block: int = 1024, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a spanning forest of the links within limit bits, as stars around the first fingerprint of each tree.
+
+    split: only links between the first split fingerprints and the others count.
+    """
     n = len(fps)
-    root = np.arange(n)  # the least member of each one's class so far
-    for lo in range(0, n, block):
-        rows = slice(lo, min(n, lo + block))
-        for low in range(lo, n, block):
+    root = np.arange(n)  # the first member of each one's class so far
+    for lo in range(0, n if split is None else split, block):
+        rows = slice(lo, min(n if split is None else split, lo + block))
+        for low in range(lo if split is None else split, n, block):
             cols = slice(low, min(n, low + block))
             near = np.bitwise_count(fps[rows, None] ^ fps[None, cols]) <= limit
             for i in np.nonzero((near & (root[rows, None] != root[None, cols])).any(1))[0]:
@@ -159,8 +162,7 @@ def forest(fps: np.ndarray, limit: int, block: int = 1024) -> tuple[np.ndarray,
                 if len(met) > 1:
                     root[np.isin(root, met)] = met[0]
     moved = root != np.arange(n)
-    top = root
-    return fps[top[moved]], fps[moved]
+    return fps[root[moved]], fps[moved]
 
 
 def _probe(parts: list[list[int]], ts: list[int]):
@@ -180,11 +182,14 @@ def _probe(parts: list[list[int]], ts: list[int]):
 
 
 def _verify(limit: int):
+    """Edges among the fingerprints of each row's fps, or, where it has others, between these and fps."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             a, b = [], []
-            for fps in batch.column(batch.schema.get_field_index("fps")):
-                x, y = forest(np.sort(np.asarray(fps.values).view(np.uint64)), limit)
+            for row in batch.select(["fps", "others"]).to_pylist() if "others" in batch.schema.names else ({"fps": x.values, "others": None} for x in batch.column("fps")):
+                fps = np.sort(np.asarray(row["fps"], np.int64).view(np.uint64))
+                x, y = forest(fps, limit) if row["others"] is None else forest(np.concatenate([fps, np.array(row["others"], np.int64).view(np.uint64)]), limit, split=len(fps))
                 a.append(x)
                 b.append(y)
             if a:
@@ -223,44 +228,48 @@ def _narrower(parts: list[list[int]], limit: int):
     """Rows (part, key, mask, same, fp): each fingerprint once for each of limit + 1 parts of the bits that its group need not share.
 
     Two fingerprints of a group within limit bits agree on one of these parts. mask: the bits on
-    which the new group agrees; same: their values. Where so few bits are left that the group cannot be large, it stays whole (mask 0 in all bits: -1).
+    which the new group agrees; same: their values. With fewer bits left than parts the group stays as it is (mask 0).
     """
-    own = [sum(1 << b for b in p) for p in parts]
+    plan = []
+    for p in parts:
+        left = [b for b in range(64) if b not in p]
+        cut = np.array_split(left, limit + 1) if len(left) > limit else [[]]
+        plan.append([np.uint64(sum(1 << int(b) for b in c)) for c in cut])
 
     def run(batches):
         for batch in batches:
-            part, key, mask, fp = (np.asarray(batch.column(i)) for i in range(4))
+            part, key, fp = (np.asarray(batch.column(i)) for i in range(3))
             for p in np.unique(part).tolist():
-                for m in np.unique(mask[part == p]).tolist():
-                    some = (part == p) & (mask == m)
-                    known = own[p] | (m & (1 << 64) - 1)
-                    left = [b for b in range(64) if not known >> b & 1]
-                    size = max(1, -(-len(left) // (limit + 1)))
-                    for lo in range(0, len(left), size):
-                        more = sum(1 << b for b in left[lo : lo + size])
-                        now = np.array([(m & (1 << 64) - 1) | more], np.uint64).view(np.int64)[0]
-                        f = fp[some]
-                        yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(key[some]), pa.array(np.full(len(f), now)), pa.array(f & now), pa.array(f)], names=["part", "key", "mask", "same", "fp"])
+                some = part == p
+                f = fp[some]
+                for mask in plan[p]:
+                    now = np.full(len(f), mask)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(key[some]), pa.array(now.view(np.int64)), pa.array((f.view(np.uint64) & now).view(np.int64)), pa.array(f)], names=["part", "key", "mask", "same", "fp"])
 
     return run
 
 
 def _crowded(rows: DataFrame, parts: list[list[int]], limit: int, hot: int) -> DataFrame:
-    """Links among the fingerprints of each crowded key, met again and again by parts of the bits not yet used until no key is crowded."""
+    """Links among the fingerprints of each crowded key.
+
+    They meet once more, by parts of the bits not yet used. A group that is
+    crowded even then, as many near copies of one text are, is dealt to blocks of about hot
+    fingerprints; each block is verified, and each pair of blocks: a row has two blocks, whatever the group's size.
+    """
     by = ["part", "key", "mask", "same"]
-    rows = rows.select("part", "key", F.lit(0).cast("long").alias("mask"), "fp")
-    out = None
-    for _ in range(64 // max(1, limit) + 1):
-        met = rows.mapInArrow(_narrower(parts, limit), "part int, key long, mask long, same long, fp long")
-        sizes = common.stored(met.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "keys")
-        done = met.join(sizes.where(F.col("n") <= hot).select(*by), by).groupBy(*by).agg(F.collect_list("fp").alias("fps"))
-        found = done.select("fps").mapInArrow(_verify(limit), "a long, b long")
-        out = found if out is None else out.unionByName(found)
-        wide = sizes.where(F.col("n") > hot).select(*by)
-        if not wide.limit(1).count():
-            break
-        rows = common.stored(met.join(wide, by).select("part", "key", "mask", "fp"), "crowded")
-    return out
+    met = common.stored(rows.select("part", "key", "fp").mapInArrow(_narrower(parts, limit), "part int, key long, mask long, same long, fp long"), "crowded")
+    sizes = common.stored(met.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    done = met.join(sizes.where(F.col("n") <= hot).select(*by), by).groupBy(*by).agg(F.collect_list("fp").alias("fps"))
+    out = done.select("fps").mapInArrow(_verify(limit), "a long, b long")
+    wide = sizes.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")).drop("n")
+    if not wide.limit(1).count():
+        return out
+    dealt = met.join(wide, by).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    blocks = common.stored(dealt.groupBy(*by, "blocks", "block").agg(F.collect_list("fp").alias("fps")), "blocks")
+    later = F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1))
+    pairs = blocks.where("block + 1 < blocks").select(*by, "fps", later.alias("block")).join(blocks.select(*by, "block", F.col("fps").alias("others")), [*by, "block"])
+    both = blocks.select("fps", F.lit(None).cast("array<long>").alias("others")).unionByName(pairs.select("fps", "others"))
+    return out.unionByName(both.mapInArrow(_verify(limit), "a long, b long"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -232,6 +232,51 @@ def test_simhash_links_are_complete(spark, hot):
     assert {x: got.get(x, x) for x in signed} == {x: find(x) for x in signed}
 
 
+def _joined(edges, signed):
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    return {x: got.get(x, x) for x in signed}
+
+
+def test_many_near_copies_of_one_template(spark):
+    """All fingerprints within three bits of one template share every key; they are linked in blocks."""
+    r = random.Random(8)
+    base = r.getrandbits(64)
+    fps = set()
+    while len(fps) < 10000:
+        fps.add(base ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 3))))
+    fps |= {base ^ sum(1 << k for k in r.sample(range(64), 20)) for _ in range(50)}
+    fps = np.array(sorted(fps), np.uint64)
+    signed = fps.view(np.int64).tolist()
+    root = np.arange(len(fps))
+    for _ in range(8):  # every template's copy is within six bits, mostly by way of others
+        least = root.copy()
+        for lo in range(0, len(fps), 500):
+            near = np.bitwise_count(fps[lo : lo + 500, None] ^ fps[None, :]) <= 4
+            least[lo : lo + 500] = np.where(near, root[None, :], len(fps)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    want = {}
+    for x, c in zip(signed, root.tolist(), strict=True):
+        want.setdefault(c, []).append(x)
+    got = _joined(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), hot=256), signed)
+    assert got == {x: min(xs) for xs in want.values() for x in xs}
+
+
+def test_crowded_keys_with_few_bits_left(spark):
+    """A part so wide that fewer bits than limit + 1 are left: its groups stay whole and are dealt to blocks."""
+    r = random.Random(5)
+    inner = [r.getrandbits(62) << 1 for _ in range(12)]
+    fps = sorted({x ^ y for x in inner for y in (0, 1 << 63 | 1)} | {x ^ 6 for x in inner[:5]})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), limit=2, hot=1, plan=([list(range(1, 63)), [0, 63]], [2, -1]))
+    got = _joined(edges, signed)
+    groups = {}
+    for x, f in zip(signed, np.array(fps, np.uint64).tolist(), strict=True):
+        groups.setdefault(min(k for k, y in enumerate(inner) if (f ^ y).bit_count() <= 2), []).append(x)
+    assert got == {x: min(xs) for xs in groups.values() for x in xs}
+
+
 def test_packing(docs, empty):
     path = tokens.tokenizer_path()
     got = packing.pack(docs, path).collect()
