@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import evaluation, more, policies, rest, texts  # noqa: F401  they register their queries
+    from .plans import evaluation, loops, more, names, policies, rest, texts  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

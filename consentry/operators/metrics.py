@@ -61,15 +61,6 @@ def pearson(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return a.select(*by, F.when((F.col("sx") * F.col("sy")) == 0, 0.0).otherwise(F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("r"))
 
 
-def kendall(rows: DataFrame, key: str, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, tau): pairs within by; a pair tied in both counts in both totals of ties. Groups are meant to be small."""
-    a, b = rows.select(*by, F.col(key).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1")), rows.select(*by, F.col(key).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    s = F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))
-    p = a.join(b, by).where("i < j").groupBy(*by).agg(F.count_if(s > 0).alias("c"), F.count_if(s < 0).alias("d"), F.count_if(F.col("x1") == F.col("x2")).alias("tx"), F.count_if(F.col("y1") == F.col("y2")).alias("ty"), F.count("*").alias("n"))
-    den = F.sqrt((F.col("n") - F.col("tx")).cast("double") * (F.col("n") - F.col("ty")))
-    return p.select(*by, F.when(den == 0, 0.0).otherwise(F.try_divide(F.col("c") - F.col("d"), den)).alias("tau"))
-
-
 def errors(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     d = F.col(x) - F.col(y)
     return rows.groupBy(*by).agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"))

@@ -93,12 +93,3 @@ def presence(policy_text: Column) -> dict[str, Column]:
     low = F.lower(F.coalesce(policy_text, F.lit("")))
     has = lambda *words: X._any(low, list(words))
     return {"legal": has("consent", "legitimate interest", "legal basis"), "rights": has("your rights", "opt out", "opt-out", "delete your"), "retention": has("retain", "retention")}
-
-
-def chain_positions(entities: Column, gap: int = 10) -> Column:
-    """Granularity 1 to 4 along a chain of places close to each other (specific to general); others as they are."""
-    e = F.array_sort(entities)
-    n = F.size(e)
-    near = F.forall(F.slice(F.zip_with(F.slice(e, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(e, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: b["start"] - a["end"]), F.lit(1), F.greatest(n - 1, F.lit(0))), lambda d: d <= gap)
-    placed = F.transform(e, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), (1 + F.floor(3 * i / F.greatest(n - 1, F.lit(1)))).cast("int").alias("granularity")))
-    return F.when((n >= 2) & near, placed).otherwise(e)

@@ -1,7 +1,7 @@
 """Policy retrieval: latest matching document, structured overlap, BM25 and their blend.
 
-Events are matched to policies by distinct domain, so the containment join sees
-each domain once; BM25 statistics belong to a policy document and are computed once per document.
+Events are matched to policies by distinct domain, through an index of parts of the
+policies' domains; BM25 statistics belong to a policy document and are computed once per document.
 """
 
 from __future__ import annotations
@@ -16,18 +16,42 @@ WEIGHTS = {"data_categories": 0.35, "actions": 0.35, "purposes": 0.2, "recipient
 FIELDS = ("data_categories", "actions", "purposes", "recipients")
 
 
+def _parts(text: Column, n: int) -> Column:
+    """The different parts of n characters."""
+    at = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(names: DataFrame, texts: DataFrame, like: bool = False, size: int = 3) -> DataFrame:
+    """names (a column name, distinct) joined to the rows of texts whose column text contains it.
+
+    An inverted index holds the parts of up to size characters of every text. Each name is
+    looked up by the one of its parts of size characters (a shorter name: by itself) that the fewest texts have; what meets there
+    is verified. like: names are LIKE patterns, looked up by their longest run without a wildcard.
+    """
+    index = texts.withColumn("_part", F.explode(F.concat(*(_parts(F.col("text"), n) for n in range(1, size + 1)), *([F.array(F.lit(""))] if like else []))))
+    counts = index.groupBy("_part").agg(F.count("*").alias("_n"))
+    literal = F.col("name")
+    if like:
+        runs = F.transform(F.split("name", r"[%_\\]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
+        literal = F.array_max(runs)["r"]
+    keyed = names.withColumn("_literal", literal).withColumn("_part", F.explode(F.when(F.length("_literal") > size, _parts(F.col("_literal"), size)).otherwise(F.array("_literal"))))
+    rarest = keyed.join(counts, "_part", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_part").alias("part")))["part"].alias("_part"))
+    test = F.expr("text like concat('%', name, '%')") if like else F.contains(F.col("text"), F.col("name"))
+    return rarest.join(index, "_part").where(test).drop("_part")
+
+
 def latest_policy(events: DataFrame, docs: DataFrame, like: bool = False) -> DataFrame:
     """(domain, policy_doc_id, policy_domain): for each event domain the latest document whose domain contains it.
 
     like: the event's domain is a LIKE pattern. Ties of created_at go to the
-    smaller id. Null and empty domains find nothing.
+    smaller id. Null and empty domains find nothing. Of the documents of one domain only the latest takes part.
     """
-    names = events.select("domain").where("domain is not null and domain <> ''").distinct()
-    d = docs.select("doc_id", F.col("domain").alias("policy_domain"), "created_at")
-    test = F.expr("policy_domain like concat('%', domain, '%')") if like else F.contains(F.col("policy_domain"), F.col("domain"))
-    met = names.join(d, test)
-    first = W.Window.partitionBy("domain").orderBy(F.col("created_at").desc(), "doc_id")
-    return met.withColumn("r", F.row_number().over(first)).where("r = 1").select("domain", F.col("doc_id").alias("policy_doc_id"), "policy_domain")
+    first = lambda by: F.row_number().over(W.Window.partitionBy(by).orderBy(F.col("created_at").desc(), "doc_id"))
+    latest = docs.where("domain is not null").select("doc_id", F.col("domain").alias("text"), "created_at").withColumn("r", first("text")).where("r = 1").drop("r")
+    names = events.select(F.col("domain").alias("name")).where("name is not null and name <> ''").distinct()
+    met = containing(names, latest, like).withColumn("r", first("name")).where("r = 1")
+    return met.select(F.col("name").alias("domain"), F.col("doc_id").alias("policy_doc_id"), F.col("text").alias("policy_domain"))
 
 
 def matched(events: DataFrame, docs: DataFrame, like: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..catalog import query
+from ..operators import inversions
 from ..operators import metrics as M
 from ..sources import readers
 from .inputs import ctes, frame, table
@@ -95,9 +96,9 @@ def ag14(spark, sf):
     return _rounded(M.pearson(_rows(spark, sf), "x", "y", ["grp"]), "r")
 
 
-@query("ag15_kendall", f"{O}, p AS (SELECT a.unit, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM outcomes_in a JOIN outcomes_in b ON a.unit = b.unit AND a.key < b.key), c AS (SELECT unit, count(*) FILTER (s > 0) AS c, count(*) FILTER (s < 0) AS d, count(*) FILTER (tx) AS tx, count(*) FILTER (ty) AS ty, count(*) AS n FROM p GROUP BY 1) SELECT unit, round(CASE WHEN (n - tx) * (n - ty) = 0 THEN 0.0 ELSE (c - d) / sqrt((n - tx)::DOUBLE * (n - ty)) END, 6)::DOUBLE AS tau FROM c")
+@query("ag15_kendall", f"{O}, o AS (SELECT *, row_number() OVER () AS i FROM outcomes_in), p AS (SELECT a.unit, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM o a JOIN o b ON a.unit = b.unit AND a.i < b.i), c AS (SELECT unit, count(*) FILTER (s > 0) AS c, count(*) FILTER (s < 0) AS d, count(*) FILTER (tx) AS tx, count(*) FILTER (ty) AS ty, count(*) AS n FROM p GROUP BY 1) SELECT unit, round(CASE WHEN (n - tx) * (n - ty) = 0 THEN 0.0 ELSE (c - d) / sqrt((n - tx)::DOUBLE * (n - ty)) END, 6)::DOUBLE AS tau FROM c")
 def ag15(spark, sf):
-    return _rounded(M.kendall(_rows(spark, sf), "key", "x", "y", ["unit"]), "tau")
+    return _rounded(inversions.kendall(_rows(spark, sf), "key", "x", "y", ["unit"]), "tau")
 
 
 @query("ag16_errors", f"{O} SELECT grp, round(avg(abs(x - y)), 6) AS mae, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse FROM outcomes_in GROUP BY 1")

@@ -72,6 +72,13 @@ def _docs(d: Dialect) -> str:
     return f"SELECT cast(page_id AS {'string' if d.spark else 'VARCHAR'}) AS doc_id, {HOST} AS domain, page_id * 37 % 101 AS created_at FROM pg_raw"
 
 
+def _gazetteer(d: Dialect) -> str:
+    """Names to recognise: words of the benchmark's texts, one label a place."""
+    at = lambda k: f"get(split(text, ' '), {k})" if d.spark else f"(string_split(text, ' '))[{k + 1}]"
+    places = {"PERSON": f"{at(0)} || ' ' || {at(1)}", "GPE": at(3), "FAC": f"{at(5)} || ' ' || {at(6)}", "ORG": at(7), "LOC": at(9), "NORP": at(12), "DATE": at(14), "MONEY": f"{at(16)} || ' ' || {at(17)} || ' ' || {at(18)}"}
+    return " UNION ALL ".join(f"SELECT {x} AS phrase, '{label}' AS label FROM bm_raw WHERE length({x}) >= 5" for label, x in places.items())
+
+
 def _prefs(d: Dialect) -> str:
     return "SELECT user_id * 2 + v AS id, user_id, 'consent' AS namespace, 'ads' AS key, CASE WHEN v = 1 AND user_id % 5 = 0 THEN ' Opt-Out ' ELSE 'opt-in' END AS value, v AS updated_at FROM (SELECT DISTINCT user_id FROM ev_raw) AS u " + ("LATERAL VIEW explode(array(0, 1)) x AS v" if d.spark else "CROSS JOIN (SELECT unnest([0, 1]) AS v)")
 
@@ -84,8 +91,8 @@ FROM line_raw"""
 #: Groups to draw from again: suppliers of a nation, numbered from 0.
 _DRAWS = "SELECT s_nationkey AS grp, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, s_acctbal / 1000 AS v, (s_acctbal - 4000) / 1000 AS d FROM supp_raw"
 
-PARTS = {"events": _events, "statements": _statements, "docs": _docs, "prefs": _prefs, "outcomes": lambda d: _OUTCOMES, "draws": lambda d: _DRAWS}
-RAW = {"ev_raw": "events", "pg_raw": "pages", "line_raw": "lineitem", "supp_raw": "supplier"}
+PARTS = {"events": _events, "statements": _statements, "docs": _docs, "prefs": _prefs, "gazetteer": _gazetteer, "outcomes": lambda d: _OUTCOMES, "draws": lambda d: _DRAWS}
+RAW = {"ev_raw": "events", "pg_raw": "pages", "line_raw": "lineitem", "supp_raw": "supplier", "bm_raw": "benchmark"}
 
 
 def frame(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:

@@ -8,8 +8,9 @@ from ..catalog import query
 from ..functions import risk as R
 from ..functions import tables as T
 from ..functions import text as X
-from ..operators import anonymize
+from ..operators import anonymize, intervals
 from ..sources import readers
+from . import text_twin as TT
 from . import twin
 from .inputs import frame, table
 
@@ -54,13 +55,19 @@ def an02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ok.alias("ok"))
 
 
-@query("an03_an05_levels")
+_LEVELS = f"WITH {TT.PATTERNS}, lv AS (SELECT doc_id, len(rx) AS n_entities, {TT.levels('rx')} FROM rx)"
+
+
+@query("an03_an05_levels", f"{_LEVELS} SELECT doc_id, n_entities, md5(l1) AS digest1, md5(l2) AS digest2, md5(l3) AS digest3 FROM lv")
 def an03(spark, sf):
     x = anonymize.levels(table(spark, sf, "documents").select("doc_id", "text"))
     return x.select("doc_id", F.size("entities").alias("n_entities"), *(F.md5(f"l{k}").alias(f"digest{k}") for k in (1, 2, 3)))
 
 
-@query("an12_adaptive")
+_UNSAFE = "strpos({t}, '@') > 0 OR strpos({t}, '****') > 0"
+
+
+@query("an12_adaptive", f"{_LEVELS}, {TT.adaptive('lv', '(doc_id % 10 / 10.0)', _UNSAFE)} SELECT doc_id, initial_level, final_level, rounds, upgraded, md5(anonymized) AS digest FROM ad")
 def an12(spark, sf):
     """Escalates while an e-mail's domain or the last digits of a number can still be read."""
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -121,12 +128,31 @@ def sc09(spark, sf):
     return readers.paragraphs(d, "doc_id", "text").select("doc_id", "paragraph", F.length("text").alias("n"))
 
 
-@query("sc16_contained_entities")
+_TYPES = {"EMAIL": "DIRECT", "PHONE": "QUASI", "CREDIT_CARD": "NO_MASK", "API_KEY": "OTHER"}
+_PARTS = r"regexp_split_to_array(text, '\n\s*\n')"
+_SEPARATORS = r"regexp_extract_all(text, '\n\s*\n')"
+_LENGTHS = "coalesce(list_sum(list_transform({}[1:i - 1], lambda z: length(z))), 0)"
+
+
+@query(
+    "sc16_contained_entities",
+    rf"""WITH {TT.patterns(text="replace(coalesce(text, ''), chr(10), chr(10) || chr(10))")},
+    en AS (SELECT doc_id, unnest(rx) AS x FROM rx),
+    sp AS (SELECT doc_id, {_PARTS} AS parts, {_SEPARATORS} AS seps FROM rx),
+    pa AS (SELECT doc_id, unnest(list_transform(range(1, len(parts) + 1), lambda i: {{'s': {_LENGTHS.format('parts')} + {_LENGTHS.format('seps')}, 't': parts[i]}})) AS p FROM sp),
+    pn AS (SELECT doc_id, p.s AS start, p.s + length(p.t) AS stop, trim(p.t, E' \t\n\r\f\v') AS text FROM pa),
+    pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS paragraph FROM pn WHERE length(text) >= 30),
+    met AS (SELECT doc_id, paragraph, text, x.t AS kind, x.s AS s, x.e AS e, x.v AS v FROM pk JOIN en USING (doc_id) WHERE x.s >= start AND x.e <= stop)
+    SELECT doc_id, paragraph, md5(left(any_value(text), 600)) AS digest, string_agg(DISTINCT kind, '|' ORDER BY kind) AS category,
+      max(CASE kind WHEN 'EMAIL' THEN 0.85 WHEN 'PHONE' THEN 0.65 WHEN 'CREDIT_CARD' THEN 0.45 ELSE 0.5 END)::DOUBLE AS risk_score, string_agg(v, '|' ORDER BY s, e, v) AS fields FROM met GROUP BY 1, 2""",
+)
 def sc16(spark, sf):
-    """E-mails and card numbers with the paragraph that holds each whole."""
+    """Paragraphs (lines stand in for them) with the identifiers that they hold whole; the kind of identifier tells its type."""
     d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    e = d.select("doc_id", F.explode(X.entities(F.col("text"))).alias("e")).select("doc_id", F.col("e.start").alias("start"), F.col("e.end").alias("end_"), F.col("e.type").alias("kind"))
-    return readers.contained(e, readers.paragraphs(d, "doc_id", "text", 30), "doc_id").groupBy("doc_id", "paragraph").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"), F.count("*").alias("n"))
+    kind = F.create_map(*[F.lit(x) for kv in _TYPES.items() for x in kv])
+    e = d.select("doc_id", F.explode(X.entities(F.col("text"))).alias("e")).select("doc_id", "e.start", "e.end", F.col("e.value").alias("span_text"), F.col("e.type").alias("entity_type"), kind[F.col("e.type")].alias("identifier_type"))
+    x = intervals.annotated_paragraphs(d, e, "doc_id", "text")
+    return x.select("doc_id", "paragraph", F.md5("text").alias("digest"), "category", "risk_score", F.array_join("sensitive_fields", "|").alias("fields"))
 
 
 @query("sm01_hash_sample", "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")

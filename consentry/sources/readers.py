@@ -13,6 +13,7 @@ ANNOTATION = "c0 string, c1 string, c2 string, c3 string, c4 string, c5 string,
 CATEGORIES = ("First Party Collection/Use", "Third Party Sharing/Collection", "User Choice/Control", "User Access, Edit and Deletion", "Data Retention", "Data Security", "Policy Change", "Do Not Track", "International and Specific Audiences", "Other")
 FEEDBACK = "ts double, timestamp string, behavior struct<data_categories:array<string>,actions:array<string>,purposes:array<string>,raw_text:string>, policy struct<data_categories:array<string>,actions:array<string>,purposes:array<string>,raw_text:string>, sys1_uncertainty double, sys1_prediction double, teacher_decision string, target_label int, rationale string"
 SQUAD = "data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,type:string>>>>>>"
+BEHAVIOUR = "domain string, behavior struct<data_categories:array<string>,actions:array<string>,purposes:array<string>>, policy struct<data_categories:array<string>,actions:array<string>,purposes:array<string>>, generation_type string, statement_id long, source string"
 SYNTH = "personality map<string,string>, feature string, hardness int, question_asked string, response string, guess string"
 
 
@@ -74,12 +75,6 @@ def synthetic_profiles(rows: DataFrame, fields=("sex", "city_country", "birth_ci
     return rows.where(r != "").select("response", risk.alias("risk_score"), kept.alias("sensitive_fields")).where(F.size("sensitive_fields") > 0)
 
 
-def contained(entities: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """Entities (start, end_, type, kind) joined to the paragraph that holds them whole (interval containment within key)."""
-    e = entities.select(key, F.col("start").alias("e_start"), F.col("end_").alias("e_end"), "kind")
-    return parts.join(e, key).where((F.col("e_start") >= F.col("start")) & (F.col("e_end") <= F.col("start") + F.length("text")))
-
-
 def feedback(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEEDBACK).json(path).where(F.col("target_label").isNotNull())
 
@@ -88,6 +83,16 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def append_feedback(rows: DataFrame, path: str) -> None:
+    """Appends the rows that have a label; others are not learned from."""
+    append_json(rows.where(F.col("target_label").isNotNull()), path)
+
+
+def behaviours(spark: SparkSession, path: str) -> DataFrame:
+    """Behaviours as append_json writes them; blank lines are passed over."""
+    return spark.read.schema(BEHAVIOUR).json(path).where(F.coalesce("domain", "generation_type", F.col("statement_id").cast("string")).isNotNull() | F.col("behavior").isNotNull())
+
+
 def audit_rows(decisions: DataFrame) -> DataFrame:
     """What the audit log keeps of decisions: never content, and only evidence that has an id."""
     return decisions.select("ts", "event_id", "decision", "risk_score", F.array_compact(F.transform("evidence", lambda e: e["evidence_id"])).alias("evidence_ids"))
@@ -116,9 +121,12 @@ def best_and_worst(rows: DataFrame, by: str, value: str, key: str) -> DataFrame:
     return x.where("_b = 1").select(by, key, F.lit("best").alias("which")).unionByName(x.where("_w = 1").select(by, key, F.lit("worst").alias("which")))
 
 
-def to_markdown(rows: DataFrame) -> str:
-    """A small result as a Markdown table, built on the driver."""
-    lines = [rows.columns, ["---"] * len(rows.columns), *[["" if v is None else str(v) for v in r] for r in rows.limit(1000).collect()]]
+def to_markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A small result as a Markdown table, built on the driver; ValueError for more than most rows."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    lines = [rows.columns, ["---"] * len(rows.columns), *[["" if v is None else str(v) for v in r] for r in got]]
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
 
 

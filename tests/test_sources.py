@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from consentry.sources import readers as S
 
 
@@ -22,13 +24,11 @@ def test_accumulated_items(spark):
     assert [(r.item, r.data_categories, r.actions) for r in got] == [(0, ["Contact"], ["Collect"]), (1, ["Location"], ["Share"])]
 
 
-def test_paragraphs_and_containment(spark):
+def test_paragraphs(spark):
     text = "a" * 60 + "\n\n" + "short" + "\n\n" + "b" * 70
     d = spark.createDataFrame([(1, text)], "id int, t string")
     p = S.paragraphs(d, "id", "t")
     assert [(r.paragraph, r.start, len(r.text)) for r in p.orderBy("start").collect()] == [(0, 0, 60), (2, 69, 70)]
-    e = spark.createDataFrame([(1, 70, 75, "X"), (1, 58, 64, "Y")], "id int, start int, end_ int, kind string")
-    assert [(r.paragraph, r.kind) for r in S.contained(e, p, "id").collect()] == [(2, "X")]
 
 
 def test_questions(spark, tmp_path):
@@ -68,3 +68,5 @@ def test_logs(spark, tmp_path):
     S.append_json(rows, f"{tmp_path}/log")
     assert S.feedback(spark, f"{tmp_path}/log").count() == 2
     assert S.to_markdown(rows.limit(1)).splitlines()[0] == "| teacher_decision | target_label |"
+    with pytest.raises(ValueError):
+        S.to_markdown(rows, most=1)
