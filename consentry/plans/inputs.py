@@ -58,12 +58,16 @@ def _events(d: Dialect) -> str:
       CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 5 = 0 THEN regexp_replace({HOST}, '^(www|m)[.]', '') ELSE {HOST} END AS domain,
       CASE event_type WHEN 'click' THEN 'xmlhttprequest' WHEN 'view' THEN 'fetch' WHEN 'purchase' THEN 'Paste' WHEN 'signup' THEN 'input' ELSE event_type END AS action_type,
       CASE WHEN event_id % 2 = 0 THEN {d.pick(MASKED, f"{d.div('event_id', 2)} % 5")} ELSE '' END AS masked, {_lists(d, "event_id")}
-    FROM ev_raw LEFT JOIN pg_raw ON page_id = event_id % 97"""
+    FROM (SELECT *, event_id % (SELECT count(*) FROM pg_raw) AS on_page FROM ev_raw) AS e LEFT JOIN pg_raw ON page_id = on_page"""
 
 
 def _statements(d: Dialect) -> str:
-    ids = "SELECT page_id, html, page_id * 3 + k AS id FROM pg_raw " + ("LATERAL VIEW explode(array(0, 1, 2)) v AS k" if d.spark else "CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)")
-    return f"""SELECT id, cast(page_id AS {"string" if d.spark else "VARCHAR"}) AS policy_doc_id, substring(html, 200, cast(20 + (id % 5) * 15 as int)) AS snippet, {_lists(d, "id")},
+    ids = "SELECT page_id, html, k, page_id * 3 + k AS id FROM pg_raw " + ("LATERAL VIEW explode(array(0, 1, 2)) v AS k" if d.spark else "CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)")
+    # a page's three statements are its whole text: a short beginning and the two halves of the rest
+    first = "(20 + (page_id * 3 % 5) * 15)"
+    half = d.div(f"greatest(0, length(html) - {first})", 2)
+    snippet = f"CASE k WHEN 0 THEN substring(html, 1, cast({first} AS int)) WHEN 1 THEN substring(html, cast(1 + {first} AS int), cast({half} AS int)) ELSE substring(html, cast(1 + {first} + {half} AS int)) END"
+    return f"""SELECT id, cast(page_id AS {"string" if d.spark else "VARCHAR"}) AS policy_doc_id, {snippet} AS snippet, {_lists(d, "id")},
       CASE WHEN id % 3 = 0 THEN 'consent' END AS legal_basis, CASE WHEN id % 8 = 0 THEN NULL ELSE id % 4 = 0 END AS rights_flag, id % 7 = 0 AS transfer_outside, CASE WHEN id % 5 = 0 THEN 'period' END AS retention_mode
     FROM ({ids}) AS x"""
 

@@ -9,8 +9,10 @@ from ..catalog import query
 from ..functions import risk as R
 from ..functions import tables as T
 from ..functions import text as X
+from ..operators import anonymize, contexts, guessing, retrieval
 from ..operators import models as MD
 from ..sources import readers
+from . import text_twin as TT
 from . import twin
 from .inputs import ctes, frame, table
 
@@ -35,10 +37,11 @@ def sc23(spark, sf):
     return readers.audit_rows(d).select("event_id", "decision", F.size("evidence_ids").alias("n_ids"))
 
 
-@query("se01_union_all", f"{S} SELECT id, 'db' AS source FROM statements_in WHERE id % 2 = 0 UNION ALL SELECT id, 'public' FROM statements_in WHERE id % 3 = 0")
+@query("se01_union_all", f"{ctes('statements', 'docs')} SELECT policy_doc_id AS doc_id, id, 'db' AS source FROM statements_in UNION ALL SELECT doc_id, created_at, 'public' FROM docs_in")
 def se01(spark, sf):
-    s = frame(spark, sf, "statements")
-    return s.where("id % 2 = 0").select("id", F.lit("db").alias("source")).unionByName(s.where("id % 3 = 0").select("id", F.lit("public").alias("source")))
+    """Two whole sources with other columns under each other."""
+    s = frame(spark, sf, "statements").select(F.col("policy_doc_id").alias("doc_id"), "id", F.lit("db").alias("source"))
+    return s.unionByName(frame(spark, sf, "docs").select("doc_id", F.col("created_at").alias("id"), F.lit("public").alias("source")))
 
 
 @query("se02_overlap_jaccard", f"{ctes('events')} SELECT a.event_id, len(list_intersect(list_distinct(a.data_categories), list_distinct(b.data_categories))) AS overlap, round(CASE WHEN len(list_distinct(list_concat(a.data_categories, b.data_categories))) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(a.data_categories), list_distinct(b.data_categories)))::DOUBLE / len(list_distinct(list_concat(a.data_categories, b.data_categories))) END, 6) AS jaccard FROM events_in a JOIN events_in b ON b.event_id = a.event_id + 1")
@@ -59,21 +62,43 @@ def sn04(spark, sf):
     return x.select("conv_id", "turn", "c.category", "c.method")
 
 
-@query("pf07_model_categories", "SELECT event_id, CASE WHEN value > 30 THEN 1 ELSE 0 END AS n FROM events")
+@query("pf07_model_categories", f"{E}, c AS (SELECT event_id, unnest(data_categories) AS category, generate_subscripts(data_categories, 1) AS i FROM events_in) SELECT event_id, category FROM c WHERE (event_id + i) % 4 <> 0 AND ((event_id + i) % 10) / 10.0 > 0.3")
 def pf07(spark, sf):
-    a = F.format_string('{"categories": [{"category": "Email", "confidence": %.2f}, {"category": "SSN"}]}', F.when(F.col("value") > 30, 0.5).otherwise(0.1))
-    return table(spark, sf, "events").select("event_id", F.size(MD.sensitive(a)).alias("n"))
-
-
-@query("lm02_parsed_decisions", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'allow' WHEN 1 THEN 'deny' WHEN 2 THEN 'transform' ELSE 'deny' END AS decision, CASE event_id % 4 WHEN 0 THEN 0.25 WHEN 2 THEN 0.6 ELSE 0.7 END::DOUBLE AS risk_score, CASE event_id % 4 WHEN 0 THEN 1 ELSE 0 END AS n_evidence FROM events")
+    """A model's answer on each event's own categories, with confidences of all tenths, some missing: those over 0.3 stay."""
+    one = F.transform("data_categories", lambda c, i: F.concat(F.lit('{"category": "'), c, F.lit('"'), F.when((F.col("event_id") + i + 1) % 4 != 0, F.format_string(', "confidence": %.1f', (F.col("event_id") + i + 1) % 10 / F.lit(10.0))).otherwise(""), F.lit("}")))
+    answer = F.concat(F.lit('<think>{"categories": []}</think> {"categories": ['), F.array_join(one, ", "), F.lit("]}"))
+    return frame(spark, sf, "events").select("event_id", F.explode(MD.sensitive(answer)).alias("c")).select("event_id", "c.category")
+
+
+@query(
+    "lm02_parsed_decisions",
+    f"""{E}, d AS (SELECT event_id, ['Allow', 'deny', 'TRANSFORM', 'ask', 'perhaps'][1 + len(actions) + event_id % 3] AS decision, event_id % 7 = 0 AS cut, CASE WHEN event_id % 5 > 0 THEN round((event_id % 100) / 100.0, 2) END AS score, data_categories AS cited FROM events_in),
+    k AS (SELECT *, NOT cut AND lower(decision) IN ('allow', 'deny', 'transform', 'ask') AS ok FROM d)
+    SELECT event_id, CASE WHEN ok THEN lower(decision) ELSE 'deny' END AS decision, (CASE WHEN ok THEN coalesce(score, 0.6) ELSE 0.7 END)::DOUBLE AS risk_score, CASE WHEN cut THEN 0 ELSE len(list_filter(cited, lambda x: x IN ('Health', 'Email', 'Contact', 'Location'))) END AS n_evidence FROM k""",
+)
 def lm02(spark, sf):
-    """Answers with all parts, without sense, without a score, and cut off."""
-    answers = ['<think>{x}</think>{"decision": "Allow", "risk_score": 0.25, "evidence": ["d:1", "d:9"]}', "no idea", '{"decision": "transform"}', '{"decision": "allow", ']
-    p = MD.parsed_decision(F.element_at(F.array(*map(F.lit, answers)), (F.col("event_id") % 4 + 1).cast("int")), F.array(F.lit("d:1")))
-    x = table(spark, sf, "events").select("event_id", p.alias("p"))
+    """A model's decision on each event: in any case, with and without a score, with evidence that is not there, and cut off."""
+    e = frame(spark, sf, "events")
+    said = F.element_at(F.array(*map(F.lit, ("Allow", "deny", "TRANSFORM", "ask", "perhaps"))), (1 + F.size("actions") + F.col("event_id") % 3).cast("int"))
+    score = F.when(F.col("event_id") % 5 > 0, F.format_string(', "risk_score": %.2f', F.col("event_id") % 100 / F.lit(100.0))).otherwise("")
+    whole = F.concat(F.lit('Sure. {"decision": "'), said, F.lit('"'), score, F.lit(', "evidence": '), X.json_list(F.col("data_categories")), F.lit("}"))
+    answer = F.when(F.col("event_id") % 7 == 0, F.left(whole, F.length(whole) - 1)).otherwise(whole)
+    x = e.select("event_id", MD.parsed_decision(answer, F.array(*map(F.lit, ("Health", "Email", "Contact", "Location")))).alias("p"))
     return x.select("event_id", "p.decision", "p.risk_score", F.size("p.evidence").alias("n_evidence"))
 
 
+def _contexts_sql(all_) -> str:
+    """Rows of in_contexts in DuckDB."""
+    one = lambda c, e: f"{{'context': '{c.name}', 'recipients': ['{c.recipient}'], 'purposes': ['{c.purpose}'], 'actions': ['{c.action}'], 'action_type': '{c.action_type}', 'n': {int(c.evidence is not None)}, 'e1': {len(e.snippet) >= 50}, 'shown': {list(e.data_categories)}::VARCHAR[], 'why': {list(e.purposes)}::VARCHAR[], 'e4': {e.legal}, 'e5': {e.rights}, 'e6': {e.retention}}}"
+    rows = ", ".join(one(c, c.evidence or contexts.Evidence()) for c in all_)
+    less = " - ".join(f"(CASE WHEN {test} THEN {w} ELSE 0 END)::DOUBLE" for test, w in (("e1", 0.1), ("list_has_any(shown, data_categories)", 0.15), ("list_has_any(why, purposes)", 0.1), ("e4", 0.08), ("e5", 0.05), ("e6", 0.02)))
+    z = f"((risk - {twin.ALLOW}) / ({twin.DENY} - {twin.ALLOW}))"
+    return f"""{E}, c AS (SELECT unnest([{rows}], recursive := true)), x AS (SELECT e.data_categories, c.* FROM events_in e CROSS JOIN c),
+    s AS (SELECT context, {twin.TIER} AS tier, round(least(1.0::DOUBLE, 0.7::DOUBLE * {twin.severity()} * (CASE WHEN n = 0 THEN 1.3 ELSE greatest(0.8::DOUBLE, 1.3::DOUBLE - {less}) END)::DOUBLE), 12) AS risk FROM x),
+    l AS (SELECT context, tier, risk, {twin.DECISION} AS decision, CASE WHEN risk < 0.5 THEN 1 WHEN risk < 0.7 THEN 2 WHEN risk < 0.85 THEN 3 ELSE 4 END AS level, CASE WHEN risk < {twin.ALLOW} THEN 1 WHEN risk >= {twin.DENY} THEN 4 WHEN {z} < 0.25 THEN 1 WHEN {z} < 0.5 THEN 2 WHEN {z} < 0.75 THEN 3 ELSE 4 END AS banded_level FROM s)
+    SELECT context, tier, decision, level, banded_level, count(*) AS n, round(sum(risk), 6) AS risk FROM l GROUP BY ALL"""
+
+
 @query("rk16_contexts", f"""{E}, c AS (SELECT unnest([{{'context': 'trusted', 'recipients': ['first_party'], 'purposes': ['functionality'], 't': 0.8}}, {{'context': 'analytics', 'recipients': ['analytics'], 'purposes': ['analytics'], 't': 1.0}}, {{'context': 'ads', 'recipients': ['advertising'], 'purposes': ['advertising'], 't': 1.3}}], recursive := true)),
   s AS (SELECT context, {twin.TIER} AS tier, round(least(1.0::DOUBLE, 0.7::DOUBLE * {twin.severity()} * t::DOUBLE), 12) AS risk FROM (SELECT e.event_id, e.data_categories, e.actions, e.action_type, c.* FROM events_in e CROSS JOIN c))
   SELECT context, {twin.DECISION} AS decision, count(*) AS n FROM s GROUP BY ALL""")
@@ -87,6 +112,29 @@ def rk16(spark, sf):
     return x.groupBy(F.col("c.context").alias("context"), R.decision(F.col("risk"), F.col("tier")).alias("decision")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "rk16_contexts_with_evidence",
+    _contexts_sql(contexts.CONTROL + contexts.BAND),
+)
+def rk16_evidence(spark, sf):
+    """Every event in the eight contexts of both studies, each with what its policy shows."""
+    x = contexts.in_contexts(frame(spark, sf, "events").select("data_categories"), contexts.CONTROL + contexts.BAND)
+    return x.groupBy("context", "tier", "decision", "level", "banded_level").agg(F.count("*").alias("n"), F.round(F.sum("risk"), 6).alias("risk"))
+
+
+@query(
+    "rk19_policy_risk",
+    f"""{ctes('events', 'docs')}, {twin.LATEST}, p AS (SELECT e.*, {twin.TIER} AS tier, pg.html FROM events_in e JOIN latest l USING (domain) JOIN pages pg ON pg.page_id::VARCHAR = l.policy_doc_id),
+    r AS (SELECT event_id, tier, round(least(1.0::DOUBLE, 0.7::DOUBLE * {twin.severity()} * greatest(0.8::DOUBLE, 1.3::DOUBLE - (CASE WHEN length(html) >= 50 THEN 0.1 ELSE 0 END)::DOUBLE - (CASE WHEN len(data_categories) > 0 THEN 0.15 ELSE 0 END)::DOUBLE - (CASE WHEN len(purposes) > 0 THEN 0.1 ELSE 0 END)::DOUBLE - (CASE WHEN contains(lower(html), 'consent') THEN 0.08 ELSE 0 END)::DOUBLE)), 12) AS risk FROM p)
+    SELECT event_id, risk, {twin.DECISION} AS decision FROM r""",
+)
+def rk19_risk(spark, sf):
+    """Each event's risk under the text of its latest policy."""
+    met = retrieval.matched(frame(spark, sf, "events"), frame(spark, sf, "docs"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("policy_doc_id"), "html")
+    return contexts.policy_risk(met.join(pages, "policy_doc_id"), "html").select("event_id", "risk", "decision")
+
+
 @query("rk19_policy_signals", "SELECT page_id, contains(lower(html), 'consent') OR contains(lower(html), 'legitimate interest') OR contains(lower(html), 'legal basis') AS legal, contains(lower(html), 'your rights') OR contains(lower(html), 'opt out') OR contains(lower(html), 'opt-out') OR contains(lower(html), 'delete your') AS rights, contains(lower(html), 'retain') OR contains(lower(html), 'retention') AS retention FROM pages")
 def rk19(spark, sf):
     return table(spark, sf, "pages").select("page_id", *(c.alias(k) for k, c in MD.presence(F.col("html")).items()))
@@ -150,19 +198,40 @@ def an16(spark, sf):
     return x.groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg(F.length("t")), 6).alias("mean_length"))
 
 
-@query("an11_guesser_fold", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence, event_id % 3 = 0 AS can_identify FROM events")
+_NEXT = "WITH n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations), g AS (SELECT *, regexp_extract_all(next, '[A-Za-z]{3,}') AS w FROM n WHERE next IS NOT NULL)"
+_FITS = "(contains(lower(text), lower({0})) OR list_has_any([lower({0})], list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 2)))"
+
+
+@query(
+    "an11_guesser_fold",
+    f"""{_NEXT}, k AS (SELECT conv_id, turn, CASE WHEN len(w) > 0 AND {_FITS.format('w[1]')} THEN 0.4 END AS a, CASE WHEN len(w) > 0 AND {_FITS.format('w[-1]')} THEN (turn % 10) / 10.0 END AS b, len(w) AS n FROM g)
+    SELECT conv_id, turn, (CASE WHEN a IS NULL AND b IS NULL THEN 0 ELSE greatest(coalesce(a, 0), coalesce(b, 0), 0.55) END)::DOUBLE AS confidence, (a IS NOT NULL OR b IS NOT NULL) AND greatest(coalesce(a, 0), coalesce(b, 0), 0.55) >= 0.6 AS can_identify, greatest(CASE WHEN n > 0 THEN greatest(0.4, (turn % 10) / 10.0) ELSE 0 END, 0.55)::DOUBLE AS unverified FROM k""",
+)
 def an11(spark, sf):
-    """A guess that the text verifies counts, one that it does not is ignored."""
-    a = F.when(F.col("event_id") % 3 == 0, F.lit('{"guesses": [{"type": "city", "value": "sydney", "confidence": 0.5}], "confidence": 0.8}')).otherwise(F.lit('{"guesses": [{"type": "city", "value": "rome", "confidence": 0.9}]}'))
-    x = table(spark, sf, "events").select("event_id", MD.identified(a, F.lit("I live in Sydney.")).alias("g"))
-    return x.select("event_id", "g.confidence", "g.can_identify")
+    """Guesses of the next turn's first and last word, verified by the turn; unverified: the same without an original."""
+    c = table(spark, sf, "conversations").withColumn("next", F.lead("text").over(W.Window.partitionBy("conv_id").orderBy("turn"))).where("next is not null")
+    w = F.regexp_extract_all("next", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    one = lambda word, confidence: F.struct(word.alias("guess"), confidence.alias("confidence"))
+    guesses = F.when(F.size("w") > 0, F.array(one(F.get("w", F.lit(0)), F.lit(0.4)), one(F.get("w", F.size("w") - 1), F.col("turn") % 10 / F.lit(10.0)))).otherwise(F.array().cast("array<struct<guess:string,confidence:double>>"))
+    x = c.withColumn("w", w).withColumn("answer", F.to_json(F.struct(guesses.alias("guesses"), F.lit(0.55).alias("max_confidence"))))
+    x = x.select("conv_id", "turn", guessing.guessed(F.col("answer"), F.col("text")).alias("g"), guessing.guessed(F.col("answer")).alias("u"))
+    return x.select("conv_id", "turn", "g.confidence", "g.can_identify", F.col("u.confidence").alias("unverified"))
+
+
+_CANDIDATE = "CASE doc_id % 4 WHEN 0 THEN l3 WHEN 1 THEN '  ' || text || ' ' WHEN 2 THEN coalesce(text, '') || ' and more' END"
 
 
-@query("an06_accepted_rewrite", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Someone wrote.' ELSE 'mail ***@example.com' END AS text FROM events")
+@query(
+    "an06_accepted_rewrite",
+    f"""WITH {TT.PATTERNS}, lv AS (SELECT doc_id, text, rx, {TT.levels('rx')} FROM rx), c AS (SELECT doc_id, text, rx, l3, trim(coalesce({_CANDIDATE}, '')) AS c FROM lv)
+    SELECT doc_id, md5(CASE WHEN c = '' OR (lower(c) = lower(trim(text)) AND l3 <> text) OR len(list_filter(rx, lambda x: contains(lower(c), lower(x.v)))) > 0 THEN l3 ELSE c END) AS digest FROM c""",
+)
 def an06(spark, sf):
-    o, f = F.lit("mail jane@example.com"), F.lit("mail ***@example.com")
-    c = F.element_at(F.array(F.lit("Someone wrote."), o, F.lit("write to jane@example.com now")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", MD.accepted(c, o, f, X.entities(o), F.lit(4)).alias("text"))
+    """A rewrite of each document - its masked text, an echo, one that leaves every identifier, none - or the masked text in its place."""
+    x = anonymize.levels(table(spark, sf, "documents").select("doc_id", "text"))
+    n = F.col("doc_id") % 4
+    candidate = F.when(n == 0, F.col("l3")).when(n == 1, F.concat(F.lit("  "), "text", F.lit(" "))).when(n == 2, F.concat(F.coalesce("text", F.lit("")), F.lit(" and more")))
+    return x.select("doc_id", F.md5(MD.accepted(candidate, F.col("text"), F.col("l3"), F.col("entities"), F.lit(4))).alias("digest"))
 
 
 _VARIANTS = (("full", True, "allow"), ("private", True, "allow"), ("minimal", True, "allow"), ("shared", False, "deny"), ("sold", False, "deny"), ("unknown", False, "deny"))
@@ -185,11 +254,12 @@ def ml13(spark, sf):
     return g.withColumn("r", F.row_number().over(w).cast("long")).where("r <= 50").select("cats", "id", "r")
 
 
-@query("ml14_scenarios", "SELECT t.range AS template, k.kind, n.range AS n, CASE k.kind WHEN 'compliant' THEN 'allow' WHEN 'violating' THEN 'deny' ELSE 'transform' END AS expected FROM range(10) t CROSS JOIN (SELECT unnest(['compliant', 'violating', 'ambiguous']) AS kind) k CROSS JOIN range(100) n")
+@query("ml14_scenarios", "SELECT s_nationkey AS template, k.kind, row_number() OVER (PARTITION BY s_nationkey, k.kind ORDER BY s_suppkey) - 1 AS n, CASE k.kind WHEN 'compliant' THEN 'allow' WHEN 'violating' THEN 'deny' ELSE 'transform' END AS expected FROM supplier CROSS JOIN (SELECT unnest(['compliant', 'violating', 'ambiguous']) AS kind) k")
 def ml14(spark, sf):
-    """Templates by kinds by numbers, from one range."""
-    k = F.element_at(F.array(*map(F.lit, ("compliant", "violating", "ambiguous"))), (F.expr("id div 100") % 3 + 1).cast("int"))
-    return spark.range(3000).select(F.expr("id div 300").alias("template"), k.alias("kind"), (F.col("id") % 100).alias("n"), F.when(k == "compliant", "allow").when(k == "violating", "deny").otherwise("transform").alias("expected"))
+    """Scenarios of each kind, numbered within a template; nations stand in for templates, their suppliers for what fills them."""
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("template"), "s_suppkey", F.explode(F.array(*map(F.lit, ("compliant", "violating", "ambiguous")))).alias("kind"))
+    number = F.row_number().over(W.Window.partitionBy("template", "kind").orderBy("s_suppkey")) - 1
+    return s.select("template", "kind", number.cast("long").alias("n"), F.when(F.col("kind") == "compliant", "allow").when(F.col("kind") == "violating", "deny").otherwise("transform").alias("expected"))
 
 
 @query("st06_hourly_usage", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")

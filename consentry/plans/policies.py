@@ -116,15 +116,6 @@ def rk15(spark, sf):
     return e.select("event_id", "risk", F.when(F.col("risk") < 0.3, "allow").when(F.col("risk") < 0.7, "transform").otherwise("deny").alias("decision"))
 
 
-_KEY = "concat_ws('|', coalesce(domain, ''), array_to_string(list_sort(data_categories), ','), array_to_string(list_sort(actions), ','), array_to_string(list_sort(purposes), ','), array_to_string(list_sort(recipients), ','), action_type)"
-
-
-@query("rk17_cache_keys", f"{EV} SELECT left(sha256({_KEY}), 32) AS cache_key, count(*) AS hits, min(event_id) AS first_event FROM events_in GROUP BY ALL")
-def rk17(spark, sf):
-    key = F.concat_ws("|", F.coalesce("domain", F.lit("")), *[F.array_join(F.sort_array(c), ",") for c in ("data_categories", "actions", "purposes", "recipients")], "action_type")
-    return frame(spark, sf, "events").groupBy(F.left(F.sha2(key, 256), F.lit(32)).alias("cache_key")).agg(F.count("*").alias("hits"), F.min("event_id").alias("first_event"))
-
-
 _GUARD = f"guard AS (SELECT e.* EXCLUDE (data_categories), {twin.ENRICHED} AS data_categories, {twin.SKIP} AS skip, (lower(trim(p.value)) = 'opt-out' AND len(list_filter(purposes, lambda x: contains(lower(x), 'ads'))) > 0) IS TRUE AS blocked FROM events_in e LEFT JOIN (SELECT user_id, max_by(value, updated_at) AS value FROM prefs_in GROUP BY 1) p USING (user_id))"
 
 
@@ -145,6 +136,16 @@ _JSON = (
     "left(sha256('{\"action_type\": ' || " + _TEXT.format("action_type") + " || ', \"actions\": ' || " + _SORTED.format("actions") + " || ', \"data_categories\": ' || " + _SORTED.format("data_categories") + " || ', \"domain\": ' || " + _TEXT.format("domain")
     + " || ', \"purposes\": ' || " + _SORTED.format("purposes") + " || ', \"recipients\": ' || " + _SORTED.format("recipients") + " || ', \"user_prefs\": ' || coalesce('[\"consent.ads=' || p.value || '\"]', 'null') || '}'), 32)"
 )
+_LAST = "lastp AS (SELECT user_id, max_by(value, updated_at) AS value FROM prefs_in GROUP BY 1)"
+
+
+@query("rk17_cache_keys", f"{ctes('events', 'prefs')}, {_LAST} SELECT {_JSON} AS cache_key, count(*) AS hits, min(event_id) AS first_event FROM events_in LEFT JOIN lastp p USING (user_id) GROUP BY ALL")
+def rk17(spark, sf):
+    """The cascade's own cache keys: how many events share each."""
+    e = frame(spark, sf, "events").join(decide.latest_preferences(frame(spark, sf, "prefs")), "user_id", "left")
+    return e.groupBy(decide.cache_key().alias("cache_key")).agg(F.count("*").alias("hits"), F.min("event_id").alias("first_event"))
+
+
 _SP = "(CASE WHEN {0} > 20 THEN {0} ELSE ln(1 + exp({0})) END)"
 _A0, _A1 = "(12 * score - 4)", "(4 * score + len(purposes) + len(recipients) - 1)"
 
@@ -231,10 +232,10 @@ def rt05(spark, sf):
     return retrieval.keyword_scores(_matched(spark, sf), frame(spark, sf, "statements")).withColumn("keyword", F.round("keyword", 6))
 
 
-@query("rt06_hybrid_top8", f"{_CAND}, {twin.BM25}, {twin.KEYWORD}, {twin.HYBRID} SELECT event_id, s_id, rank, round(score, 6) AS score FROM top")
+@query("rt06_hybrid_top8", f"{_CAND}, {twin.BM25}, {twin.KEYWORD}, {twin.HYBRID} SELECT event_id, s_id, rank, score FROM top")
 def rt06(spark, sf):
     x = retrieval.hybrid(_matched(spark, sf), frame(spark, sf, "statements"))
-    return x.select("event_id", "s_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return x.select("event_id", "s_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query("pf01_triage", f"{EV} SELECT event_id, {twin.SKIP} AS skip, array_to_string({twin.ENRICHED}, ',') AS categories FROM events_in")

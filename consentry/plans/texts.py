@@ -166,10 +166,10 @@ def pf09(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(256)).alias("raw_text"))
 
 
-@query("an08_lexical_verifier", "WITH t AS (SELECT a.conv_id, a.turn, lower(trim(left(b.text, 12))) AS g, lower(a.text) AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, contains(o, g) OR list_has_any(list_filter(regexp_split_to_array(g, '\\s+'), lambda w: length(w) > 2), list_filter(regexp_split_to_array(o, '\\s+'), lambda w: length(w) > 2)) AS verified FROM t")
+@query("an08_lexical_verifier", "WITH t AS (SELECT a.conv_id, a.turn, lower(trim(b.text)) AS g, lower(a.text) AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, contains(o, g) OR list_has_any(list_filter(regexp_split_to_array(g, '\\s+'), lambda w: length(w) > 2), list_filter(regexp_split_to_array(o, '\\s+'), lambda w: length(w) > 2)) AS verified FROM t")
 def an08(spark, sf):
     c = table(spark, sf, "conversations")
-    a, b = c.select("conv_id", "turn", F.col("text").alias("ta")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.left("text", F.lit(12)).alias("guess"))
+    a, b = c.select("conv_id", "turn", F.col("text").alias("ta")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("guess"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", X.lexical_verified(F.col("guess"), F.col("ta")).alias("verified"))
 
 
