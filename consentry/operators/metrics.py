@@ -184,3 +184,34 @@ def krippendorff_ordinal(rows: DataFrame, unit: str, value: str, by: list[str])
     a = u.groupBy(*by).agg(F.sum("m").alias("t"), F.sum((2 * F.col("m") * F.col("q") - 2 * F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("observed"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     expected = (2 * F.col("t") * F.col("q") - 2 * F.col("s") * F.col("s")) / (F.col("t") - 1)
     return a.select(*by, F.when(expected == 0, 1.0).otherwise(1 - F.try_divide(F.col("observed"), expected)).alias("alpha"))
+
+
+def examples(ours: DataFrame, baseline: DataFrame, key: str, category: str, value: str, order: str, categories: int = 5, losses: int = 2, most: int = 10) -> DataFrame:
+    """(key, place) of rows to show: the best and the worst by value of each of the first categories, then the greatest losses.
+
+    A category is what precedes the first bar in it (null: unknown); categories count in the order of their first row.
+    Of equal values the first row is the best, the last the worst; a category's only row is shown once. A
+    loss is a baseline's greater value of the same key; of equal gaps the greater key comes first. A key is shown once, at its first place, and at most most are.
+    """
+    rows = ours.select(key, F.coalesce(F.get(F.split(category, r"\|"), F.lit(0)), F.lit("unknown")).alias("c"), F.col(value).alias("v"), F.col(order).alias("o"))
+    rank = F.struct("v", (-F.col("o")).alias("o"))
+    each = rows.groupBy("c").agg(F.min("o").alias("o"), F.max_by(key, rank).alias("best"), F.min_by(key, rank).alias("worst"), F.count("*").alias("n")).orderBy("o").limit(categories)
+    each = each.withColumn("r", F.row_number().over(W.Window.orderBy("o")))  # of a handful of rows
+    pair = F.filter(F.array(F.struct(F.col("best").alias(key), (2 * F.col("r")).alias("place")), F.when(F.col("n") > 1, F.struct(F.col("worst").alias(key), (2 * F.col("r") + 1).alias("place")))), lambda x: x.isNotNull())
+    shown = each.select(F.explode(pair).alias("x")).select("x.*")
+    gap = F.col("b") - F.col("v")
+    lost = rows.join(baseline.select(key, F.col(value).alias("b")), key).where(gap > 0).withColumn("gap", gap).orderBy(F.col("gap").desc(), F.col(key).desc()).limit(losses)
+    lost = lost.select(key, (2 * categories + 2 + F.row_number().over(W.Window.orderBy(F.col("gap").desc(), F.col(key).desc()))).alias("place"))
+    once = shown.unionByName(lost).groupBy(key).agg(F.min("place").alias("place")).orderBy("place").limit(most)
+    return once.withColumn("place", F.row_number().over(W.Window.orderBy("place")))
+
+
+def aligned(rows: DataFrame, keys: list[str], raters: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """rows with a column per rater: its label of the row's keys, the last by its order columns; null where it gave none.
+
+    raters: by name the annotations, the label's column and the order columns. Each rater is grouped before it is joined.
+    """
+    for name, (given, label, order) in raters.items():
+        last = given.groupBy(*keys).agg(F.max_by(label, F.struct(*order)).alias(name))
+        rows = rows.join(last, keys, "left")
+    return rows

@@ -199,6 +199,41 @@ def wn07(spark, sf):
     return readers.best_and_worst(_rows(spark, sf), "unit", "x", "key")
 
 
+_OURS = "o AS (SELECT c_custkey AS sample_id, c_mktsegment || '|' || c_nationkey AS category, round(c_acctbal) AS privacy FROM customer), b AS (SELECT c_custkey AS sample_id, (c_custkey * 37 % 1000) * 10.0 AS privacy FROM customer)"
+
+
+@query(
+    "wn07_examples",
+    f"""WITH {_OURS}, r AS (SELECT *, string_split(category, '|')[1] AS c FROM o),
+    k AS (SELECT c, row_number() OVER (ORDER BY min(sample_id)) AS k, count(*) AS n FROM r GROUP BY c),
+    x AS (SELECT r.*, k, n, row_number() OVER (PARTITION BY c ORDER BY privacy DESC, sample_id) AS best, row_number() OVER (PARTITION BY c ORDER BY privacy, sample_id DESC) AS worst FROM r JOIN k USING (c) WHERE k <= 5),
+    s AS (SELECT sample_id, 2 * k AS place FROM x WHERE best = 1 UNION ALL SELECT sample_id, 2 * k + 1 FROM x WHERE worst = 1 AND n > 1
+      UNION ALL SELECT sample_id, 12 + row_number() OVER (ORDER BY gap DESC, sample_id DESC) FROM (SELECT sample_id, b.privacy - o.privacy AS gap FROM o JOIN b USING (sample_id) WHERE b.privacy > o.privacy ORDER BY gap DESC, sample_id DESC LIMIT 2)),
+    d AS (SELECT sample_id, min(place) AS place FROM s GROUP BY 1)
+    SELECT sample_id, row_number() OVER (ORDER BY place) AS place FROM d ORDER BY place LIMIT 10""",
+)
+def wn07_examples(spark, sf):
+    """Customers to show: a report of at most ten, over all of them."""
+    c = table(spark, sf, "customer")
+    ours = c.select(F.col("c_custkey").alias("sample_id"), F.concat_ws("|", "c_mktsegment", "c_nationkey").alias("category"), F.round("c_acctbal").alias("privacy"))
+    baseline = c.select(F.col("c_custkey").alias("sample_id"), (F.col("c_custkey") * 37 % 1000 * 10.0).alias("privacy"))
+    return M.examples(ours, baseline, "sample_id", "category", "privacy", "sample_id")
+
+
+_LINES = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query(
+    "jn10_aligned_raters",
+    "WITH a AS (SELECT l_orderkey, " + ", ".join(f"max({{'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey, 'd': l_extendedprice, 'l': {x}}}) FILTER ({t}).l AS {n}" for n, x, t in (("first", "l_returnflag", "l_quantity > 30"), ("second", "l_linestatus", "l_discount > 0.06"), ("third", "l_returnflag || l_linestatus", "l_tax < 0.02"))) + " FROM lineitem GROUP BY 1) SELECT o_orderkey, first, second, third FROM orders LEFT JOIN a ON o_orderkey = l_orderkey",
+)
+def jn10_raters(spark, sf):
+    """Each order with what three raters said last; lines that pass a rater's test are its annotations."""
+    line = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").withColumn("both", F.concat("l_returnflag", "l_linestatus"))
+    raters = {"first": (line.where("l_quantity > 30"), "l_returnflag", [*_LINES]), "second": (line.where("l_discount > 0.06"), "l_linestatus", [*_LINES]), "third": (line.where("l_tax < 0.02"), "both", [*_LINES])}
+    return M.aligned(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], raters)
+
+
 @query("wn09_batches", "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20 AS batch, event_id FROM events")
 def wn09(spark, sf):
     w = W.Window.partitionBy("user_id").orderBy("ts", "event_id")

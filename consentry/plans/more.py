@@ -51,7 +51,10 @@ def se02(spark, sf):
     return e.join(b, "event_id").select("event_id", F.size(F.array_intersect("data_categories", "other")).cast("long").alias("overlap"), F.round(X.jaccard(F.col("data_categories"), F.col("other")), 6).alias("jaccard"))
 
 
-@query("sn04_merged_categories")
+_PHRASES = " UNION ALL ".join(f"SELECT conv_id, turn, '{c}' AS category, len(list_filter({[x.replace(chr(39), chr(39) * 2) for x in p]}, lambda p: contains(lower(text), p))) > 0 AS hit FROM conversations WHERE conv_id IS NOT NULL" for c, p in T.PHRASES.items())
+
+
+@query("sn04_merged_categories", f"SELECT conv_id, turn, category, 'keyword' AS method FROM ({_PHRASES}) WHERE hit AND NOT (turn % 3 = 0 AND category = 'Health') UNION ALL SELECT conv_id, turn, 'Health', 'llm' FROM conversations WHERE conv_id IS NOT NULL AND turn % 3 = 0")
 def sn04(spark, sf):
     """Keyword hits merged with a model's answer; the answer here is the stub of a category for every third turn."""
     c = table(spark, sf, "conversations").where("conv_id is not null")
@@ -276,7 +279,10 @@ def lm07(spark, sf):
     return m.withColumn("code", F.char(64 + F.row_number().over(w)))
 
 
-@query("an20_first_sentences")
+_FOLD = "CASE WHEN acc.full THEN acc WHEN acc.t = '' THEN {'t': x.t, 'full': false} WHEN length(acc.t) + 1 + length(x.t) <= 200 THEN {'t': acc.t || ' ' || x.t, 'full': false} ELSE {'t': acc.t, 'full': true} END"
+
+
+@query("an20_first_sentences", r"WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM conversations) SELECT conv_id, turn, list_reduce(list_transform(s, lambda p: {'t': p, 'full': false}), lambda acc, x: " + _FOLD + ", {'t': '', 'full': false}).t AS head FROM s")
 def an20(spark, sf):
     """Sentences of a text as long as their sum stays within 200 characters; at least the first."""
     s = F.split("text", r"(?<=[.!?])\s+")

@@ -12,7 +12,7 @@ from ..operators import anonymize, intervals
 from ..sources import readers
 from . import text_twin as TT
 from . import twin
-from .inputs import frame, table
+from .inputs import ctes, frame, table
 
 _TOKENS = twin.TOKENS.format("coalesce(text, '')")
 
@@ -113,7 +113,17 @@ def ml08(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(F.array_join(X.found_terms(F.col("text"), t), ",").alias(n) for n, t in (("data", T.TEXT_DATA), ("actions", T.TEXT_ACTION), ("purposes", T.TEXT_PURPOSE))))
 
 
-@query("sc05_accumulated_items")
+_D, _A = "list_distinct(list_concat(acc.d, x.d))", "list_distinct(list_concat(acc.a, x.a))"
+_ITEMS = "[]::STRUCT(d VARCHAR[], a VARCHAR[])[]"
+
+
+@query(
+    "sc05_accumulated_items",
+    f"""{ctes('events')}, e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN array_to_string(data_categories, ' ') ELSE array_to_string(actions, ' ') END AS text FROM events_in),
+    l AS (SELECT user_id, list({{'d': {twin.found('text', T.TEXT_DATA)}, 'a': {twin.found('text', T.TEXT_ACTION)}, 'items': {_ITEMS}}} ORDER BY event_id) AS l FROM e GROUP BY 1),
+    f AS (SELECT user_id, list_reduce(l, lambda acc, x: CASE WHEN len({_D}) > 0 AND len({_A}) > 0 THEN {{'d': []::VARCHAR[], 'a': []::VARCHAR[], 'items': list_append(acc.items, {{'d': list_sort({_D}), 'a': list_sort({_A})}})}} ELSE {{'d': {_D}, 'a': {_A}, 'items': acc.items}} END, {{'d': []::VARCHAR[], 'a': []::VARCHAR[], 'items': {_ITEMS}}}).items AS items FROM l)
+    SELECT user_id, generate_subscripts(items, 1) - 1 AS item, array_to_string(unnest(items).d, ',') AS data_categories, array_to_string(unnest(items).a, ',') AS actions FROM f""",
+)
 def sc05(spark, sf):
     """A user's behaviours stand in for a policy's segments: even ones tell categories, odd ones actions."""
     e = frame(spark, sf, "events").withColumn("text", F.when(F.col("event_id") % 2 == 0, F.array_join("data_categories", " ")).otherwise(F.array_join("actions", " ")))
