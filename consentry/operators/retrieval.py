@@ -95,11 +95,12 @@ def query_text() -> Column:
 
 def bm25_index(statements: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(policy_doc_id, id, token, weight): what one query token adds; the corpus is the policy document."""
-    t = statements.select("policy_doc_id", "id", X.tokens(statement_text()).alias("t"))
-    per_doc = t.groupBy("policy_doc_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    tf = t.select("policy_doc_id", "id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("policy_doc_id", "id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("policy_doc_id", "token").agg(F.count("*").alias("df"))
-    x = tf.join(df, ["policy_doc_id", "token"]).join(per_doc, "policy_doc_id")
+    t = statements.select("policy_doc_id", "id", X.tokens(statement_text()).alias("t")).withColumn("dl", F.size("t"))
+    per_doc = t.groupBy("policy_doc_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # tokens are dealt once, by policy and token: counts, document frequencies and the join of queries all keep that
+    each = t.select("policy_doc_id", "id", "dl", F.explode("t").alias("token")).repartition("policy_doc_id", "token")
+    tf = each.groupBy("policy_doc_id", "id", "dl", "token").agg(F.count("*").alias("tf"))
+    x = tf.withColumn("df", F.count("*").over(W.Window.partitionBy("policy_doc_id", "token"))).join(per_doc, "policy_doc_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return x.select("policy_doc_id", "id", "token", (idf * F.col("tf") * (k1 + 1) / F.greatest(F.lit(1e-9), F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))).alias("weight"))
 
@@ -107,11 +108,11 @@ def bm25_index(statements: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataF
 def keyword_scores(events: DataFrame, statements: DataFrame) -> DataFrame:
     """(event_id, s_id, keyword): BM25 of each matched event's query over its policy's statements; repeated query tokens count each time.
 
-    Queries are scored once per different (policy, token list).
+    Queries are scored once per different (policy, text).
     """
-    q = events.select("event_id", "policy_doc_id", X.tokens(query_text()).alias("q")).withColumn("qk", F.xxhash64("q"))
-    distinct = q.groupBy("policy_doc_id", "qk").agg(F.first("q").alias("q")).select("policy_doc_id", "qk", F.explode("q").alias("token")).groupBy("policy_doc_id", "qk", "token").agg(F.count("*").alias("times"))
-    scored = distinct.join(bm25_index(statements), ["policy_doc_id", "token"]).groupBy("policy_doc_id", "qk", "id").agg(F.sum(F.col("weight") * F.col("times")).alias("keyword"))
+    q = events.select("event_id", "policy_doc_id", query_text().alias("text")).withColumn("qk", F.md5("text"))
+    asked = q.groupBy("policy_doc_id", "qk").agg(F.first("text").alias("text")).select("policy_doc_id", "qk", F.explode(X.tokens(F.col("text"))).alias("token"))
+    scored = asked.join(bm25_index(statements), ["policy_doc_id", "token"]).groupBy("policy_doc_id", "qk", "id").agg(F.sum("weight").alias("keyword"))
     return q.select("event_id", "policy_doc_id", "qk").join(scored, ["policy_doc_id", "qk"]).select("event_id", F.col("id").alias("s_id"), "keyword")
 
 
