@@ -87,3 +87,30 @@ def test_near_copies_of_the_tables(spark, sf):
 def test_nulls_and_empty(spark, rows):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((str(row.doc_id), row.text) for row in similar.keep_first(d).collect()) == ([("2", None), ("None", "a b")] if rows else [])
+
+
+def test_simhash_groups_come_first(spark, monkeypatch):
+    """The stage's links begin with SimHash groups, found by op6's search, and each is checked by whole sets."""
+    from consentry.llm import simhash
+
+    r = random.Random(9)
+    base = [f"w{r.randrange(3000)}" for _ in range(300)]
+    texts = [" ".join(base), _edited(r, base, 1), " ".join(["other"] * 3), "", None]
+    whole, searched = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda fps, *a, **o: searched.append({row.fp for row in fps.collect()}) or whole(fps, *a, **o))
+    pairs = list(enumerate(texts))
+    kept = similar.keep_first(spark.createDataFrame(pairs, "doc_id long, text string"))
+    assert {row.doc_id for row in kept.collect()} == brute([(i, t or "") for i, t in pairs])
+    assert {simhash.fingerprint((t or "").encode()) for t in texts} == {fp % (1 << 64) for fp in searched[0]}
+
+
+def test_shingles_of_some_dozens_of_sets_stay_out_of_prefixes_at_any_size(spark):
+    """60,000 sets, of which each 48 share a shingle: most such shingles are known as common, so hardly any pairs meet at them."""
+    import numpy as np
+
+    shared = np.arange(1250, dtype=np.uint64) * np.uint64(1 << 37) + np.uint64(1 << 20)
+    rows = [(i, similar.packed(np.sort(np.array([shared[i % 1250], (i + 1) * 4001 << 16], np.uint64)))) for i in range(60_000)]
+    sets = spark.createDataFrame(rows, "set long, shingles binary").repartition(4)
+    keys, counts = similar._common(sets, len(rows))
+    found = np.isin(shared >> np.uint64(16), keys)
+    assert found.mean() > 0.9 and len(keys) == found.sum() and counts.min() >= 6
