@@ -92,3 +92,17 @@ def test_latest_policy(spark):
     plan = retrieval.latest_policy(e, d)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert retrieval.latest_policy(e.limit(0), d).count() == retrieval.latest_policy(e, d.limit(0)).count() == 0
+
+
+def test_rank_sorts_stay_small_however_many_rows(spark):
+    """The rows of a rank's task do not grow with the table; equal groups stay together, and rho is the same."""
+    from consentry.operators import metrics as M
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("unit"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    d = M.dealt(rows, ["unit"], each=100)
+    held = d.select("unit", F.spark_partition_id().alias("p")).distinct().collect()
+    assert d.rdd.getNumPartitions() == 40 and len(held) == 1000 and len({r.p for r in held}) > 30
+    ranked = M._ranked(d, "x", ["unit"], "rx")
+    assert ranked.rdd.getNumPartitions() == 40
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, M._ranked(rows, "x", ["unit"], "rx").collect()))
