@@ -114,3 +114,29 @@ def test_shingles_of_some_dozens_of_sets_stay_out_of_prefixes_at_any_size(spark)
     keys, counts = similar._common(sets, len(rows))
     found = np.isin(shared >> np.uint64(16), keys)
     assert found.mean() > 0.9 and len(keys) == found.sum() and counts.min() >= 6
+
+
+def test_sketches_tell_apart_no_similar_pair():
+    """Sets of all sizes, some of which differ in their sketches' length: never more differing bits than differing shingles."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (1, 5, 120, 128, 129, 250, 300, 3000):
+        a = np.unique(r.integers(0, 1 << 48, n, dtype=np.uint64))
+        for k in (0, 1, n // 10, n // 2):
+            b = np.unique(np.concatenate([a[k:], r.integers(0, 1 << 48, k + n // 20, dtype=np.uint64)]))
+            assert similar.differing(similar.sketch(a), similar.sketch(b)) <= len(np.setxor1d(a, b))
+    x, y = (similar.sketch(r.integers(0, 1 << 48, 3000, dtype=np.uint64)) for _ in range(2))
+    assert similar.differing(x, y) > 1000  # unrelated sets are told apart
+
+
+def test_near_copies_of_one_text_meet_in_proportion(spark, monkeypatch):
+    """300 copies that are similar to some of each other: the pairs that meet stay far fewer than all pairs."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    pairs = [(i, _edited(r, base, 2)) for i in range(300)]
+    met, whole = [], similar._narrowed
+    monkeypatch.setattr(similar, "_narrowed", lambda p, *a, **o: met.append(p.count()) or whole(p, *a, **o))
+    got = {row.doc_id for row in similar.keep_first(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(pairs)
+    assert sum(met) < 300 * 299 // 2 / 3, met
