@@ -1,6 +1,7 @@
 """Calls of a model with retries, and a log of answers that survives lost executors and drivers.
 
-Each different prompt is asked once per attempt until it has an answer. Prompts are asked in slices;
+Each different prompt is asked once per attempt until it has an answer. Prompts are asked in slices, of which there are at most
+MOST_SLICES and each reads its own prompts only, so that an attempt's work is in proportion to them;
 each slice's answers are appended to the log by a write job of its own, whose tasks commit one by
 one, so what was answered before an executor or the driver was lost is not asked again: a new call with the same log goes on from it.
 Between attempts the driver waits, longer each time; no executor waits.
@@ -15,10 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 LOG = "key string, attempt int, answer string, error string, seconds double"
 #: What is not asked again: the client refuses, or cannot read the prompt.
 FINAL = ("PermissionError", "ValueError")
 INVALID = "InvalidAnswer"
+#: More prompts than these slices hold make each of them larger.
+MOST_SLICES = 32
+#: Rows that a task of the join of rows and answers should have.
+JOINED = 10_000
 
 
 def key(prompt: Column) -> Column:
@@ -70,11 +77,12 @@ def ask(rows: DataFrame, prompt: str, factory: Callable[[int], Callable[[str], s
     """
     spark = rows.sparkSession
     wanted = rows.select(F.col(prompt).alias("prompt")).where(F.col("prompt").isNotNull()).distinct().select(key(F.col("prompt")).alias("key"), "prompt")
+    wanted = shared.written(wanted, "prompts")
     for attempt in range(1, attempts + 1):
         seen = outcomes(read_log(spark, log))
         settled = seen.where(F.col("answer").isNotNull() | F.col("error").isin(*FINAL) | (F.col("attempts") >= attempt)).select("key")
         left = wanted.join(settled, "key", "left_anti")
-        n = left.count()
+        n = left.select("key").count()
         open_ = n or wanted.join(seen.where(F.col("answer").isNotNull() | F.col("error").isin(*FINAL)).select("key"), "key", "left_anti").limit(1).count()
         if not open_:
             break
@@ -82,16 +90,22 @@ def ask(rows: DataFrame, prompt: str, factory: Callable[[int], Callable[[str], s
             continue  # a log that has this attempt already
         if attempt > 1:
             wait(min(longest, base ** (attempt - 1)))
-        slices = -(-n // slice_rows)
+        slices = min(-(-n // slice_rows), MOST_SLICES)
+        if slices > 1:
+            left = shared.written(left.withColumn("_slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")), "slices", "_slice")
         for k in range(slices):
-            some = left.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == k).repartition("key")
-            got = some.mapInArrow(_asking(factory, attempt), LOG)
+            some = left.where(F.col("_slice") == k).drop("_slice") if slices > 1 else left
+            got = some.repartition("key").mapInArrow(_asking(factory, attempt), LOG)
             if valid is not None:
                 ok = F.col("answer").isNull() | F.coalesce(valid(F.col("answer")), F.lit(False))
                 got = got.withColumns({"error": F.when(ok, F.col("error")).otherwise(INVALID), "answer": F.when(ok, F.col("answer"))})
             got.write.mode("append").parquet(log)
     found = outcomes(read_log(spark, log)).select(F.col("key").alias("_key"), "answer", "error", "attempts")
-    return rows.join(found, key(F.col(prompt)) == F.col("_key"), "left").drop("_key")
+    # rows without a prompt are spread by their values, since all nulls would meet in one task
+    plain = [F.col(f.name) for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    to = F.when(F.col(prompt).isNotNull(), key(F.col(prompt))).otherwise(F.concat(F.lit("-"), F.xxhash64(*plain).cast("string")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // JOINED))
+    return rows.withColumn("_to", to).repartition(parts, "_to").join(found, F.col("_to") == F.col("_key"), "left").drop("_to", "_key")
 
 
 def unfenced(answer: Column) -> Column:

@@ -61,6 +61,30 @@ def test_a_slice_that_was_lost_is_asked_alone(spark, tmp_path):
     assert sorted(f.rsplit("-", 1)[0] for f in os.listdir(folder)) == ["b-1", "late-2", "late-3"]
 
 
+def test_slices_read_their_own_prompts_and_rows_without_one_are_spread(spark, tmp_path, monkeypatch):
+    """However many prompts there are, the rows are computed a fixed number of times; null prompts meet in more than one task."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def answer(attempt):
+        return lambda p: f"to {p}"
+
+    work = []
+    for n, rows in ((40, 1), (400, 1)):
+        before = seen.value
+        d = spark.range(n).selectExpr("id", "case when id % 2 = 0 then concat('p', id) end as p").mapInArrow(noted, "id long, p string")
+        got = calls.ask(d, "p", answer, str(tmp_path / f"log{n}"), slice_rows=rows, wait=lambda s: None)
+        assert {(r.p, r.answer) for r in got.where("p is not null").collect()} == {(f"p{i}", f"to p{i}") for i in range(0, n, 2)}
+        work.append((seen.value - before) / n)
+    assert work[0] == work[1] <= 4, work
+    nulls = got.where("p is null").select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert len(nulls) > 1 and sum(r["count"] for r in nulls) == 200
+
+
 def test_ratings_and_likelihoods(spark):
     answers = ['```json\n{"privacy": 9, "utility": 0, "fluency": "3"}\n```', '<think>{"privacy": 1}</think>{"privacy": 2.9}', "no", '{"privacy": "high"}', None, '{"likelihood": 0.25}', '{"likelihood": "x"}']
     got = [tuple(r.r) if r.r else None for r in spark.createDataFrame([(a,) for a in answers], "a string").select(calls.rated(F.col("a")).alias("r")).collect()]
