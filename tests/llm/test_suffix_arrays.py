@@ -31,3 +31,13 @@ def test_counts_beyond_four_bytes():
     for x in ([], [0, 7], [2**32 - 1], [2**32, 5, 2**45]):
         assert chunks.unpack_counts(chunks.pack_counts(np.array(x, np.int64))).tolist() == x
     assert chunks.all_counts(None).tolist() == []
+
+
+def test_anchors_are_spread_over_buckets():
+    """Anchors are the least hashes of their windows, so as they are most would go to the first buckets."""
+    text = np.random.default_rng(3).integers(97, 123, 1 << 18).astype(np.uint8).tobytes()
+    row = {"chunk": 0, "n_docs": 1, "n_bytes": len(text), "ids": np.array([1]).tobytes(), "ends": np.array([len(text)]).tobytes(), "blob": chunks.pack(text)}
+    anchors = suffix_dedup.Runs(chunks.Chunk(row), 50).anchors
+    sizes = np.diff(chunks.cuts(anchors, 256))
+    assert len(anchors) > 10_000
+    assert sizes.max() < 2 * sizes.mean()
