@@ -34,6 +34,9 @@ SHARED_BITS = (CLASSES * (GROUPS - OWN)).bit_length() - 1
 #: Rows of each of the two tables of weights: by bytes of text a row, within these bounds.
 ROW_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 14, 1 << 18
 BLOCKS = 64
+PLACE_BITS = 24  # of a batch's features, while its rows are put in order
+#: Bytes of text a task learns from: what a task sends is the rows it has met, which soon are nearly all, so tasks must be few.
+LEARN_BYTES = 256 << 20
 ENDING = 2  # bytes at a word's end that choose its shared group
 #: The end of a document, which no word equals.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -148,6 +151,19 @@ def features(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([common.mix64(x ^ t) for x, t in zip((one, one + common.mix64(two), two), _TAGS, strict=True)], 1)
 
 
+def segment_sums(x: np.ndarray, rows: np.ndarray, new: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x named by rows, over stretches of n that begin at new; most stretches have one or two."""
+    out = x[rows[new]]
+    two = np.nonzero(n == 2)[0]
+    out[two] += x[rows[new[two] + 1]]
+    more = np.nonzero(n > 2)[0]
+    if len(more):
+        size = n[more]
+        at = np.cumsum(size) - size
+        out[more] = np.add.reduceat(x[rows[np.arange(size.sum()) + np.repeat(new[more] - at, size)]], at)
+    return out
+
+
 class Weights:
     """Two tables of rows: for the classes by feature, for the groups by feature and class."""
 
@@ -165,11 +181,11 @@ class Weights:
         inner ^= inner >> np.uint64(32)
         return (f % np.uint64(self.n)).astype(np.int64), (inner % np.uint64(self.n)).astype(np.int64)
 
-    def logs(self, table: np.ndarray, f: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    def logs(self, table: np.ndarray, f: np.ndarray, bias: np.ndarray, right: np.ndarray) -> np.ndarray:
         y = table[f[:, 0]] + table[f[:, 1]] + table[f[:, 2]] + bias
         y -= y.max(1, keepdims=True)
-        y -= np.log(np.exp(y).sum(1, keepdims=True))
-        return y
+        found = y[np.arange(len(y)), right]
+        return found - np.log(np.exp(y, out=y).sum(1))
 
     def learn(self, f: np.ndarray, c: np.ndarray, g: np.ndarray, rate: float, batch: int = 16384) -> None:
         """Gradient steps; the gradients of a row that occurs more than once in a batch are averaged."""
@@ -183,13 +199,13 @@ class Weights:
                 np.exp(step, out=step)
                 step /= step.sum(1, keepdims=True)
                 step[np.arange(len(step)), right] -= 1
-                rows = at.ravel()
-                order = np.argsort(rows, kind="stable")
-                r = rows[order]
+                # rows and their places as one number sort much faster than places by rows
+                packed = np.sort(at.ravel() << PLACE_BITS | np.arange(at.size))
+                r, token = packed >> PLACE_BITS, (packed & ((1 << PLACE_BITS) - 1)) // 3
                 new = np.nonzero(np.concatenate([[True], r[1:] != r[:-1]]))[0]
                 n = np.diff(np.append(new, len(r)))
                 r = r[new]
-                mean = np.add.reduceat(step[order // 3], new) / n[:, None].astype(np.float32)
+                mean = segment_sums(step, token, new, n) / n[:, None].astype(np.float32)
                 self.squares[k][r] += (mean * mean).sum(1)
                 self.tables[k][r] -= np.float32(rate) * mean / np.sqrt(self.squares[k][r])[:, None]
                 self.met[k][r] += n
@@ -201,8 +217,7 @@ class Weights:
             part = slice(lo, lo + batch)
             cs = c[part]
             outer, inner = self.places(f[part], cs)
-            each = np.arange(len(cs))
-            y = self.logs(self.tables[0], outer, self.groups.outer)[each, cs] + self.logs(self.tables[1], inner, self.groups.inner[cs])[each, g[part]]
+            y = self.logs(self.tables[0], outer, self.groups.outer, cs) + self.logs(self.tables[1], inner, self.groups.inner[cs], g[part])
             out.append(y.astype(np.float64) / np.log(10))
         return np.concatenate(out)
 
@@ -224,8 +239,13 @@ def _keys(folds: int, held: int):
     return keys_of
 
 
+def for_learning(table: DataFrame, n_bytes: int) -> DataFrame:
+    """A chunk table in as few tasks as have LEARN_BYTES each, or one for each core."""
+    return table.coalesce(ch.tasks_for(table.sparkSession, n_bytes, LEARN_BYTES))
+
+
 def train(table: DataFrame, groups: Groups, n_rows: int, folds: int, held: int, rounds: int = 1, rate: float = 0.4) -> Weights:
-    """Weights learned from all training documents of a chunk table."""
+    """Weights learned from all training documents of a chunk table, a task's own in its order."""
     spark = table.sparkSession
     tables = [np.zeros((n_rows, k), np.float32) for k in (CLASSES, GROUPS)]
     per = n_rows // BLOCKS
@@ -288,7 +308,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, size: int = 4 << 20, r
     n_all, n_keys = seen.sum(0)
     often = ends.select(F.explode("often").alias("x")).select("x.*").orderBy(F.desc("n"), "key").limit(CLASSES * OWN).collect()
     groups = Groups(np.array([r["key"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.float64), seen)
-    weights = docs.sparkSession.sparkContext.broadcast(train(table, groups, rows_for(n_bytes), folds, held, rounds))
+    weights = docs.sparkSession.sparkContext.broadcast(train(for_learning(table, n_bytes), groups, rows_for(n_bytes), folds, held, rounds))
 
     def run(batches):
         w = weights.value

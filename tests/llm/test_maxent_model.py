@@ -80,3 +80,19 @@ def test_keys_are_those_of_words(monkeypatch):
     monkeypatch.setattr(maxent, "PIECE", 64)
     assert maxent.tokens_of(text).tolist() == keys.tolist()
     assert maxent.tokens_of(b"").tolist() == [maxent.END] and maxent.tokens_of(b" A a ")[0] == maxent.tokens_of(b"a")[0]
+
+
+def test_few_tasks_learn(spark):
+    """What a task sends does not shrink with its share of the texts, so their number follows the bytes, not the files."""
+    table = spark.range(300).repartition(64)
+    cores = spark.sparkContext.defaultParallelism
+    assert maxent.for_learning(table, 1 << 20).rdd.getNumPartitions() <= cores
+    assert maxent.for_learning(table, (cores + 3) * maxent.LEARN_BYTES).rdd.getNumPartitions() == min(64, cores + 3)
+
+
+def test_segment_sums():
+    r = np.random.default_rng(5)
+    for top in (1, 2, 3, 9):
+        n = r.integers(1, top + 1, 200)
+        new, rows, x = np.cumsum(n) - n, r.integers(0, 50, n.sum()), r.integers(0, 9, (50, 4)).astype(np.float32)
+        assert (maxent.segment_sums(x, rows, new, n) == np.array([x[rows[a : a + k]].sum(0) for a, k in zip(new, n, strict=True)])).all()
