@@ -12,6 +12,9 @@ from ..functions import tables as T
 from ..functions import text as X
 from . import retrieval
 
+#: Characters of a statement's text from which it counts as long.
+LONG_SNIPPET = 50
+
 
 def is_capture() -> Column:
     return F.lower(F.coalesce("action_type", F.lit(""))).isin(*T.CAPTURE_ACTIONS)
@@ -48,7 +51,7 @@ def evidence_signals(top: DataFrame) -> DataFrame:
     meets = lambda f: F.size(F.array_intersect(F.coalesce(f"s_{f}", F.array().cast("array<string>")), F.coalesce(f, F.array().cast("array<string>")))) > 0
     has = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     return top.groupBy("event_id").agg(
-        F.count("*").alias("n_evidence"), any_(F.length("s_snippet") >= 50).alias("long_snippet"), any_(meets("data_categories")).alias("same_category"), any_(meets("purposes")).alias("same_purpose"),
+        F.count("*").alias("n_evidence"), any_(F.length("s_snippet") >= LONG_SNIPPET).alias("long_snippet"), any_(meets("data_categories")).alias("same_category"), any_(meets("purposes")).alias("same_purpose"),
         any_(has("s_legal_basis")).alias("legal"), any_(F.col("s_rights_flag")).alias("rights"), any_(has("s_retention_mode")).alias("retention"),
         F.min_by(F.struct("score", "s_id", *[f"s_{f}" for f in retrieval.FIELDS]), "rank").alias("top"),
     )
@@ -110,7 +113,7 @@ def decide(
         e = e.withColumns({"from_cache": F.lit(False), "cached": F.lit(None).cast("struct<decision:string,risk_score:double,system_used:string,n_evidence:long>")})
     e = e.withColumn("data_categories", enriched())  # the key is of the categories as they came
     met = retrieval.matched(e.where("not skip and not blocked and not from_cache"), docs)
-    found = evidence_signals(retrieval.hybrid(met, statements, alpha, top_k))
+    found = evidence_signals(retrieval.hybrid(met, statements, alpha, top_k, LONG_SNIPPET))
     x = e.join(found, "event_id", "left")
     lone = F.col("n_evidence").isNull()
     x = x.withColumns(dict(zip(("_fast", "uncertainty"), fast() if fast else (F.lit(None).cast("double"), F.lit(1.0)), strict=True)))
