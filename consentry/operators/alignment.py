@@ -9,23 +9,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: More vectors than this are joined by a salted shuffle instead of a broadcast.
+#: More vectors than this are joined by a shuffle instead of a broadcast, but for those of tokens with more than one in OFTEN of all.
 MAX_BROADCAST_VECTORS = 50_000
-SALTS = 32
+OFTEN = 1000
 
 
-def token_vectors(rows: DataFrame, key: str, tokens: str, vectors: DataFrame) -> DataFrame:
-    """(key, flat, width): the vectors of a row's tokens, by place, end to end; tokens without a vector are passed over.
+def token_vectors(rows: DataFrame, key: str, tokens: str, vectors: DataFrame, few: bool | None = None) -> DataFrame:
+    """(key, flat, width): the vectors of a row's tokens, by place, end to end, in their own type; tokens without a vector are passed over.
 
     vectors: token and vector, one row a token. Rows without any token that has one are not in the result.
+    few: whether the vectors are few enough to broadcast (None: they are counted).
     """
     at = rows.select(key, F.posexplode(tokens).alias("_at", "token"))
-    known = vectors.select("token", F.transform("vector", lambda x: x.cast("double")).alias("vector")).where("vector is not null")
-    if vectors.count() <= MAX_BROADCAST_VECTORS:
+    known = vectors.select("token", "vector").where("vector is not null")  # as they are: most embeddings are floats, half a double's bytes
+    if few is None:
+        few = vectors.count() <= MAX_BROADCAST_VECTORS
+    if few:
         met = at.join(F.broadcast(known), "token")
-    else:  # a frequent token's rows are spread over SALTS tasks
-        spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = at.withColumn("_salt", F.pmod(F.xxhash64(key, "_at"), F.lit(SALTS)).cast("int")).join(spread, ["token", "_salt"])
+    else:  # a token of more than a thousandth of all is broadcast, at most a thousand of them; no vector is sent more than once otherwise
+        often = at.groupBy("token").count().where(F.col("count") * OFTEN > at.count()).select("token")
+        plain = at.join(F.broadcast(often), "token", "left_anti").join(known.hint("shuffle_merge"), "token")
+        met = plain.unionByName(at.join(F.broadcast(known.join(F.broadcast(often), "token")), "token"))
     listed = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "vector"))).alias("_v"))
     return listed.select(key, F.flatten(F.transform("_v", lambda s: s["vector"])).alias("flat"), F.size(F.get("_v", F.lit(0))["vector"]).alias("width"))
 
@@ -51,15 +55,16 @@ def greedy_scores(pairs: DataFrame, key: str, candidate: str, reference: str, ve
 
     key tells rows apart.
     """
-    a = token_vectors(pairs, key, candidate, vectors).withColumnsRenamed({"flat": "_a"})
-    b = token_vectors(pairs, key, reference, vectors).withColumnsRenamed({"flat": "_b"}).drop("width")
+    few = vectors.count() <= MAX_BROADCAST_VECTORS
+    a = token_vectors(pairs, key, candidate, vectors, few).withColumnsRenamed({"flat": "_a"})
+    b = token_vectors(pairs, key, reference, vectors, few).withColumnsRenamed({"flat": "_b"}).drop("width")
     both = pairs.select(key).join(a, key, "left").join(b, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             scores = []
             for x, y, w in zip(batch.column("_a"), batch.column("_b"), batch.column("width").to_pylist(), strict=True):
-                scores.append(greedy(*(np.asarray(v.values).reshape(-1, w) for v in (x, y))) if x.is_valid and y.is_valid else (0.0, 0.0, 0.0))
+                scores.append(greedy(*(np.asarray(v.values, float).reshape(-1, w) for v in (x, y))) if x.is_valid and y.is_valid else (0.0, 0.0, 0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in (zip(*scores, strict=True) if scores else [[]] * 3))], names=[key, "precision", "recall", "f1"])
 
     return both.mapInArrow(run, pairs.select(key).schema.add("precision", "double").add("recall", "double").add("f1", "double"))

@@ -1,8 +1,8 @@
-"""What moves between tasks: no more of a statement than is read, index tasks of a fixed size."""
+"""What moves between tasks: no more of a statement than is read, vectors in their own type, index tasks of a fixed size."""
 
 from pyspark.sql import functions as F
 
-from consentry.operators import retrieval
+from consentry.operators import alignment, retrieval
 from consentry.plans.inputs import frame
 
 
@@ -20,3 +20,14 @@ def test_index_tasks_follow_the_tokens(spark, sf):
     own, dealt = retrieval.bm25_index(statements), retrieval.bm25_index(statements, each=50)
     assert sorted(own.withColumn("weight", F.round("weight", 9)).collect()) == sorted(dealt.withColumn("weight", F.round("weight", 9)).collect())
     assert dealt.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_vectors_keep_their_type(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, ["a"] * 5 + ["b", "c"]), (2, ["d", "z"])], "id int, t array<string>")
+    v = spark.createDataFrame([(w, [float(i), 0.5]) for i, w in enumerate("abcd")], "token string, vector array<float>")
+    for most, often in ((10, 1000), (1, 1000), (1, 3), (1, 1)):
+        monkeypatch.setattr(alignment, "MAX_BROADCAST_VECTORS", most)
+        monkeypatch.setattr(alignment, "OFTEN", often)
+        got = alignment.token_vectors(rows, "id", "t", v)
+        assert got.schema["flat"].dataType.simpleString() == "array<float>"
+        assert {r.id: (r.flat, r.width) for r in got.collect()} == {1: ([0.0, 0.5] * 5 + [1.0, 0.5, 2.0, 0.5], 2), 2: ([3.0, 0.5], 2)}
