@@ -134,14 +134,14 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     """The rows of docs with a score of threshold or more, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).cast(pa.large_binary()).to_pylist()
-            keep: list[np.ndarray] = []
-            for lo in range(0, len(texts), 512):
-                got = [text_features(t or _EMPTY) for t in texts[lo : lo + 512]]
-                keep.append(shared.value.scores([w for w, _ in got], np.array([s for _, s in got])) >= threshold)
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                got = [text_features(t or _EMPTY) for t in part.column(at).cast(pa.large_binary()).to_pylist()]
+                yield part.filter(pa.array(shared.value.scores([w for w, _ in got], np.array([s for _, s in got])) >= threshold))
+        common.trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,6 +33,8 @@ from . import common
 
 ANY = frozenset(range(256))
 BREAK = 256  # the symbol between texts
+#: Bytes of text redacted at a time: the scan takes some thirty bytes for each.
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -457,25 +459,29 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     schema = docs.schema
     names = docs.columns
     at = names.index(text)
+    common.bounded_batches(docs.sparkSession)
+
+    def redacted(batch: pa.RecordBatch, sc: Scanner) -> pa.RecordBatch:
+        texts = batch.column(at).cast(pa.large_binary()).to_pylist()
+        for i, x in enumerate(sc.spans([t or b"" for t in texts])):
+            if x:
+                texts[i] = _cut(sc, texts[i], x)
+        arrays = [batch.column(i) for i in range(batch.num_columns)]
+        arrays[at] = pa.array(texts, pa.large_binary()).cast(arrays[at].type)
+        if chars in names:
+            n = pa.compute.utf8_length(arrays[at])
+            changed = pa.compute.not_equal(pa.compute.binary_length(arrays[at]), pa.compute.binary_length(batch.column(at)))
+            k = names.index(chars)
+            arrays[k] = pa.compute.if_else(pa.compute.fill_null(changed, False), n.cast(arrays[k].type), arrays[k])
+        return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
     def run(batches):
         sc = scanner(rules)
         for batch in batches:
-            col = batch.column(at).cast(pa.large_binary())
-            texts = col.to_pylist()
-            for lo in range(0, len(texts), 1024):
-                some = [t or b"" for t in texts[lo : lo + 1024]]
-                for i, x in enumerate(sc.spans(some), lo):
-                    if x:
-                        texts[i] = _cut(sc, texts[i], x)
-            arrays = [batch.column(i) for i in range(batch.num_columns)]
-            arrays[at] = pa.array(texts, pa.large_binary()).cast(arrays[at].type)
-            if chars in names:
-                n = pa.compute.utf8_length(arrays[at])
-                changed = pa.compute.not_equal(pa.compute.binary_length(arrays[at]), pa.compute.binary_length(batch.column(at)))
-                k = names.index(chars)
-                arrays[k] = pa.compute.if_else(pa.compute.fill_null(changed, False), n.cast(arrays[k].type), arrays[k])
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            lengths = np.asarray(pa.compute.binary_length(batch.column(at)).fill_null(0))
+            for lo, hi in common.slices(lengths, 1024, SLICE):
+                yield redacted(batch.slice(lo, hi - lo), sc)
+        common.trim()
 
     return docs.mapInArrow(run, schema)
 
