@@ -16,6 +16,7 @@ fingerprints are dealt anew by parts of the other bits, and then to pairs of blo
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -279,23 +280,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the shared folder, and the loop ends when a step changes nothing. Hubs, with more
     than a thousandth of the edges, meet their least neighbour by a broadcast.
     """
+    def mark(df):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+
     now = common.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before, total = None, now.count()
+    before = mark(now)
     for _ in range(rounds):
+        total = before[0]
+        few = functools.partial(common.few, n_bytes=64 * total)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = common.stored(common.join_one(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        met = few(common.join_one(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        large = common.stored(few(met.distinct()), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = common.join_one(large, least, "u", total)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = common.stored(small, "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        small = few(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v"))
+        after = common.stored(few(small.distinct()), "edges")
         common.drop_stored(now)
         common.drop_stored(large)
-        now, total = after, mark[0]
-        if mark == before:
+        now, last, before = after, before, mark(after)
+        if before == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

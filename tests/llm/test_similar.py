@@ -140,3 +140,42 @@ def test_near_copies_of_one_text_meet_in_proportion(spark, monkeypatch):
     got = {row.doc_id for row in similar.keep_first(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute(pairs)
     assert sum(met) < 300 * 299 // 2 / 3, met
+
+
+def test_small_tables_are_written_by_few_tasks_and_stars_once(spark, monkeypatch):
+    """The driver keeps entries of all tasks: small tables have not as many as the session has partitions, and a star needs one round."""
+    from consentry.llm import common, simhash
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    made, whole = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda *a: made.append(whole(*a)) or made[-1])
+    try:
+        for k, v in zip(names, (str(10 * spark.sparkContext.defaultParallelism), "false"), strict=True):
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(0, k) for k in range(1, 200)] + [(900, 950)], "a long, b long").coalesce(1)
+        found = simhash.components(edges)
+        got = {r.node: r.root for r in found.collect()}
+        files = len(found.inputFiles())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(1, 200)} | {950: 900}
+    assert files <= 4 * spark.sparkContext.defaultParallelism
+    assert len(made) == 3
+
+
+def test_counted_shingles_are_those_of_a_plain_count(spark):
+    from collections import Counter
+
+    from consentry.llm import common
+
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(5)}" for _ in range(30))) for i in range(40)], "doc_id long, text string")
+    sets = common.stored(similar._sets(docs, 2), "sets")
+    keys, n = similar._common(sets, 40)
+    want = Counter(int(h >> 16) for row in sets.collect() for h in similar.unpacked(bytes(row.shingles)).tolist())
+    want = {k: c for k, c in want.items() if c >= 6}
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want and list(keys) == sorted(keys)
+    top, _ = similar._common(sets, 40, most=3)
+    assert set(top.tolist()) == set(sorted(want, key=lambda k: (-want[k], k))[:3])
