@@ -110,7 +110,7 @@ class _Model:
         if self.seen:
             self.counts += np.bincount(np.concatenate(self.seen), minlength=len(self.counts)).astype(np.int32)
             if self.rare:
-                np.add.at(self.flat, np.concatenate(self.rare), 1)
+                self.flat += np.bincount(np.concatenate(self.rare), minlength=len(self.flat)).astype(np.int32)
             self.seen, self.rare = [], []
         n = self.counts.reshape(self.k, self.k)
         zero = n.sum(0, dtype=I)
@@ -186,7 +186,7 @@ class _Encoder:
             self._carry(at[over])
         low = new
         small = rng < SMALL
-        self.out[at] = low >> S48
+        self.out[at] = (low >> S48).astype(np.uint32)  # scattered faster in the type of the words
         shift = small * S16
         low, rng, at = low << shift, rng << shift, at + small * I(self.lanes)
         again = np.nonzero(rng < SMALL)[0]
