@@ -1,6 +1,7 @@
 """Calls of a model with retries, and a log of answers that survives lost executors and drivers.
 
-Each different prompt is asked once per attempt until it has an answer. Prompts are asked in slices, of which there are at most
+Each different prompt is asked once per attempt until it has an answer. Prompts are moved and written once, whatever the
+attempts, and go when all are answered. They are asked in slices, of which there are at most
 MOST_SLICES and each reads its own prompts only, so that an attempt's work is in proportion to them;
 each slice's answers are appended to the log by a write job of its own, whose tasks commit one by
 one, so what was answered before an executor or the driver was lost is not asked again: a new call with the same log goes on from it.
@@ -26,6 +27,8 @@ INVALID = "InvalidAnswer"
 MOST_SLICES = 32
 #: Rows that a task of the join of rows and answers should have.
 JOINED = 10_000
+#: Keys of a slice that are sent to all tasks, so that its prompts need not move; of more, both move.
+SENT_KEYS = 250_000
 
 
 def key(prompt: Column) -> Column:
@@ -34,10 +37,12 @@ def key(prompt: Column) -> Column:
 
 def read_log(spark: SparkSession, log: str) -> DataFrame:
     """The log's rows; none where there is no log yet."""
+    return spark.read.schema(LOG).parquet(log) if _is_there(spark, log) else spark.createDataFrame([], LOG)
+
+
+def _is_there(spark: SparkSession, log: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], LOG)
-    return spark.read.schema(LOG).parquet(log)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def outcomes(log: DataFrame) -> DataFrame:
@@ -76,35 +81,50 @@ def ask(rows: DataFrame, prompt: str, factory: Callable[[int], Callable[[str], s
     but those in FINAL are asked again, at most attempts times, after min(longest, base ** attempt) seconds.
     """
     spark = rows.sparkSession
-    wanted = rows.select(F.col(prompt).alias("prompt")).where(F.col("prompt").isNotNull()).distinct().select(key(F.col("prompt")).alias("key"), "prompt")
-    wanted = shared.written(wanted, "prompts")
+    n_rows, n = rows.agg(F.count("*"), F.count(prompt)).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // JOINED))
+    slices = min(max(1, -(-n // slice_rows)), MOST_SLICES)
+    prompts = rows.select(key(F.col(prompt)).alias("key"), F.col(prompt).alias("prompt")).where(F.col("prompt").isNotNull())
+    # dealt by key, so that the copies of a prompt are in one task and move once
+    where = shared.path(spark, "prompts")
+    wanted = prompts.repartition(parts, "key").distinct().withColumn("_slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
+    wanted = shared.written(wanted, where, "_slice")
+    written = [where]
     for attempt in range(1, attempts + 1):
-        seen = outcomes(read_log(spark, log))
-        settled = seen.where(F.col("answer").isNotNull() | F.col("error").isin(*FINAL) | (F.col("attempts") >= attempt)).select("key")
-        left = wanted.join(settled, "key", "left_anti")
-        n = left.select("key").count()
-        open_ = n or wanted.join(seen.where(F.col("answer").isNotNull() | F.col("error").isin(*FINAL)).select("key"), "key", "left_anti").limit(1).count()
+        if _is_there(spark, log):
+            seen = outcomes(read_log(spark, log))
+            settled = seen.where(F.col("answer").isNotNull() | F.col("error").isin(*FINAL) | (F.col("attempts") >= attempt)).select("key")
+            written.append(shared.path(spark, "left"))
+            left = shared.written(wanted.select("key", "_slice").join(settled, "key", "left_anti"), written[-1])
+            n = left.count()
+            open_ = n or wanted.select("key").join(seen.where(F.col("answer").isNotNull() | F.col("error").isin(*FINAL)).select("key"), "key", "left_anti").limit(1).count()
+        else:
+            left, n = None, wanted.count()
+            open_ = n
         if not open_:
             break
         if not n:
             continue  # a log that has this attempt already
         if attempt > 1:
             wait(min(longest, base ** (attempt - 1)))
-        slices = min(-(-n // slice_rows), MOST_SLICES)
-        if slices > 1:
-            left = shared.written(left.withColumn("_slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")), "slices", "_slice")
-        for k in range(slices):
-            some = left.where(F.col("_slice") == k).drop("_slice") if slices > 1 else left
-            got = some.repartition("key").mapInArrow(_asking(factory, attempt), LOG)
+        turns = min(-(-n // slice_rows), slices)
+        for k in range(turns):
+            turn = F.pmod(F.col("_slice"), F.lit(turns)) == k
+            some = wanted.where(turn).select("key", "prompt")
+            if left is not None:
+                keys = left.where(turn).select("key")
+                some = some.join(F.broadcast(keys) if n <= turns * SENT_KEYS else keys, "key", "left_semi")
+            got = some.mapInArrow(_asking(factory, attempt), LOG)
             if valid is not None:
                 ok = F.col("answer").isNull() | F.coalesce(valid(F.col("answer")), F.lit(False))
                 got = got.withColumns({"error": F.when(ok, F.col("error")).otherwise(INVALID), "answer": F.when(ok, F.col("answer"))})
             got.write.mode("append").parquet(log)
+    for w in written:
+        shared.drop(spark, w)
     found = outcomes(read_log(spark, log)).select(F.col("key").alias("_key"), "answer", "error", "attempts")
     # rows without a prompt are spread by their values, since all nulls would meet in one task
     plain = [F.col(f.name) for f in rows.schema if "map<" not in f.dataType.simpleString()]
     to = F.when(F.col(prompt).isNotNull(), key(F.col(prompt))).otherwise(F.concat(F.lit("-"), F.xxhash64(*plain).cast("string")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // JOINED))
     return rows.withColumn("_to", to).repartition(parts, "_to").join(found, F.col("_to") == F.col("_key"), "left").drop("_to", "_key")
 
 

@@ -1,7 +1,8 @@
 """Guess-and-rewrite loops: a frontier of unsettled texts, asked again each round.
 
-A round anonymises the frontier at its levels, asks the guesser about those below the cap,
-and writes the texts that are settled to a table; only the others go on. A round's
+A round anonymises the frontier, each text at its own level only, and writes it to a table, a masked text that is the
+original once. Texts at the cap are settled there; those below are asked about, moved with their answers
+and written again, and only those not settled go on. A round's
 answers are in the log of calls, its frontier is a table, so a lost executor costs no questions.
 """
 
@@ -56,6 +57,16 @@ def rewrite_prompt(text: Column, level: Column) -> Column:
     return F.concat(F.lit("Anonymize at Level "), level.cast("string"), F.lit(':\n\nOriginal: "'), text, F.lit('"\n\nReturn JSON only.'))
 
 
+def _packed(rows: DataFrame, text: str) -> DataFrame:
+    """rows with _same and _masked in the place of anonymized, which is stored only where it is not the text itself."""
+    same = F.col("anonymized").eqNullSafe(F.col(text))
+    return rows.withColumns({"_same": same, "_masked": F.when(~same, F.col("anonymized"))}).drop("anonymized")
+
+
+def _unpacked(text: str) -> Column:
+    return F.when(F.col("_same"), F.col(text)).otherwise(F.col("_masked"))
+
+
 def loop(
     rows: DataFrame,
     start: Column,
@@ -81,38 +92,40 @@ def loop(
     """
     own = rows.columns
     options = {"attempts": attempts} | ({"wait": wait} if wait else {})
-    x = anonymize.levels(rows, text, named).withColumn("initial_level", F.least(start, F.lit(cap)).cast("int"))
-    frontier = shared.written(x.withColumns({"_level": F.col("initial_level"), "_guesses": F.lit(0), "confidence": F.lit(None).cast("double")}), "frontier")
+    frontier = rows.withColumn("initial_level", F.least(start, F.lit(cap)).cast("int"))
+    frontier = frontier.withColumns({"_level": F.col("initial_level"), "_guesses": F.lit(0), "confidence": F.lit(None).cast("double")})
     done = []
     for number in range(1, max_rounds + 1):
-        masked = F.element_at(F.array("l1", "l2", "l3"), F.least(F.greatest(F.col("_level"), F.lit(1)), F.lit(3)))
-        now = frontier.withColumn("anonymized", masked)
+        now = anonymize.masked(frontier, F.col("_level"), text, named)
         if rewriter is not None:
+            now = shared.written(_packed(now, text), "masked")
+            now = now.withColumn("anonymized", _unpacked(text))
             wanted = F.when(F.col("_level") >= rewrite_from, rewrite_prompt(F.coalesce(text, F.lit("")), F.col("_level")))
             asked = calls.ask(now.withColumn("_prompt", wanted), "_prompt", rewriter, f"{log}/rewrites", **options)
             candidate = F.get_json_object(calls.unfenced(F.col("answer")), "$.anonymized")
             better = models.accepted(candidate, F.coalesce(text, F.lit("")), F.col("anonymized"), F.col("entities"), F.col("_level"))
-            now = asked.withColumn("anonymized", F.when(F.col("_prompt").isNotNull(), better).otherwise(F.col("anonymized"))).drop("_prompt", "answer", "error", "attempts")
+            now = asked.withColumn("anonymized", F.when(F.col("_prompt").isNotNull(), better).otherwise(F.col("anonymized"))).drop("_prompt", "_same", "_masked", "answer", "error", "attempts")
+        now = shared.written(_packed(now.drop("entities"), text).withColumn("_rounds", F.lit(number)), "frontier")
         below = F.col("_level") < cap
-        if guesser is not None:
-            prompt = F.when(below, guess_prompt(F.col("anonymized"), F.col(context) if context else None))
-            asked = calls.ask(now.withColumn("_prompt", prompt), "_prompt", guesser, f"{log}/guesses", **options)
-            g = guessed(F.col("answer"), F.coalesce(text, F.lit("")), verify)
-            asked = asked.withColumns({"_g": g, "_up": below & F.coalesce(g["can_identify"], F.lit(False))})
-            now = asked.withColumns({"confidence": F.when(below, F.col("_g.confidence")).otherwise(F.col("confidence")), "_guesses": F.col("_guesses") + below.cast("int")}).drop("_prompt", "answer", "error", "attempts", "_g")
-        else:
-            now = now.withColumn("_up", F.lit(False))
+        if guesser is None:
+            done.append(now)
+            break
+        done.append(now.where(~below))
+        prompt = guess_prompt(_unpacked(text), F.col(context) if context else None)
+        asked = calls.ask(now.where(below).withColumn("_prompt", prompt), "_prompt", guesser, f"{log}/guesses", **options)
+        asked = asked.withColumn("_g", guessed(F.col("answer"), F.coalesce(text, F.lit("")), verify))
+        asked = asked.withColumns({"_up": F.coalesce(F.col("_g.can_identify"), F.lit(False)), "confidence": F.col("_g.confidence"), "_guesses": F.col("_guesses") + 1}).drop("_prompt", "answer", "error", "attempts", "_g")
         last = number == max_rounds
-        now = now.withColumns({"_rounds": F.lit(number), "_level": F.col("_level") + F.col("_up").cast("int"), "_settled": ~F.col("_up") | F.lit(last)})
-        now = shared.written(now.drop("_up"), "round", "_settled")
-        done.append(now.where("_settled").drop("_settled"))
-        frontier = now.where("not _settled").drop("_settled", "anonymized", "_rounds")
+        asked = asked.withColumns({"_level": F.col("_level") + F.col("_up").cast("int"), "_settled": ~F.col("_up") | F.lit(last)})
+        asked = shared.written(asked.drop("_up"), "round", "_settled")
+        done.append(asked.where("_settled").drop("_settled"))
+        frontier = asked.where("not _settled").drop("_settled", "_same", "_masked", "_rounds")
         if last or not frontier.limit(1).count():
             break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*own, "anonymized", "initial_level", F.col("_level").alias("final_level"), F.col("_rounds").alias("rounds"), F.col("_guesses").alias("guesses"), "confidence", (F.col("_level") > F.col("initial_level")).alias("upgraded"))
+    return out.select(*own, _unpacked(text).alias("anonymized"), "initial_level", F.col("_level").alias("final_level"), F.col("_rounds").alias("rounds"), F.col("_guesses").alias("guesses"), "confidence", (F.col("_level") > F.col("initial_level")).alias("upgraded"))
 
 
 def refined(rows: DataFrame, text: str, infer: Callable[[int], Callable[[str], str]], rewrite: Callable[[int], Callable[[str], str]], log: str, max_rounds: int = 3, most_chars: int = 800, attempts: int = 3, wait: Callable[[float], None] | None = None) -> DataFrame:

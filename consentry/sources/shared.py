@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,23 @@ def path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """df written once, partitioned by the columns by, and read again."""
-    to = path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    """df written once, partitioned by the columns by, and read again. name: of the table, or a path made before."""
+    spark, schema = df.sparkSession, df.schema
+    to = name if "/" in name else path(spark, name)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(to)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(to)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.1)
+
+
+def drop(spark: SparkSession, where: str) -> None:
+    """Removes a table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from consentry.functions import risk as R
 from consentry.functions import text as X
-from consentry.operators import alignment, calls, guessing, paths
+from consentry.operators import alignment, anonymize, calls, guessing, paths
+from consentry.sources import shared
 
 
 def _noting(folder):
@@ -168,6 +169,32 @@ def test_loop_is_the_plain_loop(spark, tmp_path, cap, most, rewrites):
     assert guessing.loop(rows.limit(0), F.col("start"), _guess, str(tmp_path / "none"), wait=lambda s: None).count() == 0
 
 
+def _stored(folder):
+    return sum(os.path.getsize(os.path.join(a, f)) for a, _, files in os.walk(folder) for f in files)
+
+
+def test_a_loop_stores_a_text_few_times(spark, tmp_path, monkeypatch):
+    """Texts are stored at the level they have, where that differs from the original, and their prompts go when answered."""
+    monkeypatch.setattr(shared, "folder", lambda s: f"file://{tmp_path}/shared")
+    rows = spark.range(200).selectExpr("id", "concat_ws(' ', transform(sequence(1, 100), k -> sha2(concat(id, '-', k), 256))) as text", "cast(1 + id % 3 as int) as start").persist()
+    size = rows.selectExpr("sum(length(text))").first()[0] * 0.6  # hexadecimal digits: half a byte each when compressed
+    got = guessing.loop(rows, F.col("start"), _guess, str(tmp_path / "log"), wait=lambda s: None)
+    assert got.where("anonymized = text and not upgraded").count() == 200
+    assert _stored(tmp_path / "shared") < 2.5 * size
+    rows.unpersist()
+
+
+def test_a_level_of_its_own_is_that_of_all_levels(spark):
+    """Texts masked at one level are those of levels(), levels out of bounds at the nearest; nothing is lost by packing."""
+    rows = spark.createDataFrame([(i, t, k) for i, t in enumerate([*TEXTS, "[PHONE] [PHONE] , x", "  two   blanks "]) for k in range(6)], "id int, text string, k int")
+    x = anonymize.levels(rows).withColumn("want", F.element_at(F.array("l1", "l2", "l3"), F.least(F.greatest("k", F.lit(1)), F.lit(3)))).drop("l1", "l2", "l3", "entities")
+    got = anonymize.masked(x, F.col("k"))
+    assert got.where("not (anonymized <=> want)").count() == 0 and got.count() == 54
+    packed = guessing._packed(got.withColumn("anonymized", F.when(F.col("k") == 5, None).otherwise(F.col("anonymized"))), "text")
+    assert packed.where((F.col("k") == 5) & guessing._unpacked("text").isNotNull() & F.col("text").isNotNull()).count() == 0
+    assert packed.where((F.col("k") < 5) & ~guessing._unpacked("text").eqNullSafe(F.col("want"))).count() == 0
+
+
 def test_refining_ends_when_nothing_changes(spark, tmp_path):
     def infer(attempt):
         return lambda p: json.dumps({"inferences": [{"type": "place", "inference": "x" * 500, "guess": "g"}] * 7}) if "stop" not in p else "unreadable"
