@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import risk as R
 from ..functions import text as X
-from ..sources import shared
 from . import anonymize, guessing
 
 RESULT = ("anonymized", "level", "initial_level", "rounds", "upgraded")
@@ -21,9 +20,8 @@ def masked_only(cap: int = 3, named: str | None = None) -> Configuration:
     """Patterns and names masked at the level of the risk, no model."""
 
     def run(samples: DataFrame) -> DataFrame:
-        x = anonymize.levels(samples, named=named).withColumn("level", F.least(R.level(F.col("risk_score")), F.lit(cap)).cast("int"))
-        at = F.element_at(F.array("l1", "l2", "l3"), F.col("level"))
-        return x.select(*samples.columns, at.alias("anonymized"), "level", F.col("level").alias("initial_level"), F.lit(1).alias("rounds"), F.lit(False).alias("upgraded"))
+        x = anonymize.masked(samples.withColumn("level", F.least(R.level(F.col("risk_score")), F.lit(cap)).cast("int")), F.col("level"), named=named)
+        return x.select(*samples.columns, "anonymized", "level", F.col("level").alias("initial_level"), F.lit(1).alias("rounds"), F.lit(False).alias("upgraded"))
 
     return run
 
@@ -82,6 +80,6 @@ def summary(partials: DataFrame, measures: tuple[str, ...] = MEASURES, quantiles
 
 def benchmark(samples: DataFrame, configurations: dict[str, Configuration], table: str, run: str, failed: Callable[[str], Column] | None = None) -> DataFrame:
     """Runs the configurations, appends their partial sums to the table under the run's name, and gives the summary of all runs in it."""
-    rows = shared.written(results(samples, configurations, failed).drop("entities"), "results")
-    partial(rows).withColumn("run", F.lit(run)).write.mode("append").parquet(table)
+    # summed as they are computed: results are as large as the texts and read once
+    partial(results(samples, configurations, failed)).withColumn("run", F.lit(run)).write.mode("append").parquet(table)
     return summary(samples.sparkSession.read.parquet(table))

@@ -237,6 +237,14 @@ def test_configurations_and_mergeable_quantiles(spark, tmp_path):
     assert both[int(0.45 * len(both))] <= got.utility_p50 <= both[int(0.55 * len(both))]
 
 
+def test_a_benchmark_stores_sums_only(spark, tmp_path, monkeypatch):
+    """What the configurations give is summed as it comes; only the table of sums is written."""
+    monkeypatch.setattr(shared, "folder", lambda s: f"file://{tmp_path}/shared")
+    rows = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)], (i % 10) / 10, ["ann"]) for i in range(20)], "sample_id int, text string, risk_score double, sensitive_fields array<string>")
+    assert paths.benchmark(rows, {"A": paths.masked_only()}, str(tmp_path / "t"), "run").first().n == 20
+    assert _stored(tmp_path / "shared") == 0 and _stored(tmp_path / "t") > 0
+
+
 def test_levels_of_a_risk(spark):
     got = [r[0] for r in spark.createDataFrame([(0.1,), (0.5,), (0.7,), (0.9,)], "r double").select(R.level(F.col("r"))).collect()]
     assert got == [1, 2, 3, 4]
