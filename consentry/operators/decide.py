@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import risk as R
 from ..functions import tables as T
 from ..functions import text as X
+from ..sources import shared
 from . import retrieval
 
 #: Characters of a statement's text from which it counts as long.
@@ -85,6 +86,7 @@ def decide(
     model: Callable[[DataFrame], DataFrame] | None = None,
     sure: float = 0.25,
     detailed: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per event: decision, risk_score (12 digits), system_used and n_evidence; detailed adds cache_key, from_cache and uncertainty.
 
@@ -95,7 +97,8 @@ def decide(
     events whose key it has are neither retrieved for nor scored. fast: likelihood
     and uncertainty from the event's columns and the struct top, its best
     statement; it decides where the uncertainty is below sure. model: gets the rows with a
-    column needs_model and adds llm_score, a likelihood, to those where that holds.
+    column needs_model and adds llm_score, a likelihood, to those where that holds. stored: guarded events, keyword scores and
+    evidence are written to tables in between, so that events are moved once for each and shuffles do not add up (for large batches).
     """
     e = events.withColumns({"skip": skipped(), "user_id": F.coalesce(F.col("user_id").cast("string"), F.lit("user:local"))})
     if prefs is not None:
@@ -112,8 +115,12 @@ def decide(
     else:
         e = e.withColumns({"from_cache": F.lit(False), "cached": F.lit(None).cast("struct<decision:string,risk_score:double,system_used:string,n_evidence:long>")})
     e = e.withColumn("data_categories", enriched())  # the key is of the categories as they came
+    if stored:
+        e = shared.written(e, "guarded")
     met = retrieval.matched(e.where("not skip and not blocked and not from_cache"), docs)
-    found = evidence_signals(retrieval.hybrid(met, statements, alpha, top_k, LONG_SNIPPET))
+    found = evidence_signals(retrieval.hybrid(met, statements, alpha, top_k, LONG_SNIPPET, stored))
+    if stored:
+        found = shared.written(found, "evidence")
     x = e.join(found, "event_id", "left")
     lone = F.col("n_evidence").isNull()
     x = x.withColumns(dict(zip(("_fast", "uncertainty"), fast() if fast else (F.lit(None).cast("double"), F.lit(1.0)), strict=True)))

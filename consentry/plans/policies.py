@@ -127,7 +127,7 @@ _GUARD = f"guard AS (SELECT e.* EXCLUDE (data_categories), {twin.ENRICHED} AS da
       CASE WHEN skip THEN 'triage_layer' WHEN blocked THEN 'consent_guardrail' WHEN n_evidence IS NULL THEN 'no_policy' ELSE 'rule_fallback' END AS system_used, coalesce(n_evidence, 0) AS n_evidence FROM f""",
 )
 def rk18(spark, sf):
-    return decide.decide(*(frame(spark, sf, p) for p in ("events", "docs", "statements", "prefs")))
+    return decide.decide(*(frame(spark, sf, p) for p in ("events", "docs", "statements", "prefs")), stored=True)
 
 
 _SORTED = "'[' || array_to_string(list_transform(list_sort({}), lambda x: '\"' || x || '\"'), ', ') || ']'"
@@ -180,7 +180,7 @@ def rk18_cascade(spark, sf):
         asked = models.ask(rows.withColumn("prompt", prompt), "prompt", "answer", _client)
         return asked.withColumn("llm_score", F.when(wanted, models.parsed_decision(F.col("answer"), F.array().cast("array<string>"))["risk_score"]))
 
-    got = decide.decide(e, docs, statements, prefs, cache=cache, fast=fast, model=model, detailed=True)
+    got = decide.decide(e, docs, statements, prefs, cache=cache, fast=fast, model=model, detailed=True, stored=True)
     return got.select("event_id", "decision", "risk_score", "system_used", "n_evidence", "cache_key", "from_cache")
 
 

@@ -19,6 +19,14 @@ def test_second_run_answers_from_the_cache(spark, sf, tmp_path):
     assert got.n == 1000 and got.other == got.scored == got.wrong == 0 < got.hits
 
 
+def test_stored_steps_decide_the_same_and_cut_the_plan(spark, sf):
+    """With tables in between the decisions are the same, and the last step reads the tables instead of moving the events again."""
+    parts = [frame(spark, sf, p) for p in ("events", "docs", "statements", "prefs")]
+    plain, stored = decide.decide(*parts), decide.decide(*parts, stored=True)
+    assert any("events.parquet" in f for f in plain.inputFiles()) and not any("events.parquet" in f or "pages.parquet" in f for f in stored.inputFiles())
+    assert plain.exceptAll(stored).count() == stored.exceptAll(plain).count() == 0 < stored.count()
+
+
 def test_cache_keeps_the_last_and_skips_models_and_hits(spark):
     rows = [(1, "allow", 0.1, "rule_fallback", 3, "k", False), (2, "deny", 0.9, "fast_system", 1, "k", False), (3, "allow", 0.2, "fast_system", 1, "k", True)]
     rows += [(4, "deny", 0.8, "llm_agent", 2, "m", False), (5, "allow", 0.0, "triage_layer", 0, "t", False), (6, "deny", 1.0, "no_policy", 0, "n", False)]
